@@ -129,13 +129,16 @@ def block_topk(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray,
 
 # ---------------------------------------------------------------- ranking
 
-def rank_candidates(cands: DataFrame, k: int, metric: str, part_cols: Sequence[str] = ("query_id",)) -> DataFrame:
+def rank_candidates(cands: DataFrame, k: int, metric: str, part_cols: Sequence[str] = ("query_id",),
+                    exclude_self: bool = False) -> DataFrame:
     """Final top-k per query over candidate rows (duplicates of a pair collapse).
 
     ``dense_rank`` gives equal (score, id) duplicates the same rank, so filtering on it and
     then dropping duplicates is exact. Spark plans a partial ``WindowGroupLimit`` before the
     shuffle, and the de-duplication reuses the window's partitioning.
     """
+    if exclude_self:
+        cands = cands.filter(F.col("id") != F.col("query_id"))
     order = F.desc("score") if larger_is_better(metric) else F.asc("score")
     w = Window.partitionBy(*part_cols).orderBy(order, F.asc("id"))
     ranked = cands.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= k)
@@ -153,12 +156,14 @@ def _query_stats(queries: DataFrame, qvec_col: str) -> tuple[int, int, int]:
     return int(row["n"]), int(row["dmax"] or 0), int(row["dmin"] or 0)
 
 
-def _broadcast_topk(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
+def _broadcast_topk(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str, id_col: str, vec_col: str,
+                    exclude_self: bool = False) -> DataFrame:
     spark = corpus.sparkSession
     qids = qpdf["query_id"].to_numpy(dtype=np.int64)
     Q = stack_vectors(qpdf["query_vec"])
     dim = Q.shape[1]
     bq = spark.sparkContext.broadcast((qids, Q))
+    kb = k + 1 if exclude_self else k
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids_b, Q_b = bq.value
@@ -166,12 +171,12 @@ def _broadcast_topk(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str,
             if len(pdf) == 0:
                 continue
             X = stack_vectors(pdf["vec"], dim)
-            yield block_topk(X, pdf["id"].to_numpy(dtype=np.int64), Q_b, qids_b, k, metric)
+            yield block_topk(X, pdf["id"].to_numpy(dtype=np.int64), Q_b, qids_b, kb, metric)
 
     cands = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInPandas(
         score, CANDIDATE_SCHEMA
     )
-    return rank_candidates(cands, k, metric)
+    return rank_candidates(cands, k, metric, exclude_self=exclude_self)
 
 
 def knn_within_keys(
@@ -184,6 +189,7 @@ def knn_within_keys(
     block_rows: int | None = None,
     max_keys: int | None = None,
     finalize: bool = True,
+    exclude_self: bool = False,
 ) -> DataFrame:
     """Top-k per query among corpus rows that share the key columns with the query.
 
@@ -196,6 +202,7 @@ def knn_within_keys(
     spark = corpus.sparkSession
     B = block_rows or conf_int(spark, BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS)
     keys = list(keys)
+    kb = k + 1 if exclude_self else k
     qstats = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
     cstats = corpus.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cn"))
     stats = qstats.join(cstats, keys).select(
@@ -224,12 +231,12 @@ def knn_within_keys(
         Q = stack_vectors(qpdf["query_vec"])
         X = stack_vectors(cpdf["vec"], Q.shape[1])
         return block_topk(
-            X, cpdf["id"].to_numpy(dtype=np.int64), Q, qpdf["query_id"].to_numpy(dtype=np.int64), k, metric
+            X, cpdf["id"].to_numpy(dtype=np.int64), Q, qpdf["query_id"].to_numpy(dtype=np.int64), kb, metric
         )
 
     group = [*keys, "_qs", "_cs"]
     cands = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(score, CANDIDATE_SCHEMA)
-    return rank_candidates(cands, k, metric) if finalize else cands
+    return rank_candidates(cands, k, metric, exclude_self=exclude_self) if finalize else cands
 
 
 def exact_topk(
@@ -243,6 +250,7 @@ def exact_topk(
     qid_col: str = "query_id",
     qvec_col: str = "query_vec",
     strategy: str = "auto",
+    exclude_self: bool = False,
 ) -> DataFrame:
     """Exact top-k for every row of ``queries``.
 
@@ -266,9 +274,10 @@ def exact_topk(
     use_broadcast = strategy == "broadcast" or (strategy == "auto" and n * dmax * 8 <= bound)
     if use_broadcast:
         qpdf = q.toPandas()  # size checked above
-        return _broadcast_topk(corpus, qpdf, k, metric, id_col, vec_col)
+        return _broadcast_topk(corpus, qpdf, k, metric, id_col, vec_col, exclude_self)
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.lit(0).alias("_all"))
-    return knn_within_keys(c, q.withColumn("_all", F.lit(0)), ["_all"], k, metric, max_keys=1)
+    return knn_within_keys(c, q.withColumn("_all", F.lit(0)), ["_all"], k, metric, max_keys=1,
+                           exclude_self=exclude_self)
 
 
 # ---------------------------------------------------------------- derived searches

@@ -76,3 +76,208 @@ def topk_l2(spark, sf_dir):
     v = scaled_vectors(spark, sf_dir)
     q = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return S.exact_topk(v, q, K, "l2")
+
+
+# ------------------------------------------------------------------ payload lookups
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def _with_hits_sql(score: str, order: str, k: int = K, extra: str = "") -> str:
+    return f"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {score} AS score FROM e AS q CROSS JOIN e AS c {extra}),
+hits AS (
+  SELECT query_id, rk AS rank, id, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, id) AS rk FROM s)
+  WHERE rk <= {k})"""
+
+
+@register("topk_with_payload", f"""WITH {_with_hits_sql(_COS, "DESC")}
+SELECT h.query_id, h.rank, h.id, d.text, round(h.score, 6) AS score
+FROM hits h LEFT JOIN documents d ON d.doc_id = h.id""")
+def topk_with_payload(spark, sf_dir):
+    """Cosine top-5 with the stored text of every hit (joined after ranking)."""
+    q = query_set(spark, sf_dir)
+    hits = S.exact_topk(vectors(spark, sf_dir), q, K, "cosine")
+    return S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"text": "text"},
+                            max_hit_rows=None).select("query_id", "rank", "id", "text", "score")
+
+
+@register("hit_text_lookup", f"""WITH {_with_hits_sql(_IP, "DESC")}
+SELECT h.query_id, h.rank, h.id, d.text FROM hits h LEFT JOIN documents d ON d.doc_id = h.id""")
+def hit_text_lookup(spark, sf_dir):
+    """Id -> text on inner-product hits; a missing id gives NULL."""
+    hits = S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "ip")
+    return S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"text": "text"}).select(
+        "query_id", "rank", "id", "text"
+    )
+
+
+@register("hit_topic_lookup", f"""WITH {_with_hits_sql(_COS, "DESC")}
+SELECT h.query_id, h.rank, h.id, coalesce(d.lang, '') AS topic FROM hits h LEFT JOIN documents d ON d.doc_id = h.id""")
+def hit_topic_lookup(spark, sf_dir):
+    """Id -> topic with '' for a missing id."""
+    hits = S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine")
+    out = S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"topic": "lang"})
+    return out.select("query_id", "rank", "id", F.coalesce("topic", F.lit("")).alias("topic"))
+
+
+@register("hit_defaults", f"""WITH {_with_hits_sql(_IP, "DESC")}
+SELECT h.query_id, h.rank, h.id, coalesce(d.text, '') AS text, round(coalesce(h.score, 0.0), 6) AS score
+FROM hits h LEFT JOIN documents d ON d.doc_id = h.id""")
+def hit_defaults(spark, sf_dir):
+    """Missing text -> '' and missing score -> 0.0 on returned hits."""
+    hits = S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "ip")
+    out = S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"text": "text"})
+    return out.select("query_id", "rank", "id", F.coalesce("text", F.lit("")).alias("text"),
+                      F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@register("unified_hits", f"""WITH {_with_hits_sql(_COS, "DESC")},
+se AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(x * (label + 1) AS FLOAT) AS DOUBLE)) AS v
+  FROM embeddings),
+s2 AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_distance(q.v, c.v) AS score FROM se AS q CROSS JOIN se AS c),
+l2 AS (
+  SELECT query_id, rk AS rank, id, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rk FROM s2) WHERE rk <= 5)
+SELECT 'exact_cosine' AS searcher, query_id, rank, id, round(score, 6) AS score, 'desc' AS direction FROM hits
+UNION ALL
+SELECT 'exact_l2', query_id, rank, id, round(score, 6), 'asc' FROM l2""")
+def unified_hits(spark, sf_dir):
+    """Hit lists of two searchers in one schema with the score direction."""
+    cos = S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine")
+    v = scaled_vectors(spark, sf_dir)
+    l2 = S.exact_topk(v, v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")), K, "l2")
+    return S.unify_hits({"exact_cosine": (cos, "cosine"), "exact_l2": (l2, "l2")})
+
+
+@register("topk_k_gt_n", _PAIRS.format(score=_COS, order="DESC", k=1000))
+def topk_k_gt_n(spark, sf_dir):
+    """k = 1000; a corpus with fewer rows returns all of them, ranked."""
+    return S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), 1000, "cosine")
+
+
+@register("self_hit_check", f"""WITH {_with_hits_sql(_COS, "DESC")}
+SELECT query_id, id AS top_id, round(score, 6) AS score, id = query_id AS self_first FROM hits WHERE rank = 1""")
+def self_hit_check(spark, sf_dir):
+    """Every stored vector searched with itself must come back first."""
+    hits = S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine")
+    return S.self_hit_check(hits)
+
+
+@register("size_sweep_topk", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sizes AS (SELECT CAST(ceil(cnt * i / 4.0) AS BIGINT) AS n FROM (SELECT count(*) AS cnt FROM embeddings), range(1, 5) t(i)),
+s AS (
+  SELECT sizes.n, q.vec_id AS query_id, c.vec_id AS id,
+         list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+  FROM sizes JOIN e AS c ON c.vec_id < sizes.n CROSS JOIN e AS q)
+SELECT n, query_id, rk AS rank, id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY n, query_id ORDER BY score DESC, id) AS rk FROM s) WHERE rk <= 5""")
+def size_sweep_topk(spark, sf_dir):
+    """Nested-prefix corpora (quarter, half, three quarters, all of the table), the
+    same query set; the corpus is scored once for all sizes."""
+    import math
+
+    n = table(spark, sf_dir, "embeddings").count()
+    sizes = sorted({math.ceil(n * i / 4) for i in range(1, 5)})
+    return S.size_sweep_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), sizes, K, "cosine")
+
+
+# ------------------------------------------------------------------ ANN
+
+def _lsh_sql(bands: int, bits: int, dim: int = 64) -> str:
+    return f"""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+planes AS (
+  SELECT h, list(CASE WHEN substr(md5(CAST(h AS VARCHAR) || ':' || CAST(d AS VARCHAR)), 1, 1) < '8'
+                      THEN 1.0 ELSE -1.0 END ORDER BY d)::DOUBLE[] AS p
+  FROM range(0, {bands * bits}) t(h), range(0, {dim}) s(d) GROUP BY h),
+bits AS (
+  SELECT e.vec_id, h // {bits} AS band,
+         CASE WHEN list_dot_product(e.v, planes.p) >= 0 THEN (1 << (h % {bits})) ELSE 0 END AS bit
+  FROM e CROSS JOIN planes),
+sig AS (SELECT vec_id, band, sum(bit) AS bucket FROM bits GROUP BY vec_id, band),
+cand AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS id FROM sig q JOIN sig c ON q.band = c.band AND q.bucket = c.bucket)"""
+
+
+_RERANK = """scored AS (
+  SELECT cand.query_id, cand.id,
+         list_dot_product(qe.v, ce.v) / (sqrt(list_dot_product(qe.v, qe.v)) * sqrt(list_dot_product(ce.v, ce.v))) AS score
+  FROM cand JOIN e qe ON qe.vec_id = cand.query_id JOIN e ce ON ce.vec_id = cand.id {where}),
+{name} AS (
+  SELECT query_id, rk AS rank, id, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM scored) WHERE rk <= 5)"""
+
+
+@register("ann_lsh_topk", f"""WITH {_lsh_sql(8, 4)},
+{_RERANK.format(where="", name="ann")}
+SELECT query_id, rank, id, round(score, 6) AS score FROM ann""")
+def ann_lsh_topk(spark, sf_dir):
+    """T4(a): LSH top-5 (8 bands x 4 bits), exact re-rank of the candidates."""
+    from vecframe.operators.ann import lsh_topk
+
+    return lsh_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine", bands=8, bits=4)
+
+
+_IVF_SQL = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+el AS (SELECT label AS cell, unnest(range(0, len(v))) AS pos, unnest(v) AS x FROM e),
+cent AS (SELECT cell, list(m ORDER BY pos) AS c FROM (SELECT cell, pos, avg(x) AS m FROM el GROUP BY cell, pos) GROUP BY cell),
+cs AS (
+  SELECT e.vec_id, cent.cell,
+         list_dot_product(e.v, cent.c) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(cent.c, cent.c))) AS s
+  FROM e CROSS JOIN cent),
+ranked AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cell) AS r FROM cs),
+cand AS (
+  SELECT DISTINCT p.vec_id AS query_id, c.vec_id AS id
+  FROM ranked p JOIN ranked c ON p.cell = c.cell AND c.r = 1 WHERE p.r <= 2)"""
+
+
+@register("ann_ivf_topk", f"""WITH {_IVF_SQL},
+{_RERANK.format(where="", name="ann")}
+SELECT query_id, rank, id, round(score, 6) AS score FROM ann""")
+def ann_ivf_topk(spark, sf_dir):
+    """T4(b): IVF top-5, label-mean centroids, 2 probed cells."""
+    from vecframe.operators.ann import ivf_topk, label_centroids
+
+    v = vectors(spark, sf_dir)
+    return ivf_topk(v, query_set(spark, sf_dir), label_centroids(v, "label", "embedding"), K, "cosine", nprobe=2)
+
+
+@register("twostage_topk", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s1 AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(list_slice(q.v, 1, 32), list_slice(c.v, 1, 32)) AS s
+  FROM e AS q CROSS JOIN e AS c),
+cand AS (SELECT query_id, id FROM s1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 50),
+""" + _RERANK.format(where="", name="ann") + """
+SELECT query_id, rank, id, round(score, 6) AS score FROM ann""")
+def twostage_topk(spark, sf_dir):
+    """T5: 50 candidates by a 32-dimension prefix score, exact cosine top-5 among them."""
+    from vecframe.operators.ann import twostage_topk as two
+
+    return two(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine", num_candidates=50, prefix_dims=32)
+
+
+@register("search_fallback", f"""WITH {_lsh_sql(4, 10)},
+{_RERANK.format(where="WHERE cand.query_id <> cand.id", name="prim")},
+allp AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS id,
+         list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))) AS score
+  FROM e AS q CROSS JOIN e AS c WHERE q.vec_id <> c.vec_id),
+fb AS (
+  SELECT query_id, rk AS rank, id, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM allp) WHERE rk <= 5)
+SELECT query_id, rank, id, round(score, 6) AS score, 'primary' AS source FROM prim
+UNION ALL
+SELECT query_id, rank, id, round(score, 6), 'fallback' FROM fb WHERE query_id NOT IN (SELECT query_id FROM prim)""")
+def search_fallback(spark, sf_dir):
+    """Nearest other vectors by strict LSH (4 x 10 bits); queries it leaves empty are
+    answered by exact search."""
+    from vecframe.operators.ann import lsh_topk
+
+    v, q = vectors(spark, sf_dir), query_set(spark, sf_dir)
+    primary = lsh_topk(v, q, K, "cosine", bands=4, bits=10, exclude_self=True)
+    fallback = S.exact_topk(v, q, K, "cosine", exclude_self=True)
+    return S.search_with_fallback(primary, fallback)
