@@ -73,8 +73,19 @@ def preview(text, n: int = 50) -> Column:
 
 
 def fmt(x, spec: str, missing: str = "N/A") -> Column:
-    """``format_string`` with a placeholder for missing values."""
-    return F.coalesce(F.format_string(spec, _c(x)), F.lit(missing))
+    """Python ``f"{x:.Nf}"`` for ``spec='%.Nf'``, with a placeholder for missing values.
+
+    ``format_number`` with a ``0.00`` pattern rounds the exact binary value half-even, as
+    Python does; ``format_string('%.2f')`` would round the shortest decimal form half-up
+    (36.175 -> 36.18 instead of 36.17)."""
+    import re
+
+    m = re.fullmatch(r"%\.(\d+)f", spec)
+    if not m:
+        return F.coalesce(F.format_string(spec, _c(x)), F.lit(missing))
+    digits = int(m.group(1))
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.coalesce(F.call_function("format_number", _c(x).cast("double"), F.lit(pattern)), F.lit(missing))
 
 
 def chunk_text(df: DataFrame, text_col: str, chunk_size: int = 1000, overlap: int = 150,
