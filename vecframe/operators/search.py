@@ -113,7 +113,10 @@ def block_topk(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray,
             S = -(xsq[:, None] + qsq[None, :] - 2.0 * S)  # minus squared distance
         if kk < b:
             kth = -np.partition(-S, kk - 1, axis=0)[kk - 1]
-            r, c = np.nonzero(S >= kth[None, :])
+            # a tolerance keeps rows that tie the k-th best up to rounding; their exact
+            # scores below decide, so the cut never depends on matmul rounding
+            tol = 1e-9 * np.maximum(1.0, np.abs(kth))
+            r, c = np.nonzero(S >= (kth - tol)[None, :])
         else:
             r, c = np.nonzero(np.ones_like(S, dtype=bool))
         c_abs = c + q0

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from vecframe.plans import eval_queries, report_queries, search_queries, text_queries  # noqa: F401
+from vecframe.plans import (  # noqa: F401
+    eval_queries,
+    rag_queries,
+    report_queries,
+    search_queries,
+    text_queries,
+    vector_queries,
+)
 from vecframe.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
