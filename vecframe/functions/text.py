@@ -23,9 +23,19 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# The same 29 characters as one string, in code point order.
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def py_strip(text) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(text), STRIP_PATTERN, "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace.
+
+    A character-set trim (``btrim``), not a regex: it only touches the ends of the text."""
+    return F.btrim(_c(text), F.lit(PY_WHITESPACE))
 
 
 def truncate(text, max_chars: int) -> Column:

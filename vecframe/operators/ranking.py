@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecframe.session import cut_lineage
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -54,6 +56,11 @@ def with_positions(
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33)))
     )
+    # The pieces statistics and the rows must see the very same range partitions. Two
+    # range exchanges would each sample their own bounds, so (_pid, _mid) are written
+    # once to the shared checkpoint folder and both branches read them back. This also
+    # cuts the lineage, so a lost executor never re-derives different partitions.
+    s = cut_lineage(s)
     g = list(group_cols)
     pieces = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

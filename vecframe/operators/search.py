@@ -285,16 +285,25 @@ def exact_topk(
 
 # ---------------------------------------------------------------- derived searches
 
+MAX_BROADCAST_HITS = 2_000_000
+
+
+def hit_bound(queries: DataFrame, k: int) -> int:
+    """Proven upper bound of a hit table: ``k`` rows per query row."""
+    return queries.count() * k
+
+
 def lookup_payload(hits: DataFrame, corpus: DataFrame, id_col: str, payload: dict[str, str],
                    max_hit_rows: int | None = None) -> DataFrame:
     """Join payload columns onto hits by id; a missing id gives NULL.
 
     Late materialisation: text never travels through scoring, it is joined onto the
-    ``k`` rows per query only. When the hit count is known to be bounded the hits are
-    the broadcast side, so the corpus is scanned once and not shuffled.
+    ``k`` rows per query only. When the hit count is bounded (``max_hit_rows``, e.g. from
+    :func:`hit_bound`) the hits are the broadcast side of a right outer join, so the
+    corpus is scanned once and never shuffled; otherwise the planner decides.
     """
     side = corpus.select(F.col(id_col).cast("long").alias("id"), *[F.col(src).alias(dst) for dst, src in payload.items()])
-    if max_hit_rows is not None and max_hit_rows <= 1_000_000:
+    if max_hit_rows is not None and max_hit_rows <= MAX_BROADCAST_HITS:
         return side.join(F.broadcast(hits), "id", "right").select(*hits.columns, *payload.keys())
     return hits.join(side, "id", "left").select(*hits.columns, *payload.keys())
 

@@ -50,7 +50,7 @@ FROM (SELECT db, quantile_cont(ms, [0.0, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0]) AS qs
 def percentile_linear(spark, sf_dir):
     """A1: exact percentiles with linear interpolation at ``p*(n-1)``."""
     return M.percentiles(latency_log(spark, sf_dir), ["db"], "ms", ["event_id"],
-                         [0.0, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0])
+                         [0.0, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0], groups_bounded=True)
 
 
 @register("latency_summary", f"""
@@ -61,7 +61,7 @@ FROM ev GROUP BY db
 """)
 def latency_summary(spark, sf_dir):
     """A2: avg/p50/p95/p99/n per store."""
-    return M.latency_summary(latency_log(spark, sf_dir), ["db"], "ms", ["event_id"])
+    return M.latency_summary(latency_log(spark, sf_dir), ["db"], "ms", ["event_id"], groups_bounded=True)
 
 
 @register("latency_summary_approx")
@@ -82,7 +82,7 @@ FROM r GROUP BY db
 """)
 def latency_lower_rank(spark, sf_dir):
     """A3: repeat-search summary with lower nearest-rank percentiles."""
-    return M.latency_lower_rank(latency_log(spark, sf_dir), ["db"], "ms", ["event_id"])
+    return M.latency_lower_rank(latency_log(spark, sf_dir), ["db"], "ms", ["event_id"], groups_bounded=True)
 
 
 # ------------------------------------------------------------------ recall
@@ -195,7 +195,7 @@ def runs(spark, sf_dir):
         F.when(F.count(F.lit(1)) > 1, F.stddev_pop(ok)).otherwise(F.lit(0.0)).alias("recall_std"),
         F.count(F.lit(1)).alias("n_queries"),
     )
-    lat = M.latency_summary(ev, keys, "ms", ["event_id"])
+    lat = M.latency_summary(ev, keys, "ms", ["event_id"], groups_bounded=True)  # stores x weeks
     thr = M.throughput_summary(ev, keys, "ts")
     rec = M.metric_record([extra, lat, thr], keys)
     return rec.select(

@@ -101,25 +101,26 @@ def topk_with_payload(spark, sf_dir):
     q = query_set(spark, sf_dir)
     hits = S.exact_topk(vectors(spark, sf_dir), q, K, "cosine")
     return S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"text": "text"},
-                            max_hit_rows=None).select("query_id", "rank", "id", "text", "score")
+                            max_hit_rows=S.hit_bound(q, K)).select("query_id", "rank", "id", "text", "score")
 
 
 @register("hit_text_lookup", f"""WITH {_with_hits_sql(_IP, "DESC")}
 SELECT h.query_id, h.rank, h.id, d.text FROM hits h LEFT JOIN documents d ON d.doc_id = h.id""")
 def hit_text_lookup(spark, sf_dir):
     """Id -> text on inner-product hits; a missing id gives NULL."""
-    hits = S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "ip")
-    return S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"text": "text"}).select(
-        "query_id", "rank", "id", "text"
-    )
+    q = query_set(spark, sf_dir)
+    hits = S.exact_topk(vectors(spark, sf_dir), q, K, "ip")
+    return S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"text": "text"},
+                            max_hit_rows=S.hit_bound(q, K)).select("query_id", "rank", "id", "text")
 
 
 @register("hit_topic_lookup", f"""WITH {_with_hits_sql(_COS, "DESC")}
 SELECT h.query_id, h.rank, h.id, coalesce(d.lang, '') AS topic FROM hits h LEFT JOIN documents d ON d.doc_id = h.id""")
 def hit_topic_lookup(spark, sf_dir):
     """Id -> topic with '' for a missing id."""
-    hits = S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine")
-    out = S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"topic": "lang"})
+    q = query_set(spark, sf_dir)
+    hits = S.exact_topk(vectors(spark, sf_dir), q, K, "cosine")
+    out = S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"topic": "lang"}, max_hit_rows=S.hit_bound(q, K))
     return out.select("query_id", "rank", "id", F.coalesce("topic", F.lit("")).alias("topic"))
 
 
@@ -128,8 +129,9 @@ SELECT h.query_id, h.rank, h.id, coalesce(d.text, '') AS text, round(coalesce(h.
 FROM hits h LEFT JOIN documents d ON d.doc_id = h.id""")
 def hit_defaults(spark, sf_dir):
     """Missing text -> '' and missing score -> 0.0 on returned hits."""
-    hits = S.exact_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "ip")
-    out = S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"text": "text"})
+    q = query_set(spark, sf_dir)
+    hits = S.exact_topk(vectors(spark, sf_dir), q, K, "ip")
+    out = S.lookup_payload(hits, documents(spark, sf_dir), "doc_id", {"text": "text"}, max_hit_rows=S.hit_bound(q, K))
     return out.select("query_id", "rank", "id", F.coalesce("text", F.lit("")).alias("text"),
                       F.coalesce("score", F.lit(0.0)).alias("score"))
 
