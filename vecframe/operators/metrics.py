@@ -189,3 +189,16 @@ def metric_checks(runs: DataFrame, qps_tolerance: float = 0.5) -> DataFrame:
         ),
     )
     return runs.select("db", "n_dataset", F.explode(checks).alias("c")).select("db", "n_dataset", "c.check", "c.ok")
+
+
+def dir_usage_mb(spark, path: str) -> float | None:
+    """Total size of the files under ``path`` in MB (recursive). Only the ``length``
+    column of the ``binaryFile`` source is read, so file contents are never loaded; a
+    missing or unreadable folder gives ``None`` (the reference's NaN)."""
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("ignoreCorruptFiles", "true").load(path))
+        total = files.agg(F.sum("length").alias("b")).first()["b"]
+    except Exception:  # noqa: BLE001 - the reference reports NaN for any failure
+        return None
+    return (total or 0) / (1024 * 1024)
