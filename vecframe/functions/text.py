@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecframe.session import spread
+
 # The characters Python's str.strip() removes (str.isspace), written as one
 # regex class usable by both Java regex and RE2.
 PY_WHITESPACE_CLASS = (
@@ -114,7 +116,7 @@ def chunk_text(df: DataFrame, text_col: str, chunk_size: int = 1000, overlap: in
     if overlap < 0 or overlap >= chunk_size:
         raise ValueError("overlap must be in [0, chunk_size)")
     step = chunk_size - overlap
-    staged = df.select(*keep, py_strip(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
+    staged = spread(df.select(*keep, text_col)).select(*keep, py_strip(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     staged = staged.filter(F.length("_t") > 0)
     last = F.greatest(F.ceil((F.length("_t") - F.lit(chunk_size)) / F.lit(float(step))).cast("int"), F.lit(0))
     windows = F.transform(

@@ -36,6 +36,7 @@ from vecframe.session import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_BROADCAST_BYTES,
     conf_int,
+    spread,
 )
 
 CANDIDATE_SCHEMA = "query_id long, id long, score double"
@@ -176,7 +177,7 @@ def _broadcast_topk(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str,
             X = stack_vectors(pdf["vec"], dim)
             yield block_topk(X, pdf["id"].to_numpy(dtype=np.int64), Q_b, qids_b, kb, metric)
 
-    cands = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInPandas(
+    cands = spread(corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))).mapInPandas(
         score, CANDIDATE_SCHEMA
     )
     return rank_candidates(cands, k, metric, exclude_self=exclude_self)

@@ -4,6 +4,7 @@ and the shared checkpoint folder used to cut lineage."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +70,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHUFFLED = re.compile(r"Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
+
+
+def spread(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work (tokenising, hashing, chunking, block scoring) over
+    all task slots when the input cannot keep them busy, e.g. a table stored as one large
+    Parquet row group (only one scan task gets rows).
+
+    Decided from the plan without running it: after a shuffle the parallelism is already
+    the shuffle's; a scan of at least one file per slot (any large table on a cluster) is
+    left unchanged, so no shuffle is added there. Only small or single-file inputs are
+    repartitioned: round-robin, or by the ``by`` columns so that later aggregations on
+    them need no further exchange."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if _SHUFFLED.search(plan):
+        return df
+    files = df.inputFiles()
+    if files:
+        parallel = len(files)
+    elif "Exchange" in plan:
+        return df  # broadcast-only plan over non-file input: leave it to the planner
+    else:
+        parallel = df.rdd.getNumPartitions()  # pure narrow plan: no job is run
+    if parallel >= slots:
+        return df
+    return df.repartition(slots, *by) if by else df.repartition(slots)
