@@ -124,7 +124,10 @@ def heatmap_matrix(runs: DataFrame, metrics: dict[str, bool] = SCORE_METRICS) ->
     """Metric x store matrix of normalised scores (rows = metrics, one column per
     store, stores sorted). Store names are a handful of report labels."""
     scores = normalized_scores(runs, metrics, drop_all_null=True)
-    names = sorted(r["db"] for r in runs.select("db").distinct().collect())
+    limit = int(runs.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    names = sorted(r["db"] for r in runs.select("db").distinct().limit(limit + 1).collect())
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} stores: too many heat-map columns")
     return scores.groupBy("metric").pivot("db", names).agg(F.first("score"))
 
 
@@ -150,13 +153,16 @@ def scaling_ratio(runs: DataFrame, metrics: Sequence[str] = ("p50_ms", "qps")) -
     )
 
 
-def pareto_front(runs: DataFrame, x: str = "recall_at_k", y: str = "qps") -> DataFrame:
-    """Runs of each size that no other run of that size beats on both ``x`` and
-    ``y`` (anti join on dominance)."""
-    a = runs.select("n_dataset", "db", x, y)
-    b = runs.select(F.col("n_dataset").alias("_n"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    dom = (
-        (F.col("_n") == F.col("n_dataset")) & (F.col("_x") >= F.col(x)) & (F.col("_y") >= F.col(y))
-        & ((F.col("_x") > F.col(x)) | (F.col("_y") > F.col(y)))
-    )
-    return a.join(b, dom, "left_anti")
+def pareto_front(runs: DataFrame, x: str = "recall_at_k", y: str = "qps", group: str = "n_dataset") -> DataFrame:
+    """Runs of each size that no other run of that size beats on both ``x`` and ``y``.
+
+    No pairs are formed: a run is on the front iff its ``y`` is the best ``y`` among runs
+    with the same ``x`` and is above every ``y`` reached with a strictly larger ``x``. The
+    per-x maxima are a grouped aggregate; the running maximum walks the distinct x values
+    of a size in descending order."""
+    best = runs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group, x).agg(F.max(y).alias("_ybest"))
+    above = Window.partitionBy(group).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("_yabove", F.max("_ybest").over(above))
+    j = runs.select(group, "db", x, y).join(best, [group, x])
+    keep = (F.col(y) == F.col("_ybest")) & (F.col("_yabove").isNull() | (F.col(y) > F.col("_yabove")))
+    return j.filter(keep).select(group, "db", x, y)
