@@ -44,3 +44,40 @@ def register(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
         return fn
 
     return deco
+
+
+_FLOAT_TYPES = ("DOUBLE", "FLOAT", "REAL")
+_INT_TYPES = ("TINYINT", "SMALLINT", "INTEGER", "HUGEINT", "UTINYINT", "USMALLINT", "UINTEGER", "UBIGINT")
+
+
+def _quote(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def normalized_oracle(sql_by_name: dict[str, str], sample_dir: str) -> dict[str, str]:
+    """Give every oracle query the output convention of :func:`tidy`: floating point
+    rounded to 6 digits and integers as BIGINT. Column types come from DuckDB's own
+    ``DESCRIBE`` of the query (bound against the tables of ``sample_dir``, not run)."""
+    import duckdb
+
+    from vecframe.plans.tables import TABLES
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sample_dir}/{t}.parquet')")
+    out = {}
+    for name, sql in sql_by_name.items():
+        try:
+            cols = con.execute(f"DESCRIBE {sql}").fetchall()
+        except Exception:  # noqa: BLE001 - leave a query DuckDB cannot describe untouched
+            out[name] = sql
+            continue
+        repl = []
+        for col, typ, *_ in cols:
+            if typ in _FLOAT_TYPES or typ.startswith("DECIMAL"):
+                repl.append(f"round(CAST({_quote(col)} AS DOUBLE), 6) AS {_quote(col)}")
+            elif typ in _INT_TYPES:
+                repl.append(f"CAST({_quote(col)} AS BIGINT) AS {_quote(col)}")
+        out[name] = f"SELECT * REPLACE ({', '.join(repl)}) FROM ({sql})" if repl else sql
+    con.close()
+    return out
