@@ -90,3 +90,14 @@ def test_dir_usage(spark, tmpdir_path):
         f.write(b"x" * 1048576)
     assert M.dir_usage_mb(spark, tmpdir_path) == pytest.approx(1.0)
     assert M.dir_usage_mb(spark, os.path.join(tmpdir_path, "missing")) is None
+
+
+def test_hash_embed_wide_and_sparse_paths_agree_with_counts(spark):
+    df = spark.createDataFrame([(1, "alpha beta beta gamma"), (2, "Delta, delta! 42"), (3, "")], "id long, text string")
+    for dim in (16, 128):  # one aggregate per text / (text, bucket) assembly
+        dense = {r.id: r.embedding for r in E.hash_embed(df, "text", dim, normalize=False).collect()}
+        counts = E.hash_counts(df, "text", dim).collect()
+        want = {i: [0.0] * dim for i in (1, 2, 3)}
+        for r in counts:
+            want[r.id][r.bucket] = float(r.cnt)
+        assert dense == want
