@@ -27,7 +27,7 @@ def _strip_sql(col: str) -> str:
 
 _PREP = f"""prep AS (
   SELECT doc_id, {_strip_sql('text')} AS text, lang FROM documents),
-kept AS (SELECT doc_id, left(text, 1000) AS text, lang FROM prep WHERE length(text) >= 50)"""
+kept AS (SELECT doc_id, text, lang FROM prep WHERE length(text) >= 50)"""
 
 
 @register("text_strip", f"SELECT doc_id, {_strip_sql('text')} AS text FROM documents")
@@ -43,7 +43,7 @@ def min_len_filter(spark, sf_dir):
     return d.filter(F.length("text") >= 50)
 
 
-@register("max_len_truncate", f"WITH {_PREP} SELECT doc_id, text FROM kept")
+@register("max_len_truncate", f"WITH {_PREP} SELECT doc_id, left(text, 1000) AS text FROM kept")
 def max_len_truncate(spark, sf_dir):
     """Strip, length filter and cut to 1000 characters (the loader's max_chars)."""
     return C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", 50, 1000)
@@ -51,15 +51,15 @@ def max_len_truncate(spark, sf_dir):
 
 @register("capped_corpus", f"WITH {_PREP} SELECT doc_id, text FROM kept ORDER BY doc_id LIMIT 200")
 def capped_corpus(spark, sf_dir):
-    """The first 200 surviving documents (the loader's max_docs)."""
-    prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", 50, 1000)
+    """The first 200 surviving documents (the loader's max_docs), whole texts."""
+    prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", 50, 0)
     return C.cap_in_order(prepared, ["doc_id"], 200)
 
 
 @register("dense_ids", f"WITH {_PREP} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id FROM kept")
 def dense_ids_q(spark, sf_dir):
     """P5: consecutive ids over the surviving documents, in doc_id order."""
-    prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", 50, 1000)
+    prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", 50, 0)
     return dense_ids(prepared.select("doc_id"), ["doc_id"], ["doc_id"], id_col="id").select("id", "doc_id")
 
 
@@ -86,8 +86,9 @@ def ext_filter(spark, sf_dir):
 @register("prepare_corpus", f"""WITH {_PREP}
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, doc_id, text, lang AS topic FROM kept""")
 def prepare_corpus(spark, sf_dir):
-    """Strip -> length filter -> cut -> (no cap) -> dense ids -> topic, over all documents."""
-    prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text", "lang"), "text", 50, 1000)
+    """Strip -> length filter -> (no cut, no cap: 0 = unlimited) -> dense ids -> topic,
+    over all documents and whole texts."""
+    prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text", "lang"), "text", 50, 0)
     prepared = C.cap_in_order(prepared, ["doc_id"], 0)
     return dense_ids(prepared, ["doc_id"], ["doc_id"], id_col="id").select(
         "id", "doc_id", "text", F.col("lang").alias("topic")
@@ -132,7 +133,7 @@ def query_texts(spark, sf_dir):
     documents, plus one filler question when there are fewer than five."""
     from vecframe.operators.rag import corpus_query_texts
 
-    prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", 50, 1000)
+    prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text"), "text", 50, 0)
     return corpus_query_texts(prepared, "doc_id", "text", n_queries=5, width=200, filler=FILLER_QUESTION)
 
 
@@ -156,20 +157,20 @@ def synthetic_corpus(spark, sf_dir):
 @register("text_autodetect", f"""WITH {_PREP}
 SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, text, 'table' AS topic FROM kept""")
 def text_autodetect(spark, sf_dir):
-    """The text column of ``documents`` found by name, then prepared."""
-    return C.text_table(docs(spark, sf_dir), id_col="doc_id")
+    """The text column of ``documents`` found by name, then prepared (whole texts)."""
+    return C.text_table(docs(spark, sf_dir), id_col="doc_id", max_chars=0)
 
 
 @register("nested_text_field", f"""
 WITH m AS (SELECT conv_id * 1000000 + turn AS pos, {_strip_sql('text')} AS text FROM conversations),
-k AS (SELECT pos, left(text, 1000) AS text FROM m WHERE length(text) >= 50)
+k AS (SELECT pos, text FROM m WHERE length(text) >= 50)
 SELECT row_number() OVER (ORDER BY pos) - 1 AS id, text, 'table' AS topic FROM k""")
 def nested_text_field(spark, sf_dir):
     """The text field picked out of a record column (``document STRUCT<role, text>``)."""
     c = table(spark, sf_dir, "conversations")
     rec = c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("pos"),
                    F.struct("role", "text").alias("document"))
-    return C.text_table(rec, id_col="pos")
+    return C.text_table(rec, id_col="pos", max_chars=0)
 
 
 @register("vector_scan", """
@@ -193,13 +194,13 @@ def largest_table(spark, sf_dir):
 
 @register("source_fallback", f"""
 WITH b AS (SELECT item_id, {_strip_sql('text')} AS text FROM benchmark),
-k AS (SELECT item_id, left(text, 1000) AS text FROM b WHERE length(text) >= 50),
+k AS (SELECT item_id, text FROM b WHERE length(text) >= 50),
 t AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS id, text FROM k)
 SELECT id, text FROM t
 UNION ALL SELECT vec_id, 'vec_' || CAST(vec_id AS VARCHAR) FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM t)""")
 def source_fallback(spark, sf_dir):
     """Texts of ``benchmark``; vector rows only if no text survives."""
-    texts = C.text_table(table(spark, sf_dir, "benchmark"), id_col="item_id").select("id", "text")
+    texts = C.text_table(table(spark, sf_dir, "benchmark"), id_col="item_id", max_chars=0).select("id", "text")
     vecs = C.vector_table(table(spark, sf_dir, "embeddings"), id_col="vec_id").select("id", "text")
     return C.with_fallback(texts, vecs)
 
