@@ -207,6 +207,28 @@ def knn_within_keys(
     B = block_rows or conf_int(spark, BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS)
     keys = list(keys)
     kb = k + 1 if exclude_self else k
+    q, c = salted_sides(corpus, queries, keys, B, max_keys)
+
+    def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        Q = stack_vectors(qpdf["query_vec"])
+        X = stack_vectors(cpdf["vec"], Q.shape[1])
+        return block_topk(
+            X, cpdf["id"].to_numpy(dtype=np.int64), Q, qpdf["query_id"].to_numpy(dtype=np.int64), kb, metric
+        )
+
+    group = [*keys, "_qs", "_cs"]
+    cands = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(score, CANDIDATE_SCHEMA)
+    return rank_candidates(cands, k, metric, exclude_self=exclude_self) if finalize else cands
+
+
+def salted_sides(corpus: DataFrame, queries: DataFrame, keys: Sequence[str], B: int,
+                 max_keys: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with salts ``(_qs, _cs)``: per key, ``ceil(qn/B)`` query parts and
+    ``ceil(cn/B)`` corpus parts; a query row is repeated once per corpus part and a corpus
+    row once per query part, so every (query part, corpus part) pair meets exactly once."""
+    keys = list(keys)
     qstats = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
     cstats = corpus.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cn"))
     stats = qstats.join(cstats, keys).select(
@@ -228,19 +250,7 @@ def knn_within_keys(
         .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)))
         .select(*keys, "_qs", "_cs", "id", "vec")
     )
-
-    def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        Q = stack_vectors(qpdf["query_vec"])
-        X = stack_vectors(cpdf["vec"], Q.shape[1])
-        return block_topk(
-            X, cpdf["id"].to_numpy(dtype=np.int64), Q, qpdf["query_id"].to_numpy(dtype=np.int64), kb, metric
-        )
-
-    group = [*keys, "_qs", "_cs"]
-    cands = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(score, CANDIDATE_SCHEMA)
-    return rank_candidates(cands, k, metric, exclude_self=exclude_self) if finalize else cands
+    return q, c
 
 
 def exact_topk(
