@@ -208,17 +208,31 @@ def knn_within_keys(
     keys = list(keys)
     kb = k + 1 if exclude_self else k
     q, c = salted_sides(corpus, queries, keys, B, max_keys)
+    # Many small keys share one cogroup group (hash of the key modulo ``packs``) and are
+    # told apart inside the task; a hot key is still cut into bounded parts by the salts.
+    packs = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if max_keys is not None:
+        packs = min(packs, max_keys)
+    q = q.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(packs)))
+    c = c.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(packs)))
+    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+            return empty
         Q = stack_vectors(qpdf["query_vec"])
         X = stack_vectors(cpdf["vec"], Q.shape[1])
-        return block_topk(
-            X, cpdf["id"].to_numpy(dtype=np.int64), Q, qpdf["query_id"].to_numpy(dtype=np.int64), kb, metric
-        )
-
-    group = [*keys, "_qs", "_cs"]
+        qids = qpdf["query_id"].to_numpy(dtype=np.int64)
+        ids = cpdf["id"].to_numpy(dtype=np.int64)
+        by_key = cpdf.groupby(keys, sort=False).indices
+        parts = [
+            block_topk(X[by_key[key]], ids[by_key[key]], Q[qi], qids[qi], kb, metric)
+            for key, qi in qpdf.groupby(keys, sort=False).indices.items()
+            if key in by_key
+        ]
+        return pd.concat(parts, ignore_index=True) if parts else empty
+
+    group = ["_g", "_qs", "_cs"]
     cands = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(score, CANDIDATE_SCHEMA)
     return rank_candidates(cands, k, metric, exclude_self=exclude_self) if finalize else cands
 
