@@ -55,3 +55,10 @@ def test_quantiles_for_0_1_2_4_values(spark):
         s = sorted(xs)
         for p in (0.5, 0.95):
             assert low[(g, p)] == s[int(p * (len(s) - 1))]
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "g string, v double, uid long")
+    assert with_positions(empty, ["g"], ["v"], ["uid"]).count() == 0
+    assert group_quantiles(empty, ["g"], "v", ["uid"], [0.5]).count() == 0
+    assert dense_ids(empty.select("uid"), ["uid"]).count() == 0
