@@ -124,3 +124,29 @@ def test_lookup_payload_keeps_missing_ids(spark):
     for bound in (None, 2):
         got = {r.id: r.text for r in S.lookup_payload(hits, docs, "doc_id", {"text": "text"}, bound).collect()}
         assert got == {5: "five", 6: None}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip"])
+def test_float32_candidates_never_lose_near_ties(spark, metric):
+    rng = np.random.default_rng(11)
+    d = 512
+    base = rng.normal(size=(60, d))
+    # many rows that differ from each other by ~1e-7: their float32 scores collide
+    near = base[0] + rng.normal(scale=1e-7, size=(40, d))
+    X = np.vstack([base, near])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(X)]
+    Qm = np.vstack([base[0], rng.normal(size=d)])
+    queries = [(i, [float(x) for x in v]) for i, v in enumerate(Qm)]
+    c = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, query_vec array<double>")
+    got = S.exact_topk(c, q, 7, metric).collect()
+    for qi, qv in enumerate(Qm):
+        if metric == "cosine":
+            true = (X @ qv) / (np.linalg.norm(X, axis=1) * np.linalg.norm(qv))
+        else:
+            true = X @ qv
+        kth = np.sort(true)[::-1][6]
+        mine = [r.id for r in got if r.query_id == qi]
+        assert len(mine) == 7
+        # every returned row is a true top-7 row (up to float64 rounding of equal scores)
+        assert all(true[i] >= kth - 1e-12 * max(1.0, abs(kth)) for i in mine)
