@@ -7,6 +7,7 @@ from vecframe.plans import (  # noqa: F401
     rag_queries,
     report_queries,
     search_queries,
+    suite_queries,
     text_queries,
     vector_queries,
 )
