@@ -29,3 +29,20 @@ def test_queries_run_at_smoke_scale(spark):
     qs = E.queries()
     for name in ["topk_cosine", "chunk_text", "latency_summary", "heatmap_matrix", "rag_prompts", "upsert_last_wins"]:
         assert qs[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_runs_from_another_directory(tmp_path):
+    """Executors import vecframe from the shipped package, not from the caller's folder."""
+    import subprocess
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util, sys\n"
+        f"spec = importlib.util.spec_from_file_location('entry', {os.path.join(here, '__spark_entry__.py')!r})\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', m.entry(s).count())\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "ROWS 2500" in out.stdout, out.stderr[-2000:]

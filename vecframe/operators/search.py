@@ -36,6 +36,7 @@ from vecframe.session import (
     DEFAULT_BLOCK_ROWS,
     DEFAULT_BROADCAST_BYTES,
     conf_int,
+    ship_package,
     spread,
 )
 
@@ -179,6 +180,7 @@ def _query_stats(queries: DataFrame, qvec_col: str) -> tuple[int, int, int]:
 def _broadcast_topk(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str, id_col: str, vec_col: str,
                     exclude_self: bool = False) -> DataFrame:
     spark = corpus.sparkSession
+    ship_package(spark)
     qids = qpdf["query_id"].to_numpy(dtype=np.int64)
     Q = stack_vectors(qpdf["query_vec"])
     dim = Q.shape[1]
@@ -220,6 +222,7 @@ def knn_within_keys(
     given, the per-key statistics are broadcast.
     """
     spark = corpus.sparkSession
+    ship_package(spark)
     B = block_rows or conf_int(spark, BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS)
     keys = list(keys)
     kb = k + 1 if exclude_self else k
@@ -399,6 +402,7 @@ def size_sweep_topk(
     if n and dmin != dmax:
         raise ValueError("query vectors of different dimension")
     qpdf = q.toPandas()
+    ship_package(spark)
     qids = qpdf["query_id"].to_numpy(dtype=np.int64)
     Q = stack_vectors(qpdf["query_vec"])
     bq = spark.sparkContext.broadcast((qids, Q, sorted(int(s) for s in sizes)))

@@ -100,3 +100,29 @@ def spread(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     if parallel >= slots:
         return df
     return df.repartition(slots, *by) if by else df.repartition(slots)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vecframe`` importable by the Python workers of every executor, as
+    ``spark-submit --py-files`` would: the package is zipped once per application and
+    added with ``addPyFile`` (Spark distributes it). Called before any stage that runs
+    Python code (block scoring, LSH signatures, cell assignment, pluggable embedders)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="vecframe-pkg-"), "vecframe.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
