@@ -67,6 +67,29 @@ def stack_vectors(values: pd.Series, dim: int | None = None) -> np.ndarray:
     return np.vstack(arrs).astype(np.float64, copy=False)
 
 
+def arrow_matrix(col, dim: int | None = None) -> np.ndarray:
+    """(n, d) float64 matrix from an Arrow list column without per-row Python objects: the
+    flat values buffer is reshaped after checking that every row has the same length."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, dim or 0), dtype=np.float64)
+    if col.null_count:
+        raise ValueError("NULL vector in search input; validate vectors first")
+    lengths = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    d = int(lengths[0])
+    if (lengths != d).any() or (dim is not None and d != dim):
+        raise ValueError(f"vectors of different dimension in search input (expected {dim})")
+    values = col.flatten()
+    if values.null_count:
+        raise ValueError("NULL element in a vector; validate vectors first")
+    return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, d)
+
+
 def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))
     safe = np.where(norms > 0, norms, 1.0)
@@ -187,15 +210,19 @@ def _broadcast_topk(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str,
     bq = spark.sparkContext.broadcast((qids, Q))
     kb = k + 1 if exclude_self else k
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches):
+        import pyarrow as pa
+
         qids_b, Q_b = bq.value
-        for pdf in batches:
-            if len(pdf) == 0:
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
-            X = stack_vectors(pdf["vec"], dim)
-            yield block_topk(X, pdf["id"].to_numpy(dtype=np.int64), Q_b, qids_b, kb, metric)
+            X = arrow_matrix(batch.column("vec"), dim)
+            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            yield pa.RecordBatch.from_pandas(block_topk(X, ids, Q_b, qids_b, kb, metric), preserve_index=False)
 
-    cands = spread(corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))).mapInPandas(
+    # Arrow batches in and out: vectors reach numpy as one reshaped buffer per batch
+    cands = spread(corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))).mapInArrow(
         score, CANDIDATE_SCHEMA
     )
     return rank_candidates(cands, k, metric, exclude_self=exclude_self)
