@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vecframe.llm import simhash
+from vecframe.llm import bpe, kmeans_tree, packing, simhash, vector_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +20,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pieces = packing.pack(packing.document_ids(docs, vocabulary("word_bpe_49k.json")))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "n_loss"
+    )
+
+
+@query
+def op3_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.tree_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 @query
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
