@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecframe.llm import bpe, kmeans_tree, packing, simhash, toxicity, vector_dedup
+from vecframe.llm import bpe, kmeans_tree, packing, pii, secrets, simhash, toxicity, vector_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,13 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scores.select("doc_id", "held_out", "score", "predicted", "n_tokens", F.size("segments").alias("n_segments"))
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(_table(spark, sf_dir, "documents"))
