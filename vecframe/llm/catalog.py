@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecframe.llm import bpe, kmeans_tree, packing, pii, secrets, simhash, toxicity, vector_dedup
+from vecframe.llm import bpe, kmeans_tree, licenses, packing, pii, secrets, simhash, toxicity, vector_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,11 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_summary(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_licenses"] = licenses.summary_sql()
