@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecframe.llm import bpe, kmeans_tree, licenses, packing, pii, secrets, simhash, toxicity, vector_dedup
+from vecframe.llm import bpe, kmeans_tree, licenses, lm_scoring, packing, pii, secrets, simhash, toxicity, vector_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_licenses"] = licenses.summary_sql()
+
+
+@query
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = lm_scoring.quality_targets(_table(spark, sf_dir, "labels"), F.col("quality") == 1)
+    return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)

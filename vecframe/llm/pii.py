@@ -87,17 +87,12 @@ def _possible(text: Column) -> dict[str, Column]:
     }
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, found, base)``, one row per row of ``docs``: found holds all spans
-    (start, end, kind, value, score; code points, ends exclusive) by start and kind, base
-    the spans of the four base kinds. Base spans stay whatever their score; the added kinds
-    are reported from LEAST_SCORE on. A null or empty text has no spans; ids are passed on
-    as they are; further columns are ignored; an empty table gives an empty table."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text, able = F.col("text"), _possible(F.col("text"))
-    raw = rows.select("doc_id", "text", *[
-        matches(text, PATTERNS[k], k, i, CHECKS[k], able[k]).alias(k) for i, k in enumerate(BASE + ADDED)
-    ]).select("doc_id", "text", ordered(*BASE).alias("base"), F.concat(*ADDED).alias("added"))
+def _with_spans(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with the columns _base and _found: ordered spans of the base kinds, and all."""
+    able = _possible(text)
+    for i, kind in enumerate(BASE + ADDED):
+        df = df.withColumn(f"_{kind}", matches(text, PATTERNS[kind], kind, i, CHECKS[kind], able[kind]))
+    df = df.withColumn("_base", ordered(*[F.col(f"_{k}") for k in BASE])).withColumn("_added", F.concat(*[F.col(f"_{k}") for k in ADDED]))
 
     def scored(s: Column) -> Column:
         before = F.lower(F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))))
@@ -107,8 +102,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             near = F.when(s["kind"] == kind, F.regexp_like(before, F.lit(rf"\b(?:{CONTEXT[kind]})"))).otherwise(near)
         return s.withField("score", F.least(F.lit(1.0), start + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))))
 
-    some = F.filter(F.transform("added", scored), lambda s: s["score"] >= LEAST_SCORE)
-    return raw.select("doc_id", "text", "base", ordered(F.transform("base", scored), some).alias("found"))
+    some = F.filter(F.transform("_added", scored), lambda s: s["score"] >= LEAST_SCORE)
+    found = df.withColumn("_found", ordered(F.transform("_base", scored), some))
+    return found.drop("_added", *[f"_{k}" for k in BASE + ADDED])
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text, base, found)``, one row per row of ``docs``: found holds all spans
+    (start, end, kind, value, score; code points, ends exclusive) by start and kind, base
+    the spans of the four base kinds. Base spans stay whatever their score; the added kinds
+    are reported from LEAST_SCORE on. A null or empty text has no spans; ids are passed on
+    as they are; further columns are ignored; an empty table gives an empty table."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return _with_spans(rows, F.col("text")).withColumnsRenamed({"_base": "base", "_found": "found"})
 
 
 def pii_digest(docs: DataFrame, **columns) -> DataFrame:
@@ -123,10 +129,5 @@ def pii_digest(docs: DataFrame, **columns) -> DataFrame:
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span found replaced by its kind in brackets; null texts stay
     null, all other columns as they are (a column n_chars is left as the source counted it)."""
-    keep = docs.withColumn("_text", F.col(text_col).cast("string"))
-    text = F.coalesce("_text", F.lit(""))
-    able = _possible(text)
-    found = keep.withColumn("_spans", ordered(*[
-        matches(text, PATTERNS[k], k, i, CHECKS[k], able[k]) for i, k in enumerate(BASE)
-    ]))
-    return found.withColumn(text_col, masked(F.col("_text"), F.col("_spans"))).drop("_text", "_spans")
+    spans = _with_spans(docs, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return spans.withColumn(text_col, masked(F.col(text_col).cast("string"), F.col("_found"))).drop("_base", "_found")
