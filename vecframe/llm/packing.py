@@ -11,12 +11,12 @@ shuffled, and a task that is run again makes the same sequences.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +28,8 @@ MAX_SEGMENTS = 512
 MAX_LOSS_TOKENS = 2048
 WAITING = 512            # examples from which the next one is chosen
 END_ID = 1               # closes every document
-CACHE_WORDS = 1_000_000  # words whose ids a worker remembers; beyond it starts anew
-GROUP_CHARS = 2_000_000
+CACHE_WORDS = 300_000    # distinct words of a generation that a worker remembers
+GROUP_CHARS = 6_000_000  # bytes of text whose words are numbered in one go
 
 
 # --- token ids --------------------------------------------------------------------------
@@ -39,8 +39,11 @@ class WordIds:
     """Ids by the tokenizers library, asked once per distinct word.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are its
-    words' ids in order. Plain words (letters, then at most one full stop or comma) are asked
-    for many at a time; their ids are told apart by the end-of-word tokens."""
+    words' ids in order. The words of many texts are numbered by Arrow; plain words (Latin
+    letters, then at most one full stop or comma) are asked for by their letters, many at a
+    time, and told apart by the end-of-word tokens; all others are asked for as they are."""
+
+    PLAIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,25 +54,17 @@ class WordIds:
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    @staticmethod
-    def _plain(word: str) -> tuple[str, str]:
-        """The word's letters in lower case and the mark behind them; empty if it isn't plain."""
-        core, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-        if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and "İ" not in core)):
-            return core.lower(), mark
-        return "", ""
+        self.known: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
 
     def _ask(self, words: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _ask_plain(self, cores: list[str]) -> list[bytes]:
+    def _ask_plain(self, words: list[str]) -> list[bytes]:
         out = []
-        for at in range(0, len(cores), 2000):
-            part = cores[at : at + 2000]
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(ends) != len(part):
@@ -79,31 +74,63 @@ class WordIds:
             out += [flat[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return out
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.plain = {}, {}
-        cut = {w: self._plain(w) for w in new}
-        cores = {c for c, _ in cut.values() if c}.union(m for c, m in cut.values() if c and m).difference(self.plain)
-        letters, marks = [c for c in cores if c.isalpha()], [c for c in cores if not c.isalpha()]
-        self.plain.update(zip(letters, self._ask_plain(letters), strict=True))
-        self.plain.update(zip(marks, self._ask(marks), strict=True))
-        other = [w for w, (c, _) in cut.items() if not c]
-        self.words.update(zip(other, self._ask(other), strict=True))
-        get = self.plain.__getitem__
-        self.words.update((w, get(c) + get(m) if m else get(c)) for w, (c, m) in cut.items() if c)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, little-endian unsigned 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for w in words:
-            new.update(filterfalse(self.words.__contains__, w))
-        if len(self.words) > CACHE_WORDS:
-            new = set().union(*words)
-        if new:
-            self.learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+    def _ids(self, words: list[str], ask) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:  # the last generation is still looked up
+            self.last, self.known = self.known, {}
+        new = []
+        for word in words:
+            if word not in self.known:
+                if (ids := self.last.get(word)) is None:
+                    new.append(word)
+                else:
+                    self.known[word] = ids
+        self.known.update(zip(new, ask(new), strict=True))
+        return [self.known[w] for w in words]
+
+    def encode(self, texts: pa.Array, last: bytes = b"") -> pa.Array:
+        """Ids of each text and ``last``: a binary of little-endian unsigned 32-bit integers."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        numbered = words.flatten().dictionary_encode()
+        distinct = numbered.dictionary
+        marked = pc.match_substring_regex(distinct, "[.,]$")
+        core = pc.if_else(marked, pc.utf8_slice_codeunits(distinct, 0, -1), distinct)
+        plain = pc.match_substring_regex(core, self.PLAIN)
+        letters = pc.utf8_lower(core.filter(plain)).dictionary_encode()
+        other = distinct.filter(pc.invert(plain)).to_pylist()
+        # units: the marks, the distinct plain letters, the other words, the closing ids
+        units = self._ids([".", ","], self._ask)
+        units += self._ids(letters.dictionary.to_pylist(), self._ask_plain)
+        units += [*self._ids(other, self._ask), last]
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        unit = np.empty(len(distinct), np.int64)
+        unit[is_plain] = 2 + letters.indices.to_numpy()
+        unit[~is_plain] = 2 + len(letters.dictionary) + np.arange(len(other))
+        mark = np.full(len(distinct), -1)
+        with_mark = is_plain & marked.to_numpy(zero_copy_only=False)
+        mark[with_mark] = pc.ends_with(distinct, ",").to_numpy(zero_copy_only=False)[with_mark]
+
+        at = numbered.indices.to_numpy()
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        own, follow = unit[at], mark[at]
+        shift = np.cumsum(follow >= 0)  # marks so far, the word's own included
+        row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        sequence = np.empty(len(at) + (int(shift[-1]) if len(at) else 0) + len(texts), np.int64)
+        place = np.arange(len(at)) + shift - (follow >= 0) + row
+        sequence[place] = own
+        sequence[place[follow >= 0] + 1] = follow[follow >= 0]
+        before = np.concatenate(([0], shift))[bounds[1:]]
+        closing = bounds[1:] + before + np.arange(len(texts))
+        sequence[closing] = len(units) - 1
+
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        pool, starts = np.frombuffer(b"".join(units), "<u4"), np.cumsum(sizes) - sizes
+        length = sizes[sequence]
+        ends = np.cumsum(length)
+        flat = pool[np.repeat(starts[sequence] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends[closing])) * 4
+        kind = pa.binary() if cuts[-1] < 2**31 else pa.large_binary()
+        offsets = cuts.astype(np.int32 if kind == pa.binary() else np.int64)
+        return pa.Array.from_buffers(kind, len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype("<u4"))])
 
 
 @lru_cache(maxsize=2)
@@ -111,6 +138,19 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def text_slices(texts: pa.Array, chars: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
+    """(first, rows) of consecutive texts of about ``chars`` bytes; a longer text alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and total + size > chars:
+            yield first, i - first
+            first, total = i, 0
+        total += size
+    if len(sizes):
+        yield first, len(sizes) - first
+
+
 def document_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """``(doc_id, ids)``: the whole text's ids and ``end_id``, as one binary of little-endian
     unsigned 32-bit integers; a null or empty text has the last id only. ``path`` is a
@@ -121,14 +161,10 @@ def document_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         for batch in batches:
-            size, first, texts = 0, 0, []
-            for i, value in enumerate(batch.column(1)):
-                texts.append(value.as_py() or "")
-                size += len(texts[-1])
-                if size > GROUP_CHARS or i + 1 == batch.num_rows:
-                    made = pa.array([x + last for x in ids.encode(texts)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), made], names=["doc_id", "ids"])
-                    size, first, texts = 0, i + 1, []
+            for first, rows in text_slices(batch.column(1)):
+                part = batch.slice(first, rows)
+                made = ids.encode(pc.fill_null(part.column(1), ""), last)
+                yield pa.RecordBatch.from_arrays([part.column(0), made.cast(pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, ids binary")
@@ -162,13 +198,26 @@ class Example:
                 Example(self.key, self.start + n, self.total, self.ids[n:], tail))
 
 
-@dataclass
 class Packer:
     """Yields complete sequences, each a list of pieces."""
 
-    limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS)
-    waiting: list[Example] = field(default_factory=list)
-    demands: list[tuple[int, int, int]] = field(default_factory=list)
+    def __init__(self, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS)):
+        if min(limits) < 1:
+            raise ValueError("every limit must be at least one")
+        self.limits = limits
+        self.full = np.array(limits, np.float64)
+        self.waiting: list[Example | None] = [None] * WAITING
+        self.share = np.full((WAITING, 3), np.inf)  # demands; infinite where no example waits
+        self.empty = list(range(WAITING))
+
+    def _wait(self, example: Example) -> None:
+        at = self.empty.pop()
+        self.waiting[at], self.share[at] = example, example.demand()
+
+    def _take(self, at: int) -> Example:
+        example, self.waiting[at], self.share[at] = self.waiting[at], None, np.inf
+        self.empty.append(at)
+        return example
 
     def add(self, example: Example) -> Iterator[list[Example]]:
         tokens, _, loss = self.limits
@@ -176,42 +225,31 @@ class Packer:
             piece, example = example.cut(example.fitting(tokens, loss))
             yield [piece]
         if len(example.ids):
-            self.waiting.append(example)
-            self.demands.append(example.demand())
-        if len(self.waiting) >= WAITING:
+            self._wait(example)
+        if not self.empty:
             yield self.fill()
 
     def finish(self) -> Iterator[list[Example]]:
-        while self.waiting:
+        while len(self.empty) < WAITING:
             yield self.fill()
 
     def fill(self) -> list[Example]:
         """One sequence from the waiting examples."""
-        limits = np.array(self.limits, np.float64)
-        left, share, placed = limits.copy(), np.array(self.demands, np.float64), []
-        free = np.ones(len(share), bool)
-        back = None
-        while left[0] >= 1 and left[1] >= 1 and free.any():
-            fits = free & (share <= left).all(axis=1)
-            if fits.any():
-                pick = int(np.where(fits, (share / limits) @ (left / limits), -1.0).argmax())
-                placed.append(self.waiting[pick])
-                left -= share[pick]
-                free[pick] = False
+        left, placed = self.full.copy(), []
+        while left[0] >= 1 and left[1] >= 1 and len(self.empty) < WAITING:
+            fits = np.flatnonzero((self.share <= left).all(axis=1))
+            if len(fits):
+                pick = int(fits[(self.share[fits] @ (left / self.full**2)).argmax()])
+                left -= self.share[pick]
+                placed.append(self._take(pick))
                 continue
-            pick = int(np.where(free, share[:, 0], -1.0).argmax())
+            pick = int(np.where(np.isfinite(self.share[:, 0]), self.share[:, 0], -1.0).argmax())
             n = self.waiting[pick].fitting(int(left[0]), int(left[2]))
             if n:
-                piece, back = self.waiting[pick].cut(n)
+                piece, back = self._take(pick).cut(n)
                 placed.append(piece)
-                free[pick] = False
+                self._wait(back)
             break
-        rest = np.flatnonzero(free).tolist()
-        self.waiting = [self.waiting[i] for i in rest]
-        self.demands = [self.demands[i] for i in rest]
-        if back is not None:
-            self.waiting.append(back)
-            self.demands.append(back.demand())
         return placed
 
 
@@ -280,7 +318,7 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SE
                 if len(rows) >= 2000:
                     yield flush()
         for sequence in packer.finish():
-            if packer.waiting or sum(len(p.ids) for p in sequence) == limits[0]:
+            if len(packer.empty) < WAITING or sum(len(p.ids) for p in sequence) == limits[0]:
                 emit(sequence)
             else:
                 for part in powers_of_two(sequence):
