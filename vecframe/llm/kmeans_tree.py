@@ -29,7 +29,7 @@ MAX_LEAVES = 4_096        # bound of the tree
 BRANCHES = 16
 CALIBRATION_ROWS = 256    # queries that the number of visits is calibrated with
 TARGET_RECALL = 0.95
-BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024  # one side each of a scoring group
+BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024  # one side each of a scoring group
 
 
 @dataclass
@@ -87,9 +87,12 @@ def fit_tree(rows: np.ndarray, leaves: int) -> Tree:
             todo.append((len(centers), at[home == i]))
             centers.append(kid)
             children.append(np.empty(0, np.int64))
-    leaf = np.full(len(centers), -1)
-    ends = [i for i, c in enumerate(children) if not len(c)]
-    leaf[ends] = np.arange(len(ends))
+    leaf, walk, ends = np.full(len(centers), -1), [0], 0
+    while walk:  # numbered so that the leaves of a subtree are neighbours
+        node = walk.pop()
+        walk += children[node][::-1].tolist()
+        if not len(children[node]):
+            leaf[node], ends = ends, ends + 1
     return Tree(np.array(centers), children, leaf)
 
 
@@ -203,64 +206,78 @@ def tree_search(
         ranks = [orders[r["query_id"]][leaf] for r, leaf in zip(truth_rows, where.tolist(), strict=True)]
     visits = visits_needed(np.array(ranks, np.int64), target_recall)
 
-    row_blocks = np.maximum(1, -(-held // BLOCK_ROWS))
+    # neighbouring leaves together make a bucket of about BLOCK_ROWS; a larger leaf is one alone
+    bucket, filled = np.zeros(len(held), np.int64), 0
+    for i, n in enumerate(held.tolist()):
+        fresh = i and filled + n > BLOCK_ROWS
+        bucket[i] = bucket[i - 1] + bool(fresh) if i else 0
+        filled = n if fresh else filled + n
+    row_blocks = np.maximum(1, -(-np.bincount(bucket, held).astype(np.int64) // BLOCK_ROWS))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries with the leaves they visit: the calibrated number, and more until there
-        are enough candidates."""
+        """Queries with the leaves they visit, by bucket: the calibrated number of leaves,
+        and more until there are enough candidates."""
         for batch in batches:
-            x = matrix(batch.column(1))
-            at, leaf = [], []
-            for i, q in enumerate(unit(x)):
+            at, to, leaves = [], [], []
+            for i, q in enumerate(unit(matrix(batch.column(1)))):
+                met: dict[int, list[int]] = {}
                 got, rows_met = 0, 0
-                for node in tree.value.order(q):
+                for leaf in tree.value.order(q):
                     if got >= visits and rows_met > 2 * k:
                         break
-                    got, rows_met = got + 1, rows_met + int(held[node])
-                    if held[node]:
-                        at.append(i)
-                        leaf.append(node)
+                    got, rows_met = got + 1, rows_met + int(held[leaf])
+                    if held[leaf]:
+                        met.setdefault(int(bucket[leaf]), []).append(leaf)
+                for b, own in met.items():
+                    at.append(i)
+                    to.append(b)
+                    leaves.append(own)
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(leaf, pa.int64()), batch.column(1).take(at)], names=["query_id", "leaf", "vec"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), pa.array(to, pa.int64()), pa.array(leaves, pa.list_(pa.int64())), batch.column(1).take(at)],
+                names=["query_id", "bucket", "leaves", "vec"],
+            )
 
     asked = cut_lineage(
         placed.where("asks").dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vec")
-        .mapInArrow(visit, "query_id long, leaf long, vec array<double>")
+        .mapInArrow(visit, "query_id long, bucket long, leaves array<long>, vec array<double>")
     )
-    query_blocks = np.ones(len(held), np.int64)
-    for r in asked.groupBy("leaf").count().collect():  # MAX_LEAVES rows
-        query_blocks[r["leaf"]] = max(1, math.ceil(r["count"] / BLOCK_QUERIES))
-
-    def block_count(counts: np.ndarray):
-        large = {int(i): int(n) for i, n in enumerate(counts) if n > 1}
-        table = F.create_map(*[F.lit(v) for pair in large.items() for v in pair]) if large else None
-        return F.coalesce(table[F.col("leaf")], F.lit(1)) if large else F.lit(1)
-
-    g, h = block_count(row_blocks), block_count(query_blocks)
-    left = placed.select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), g).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), h - 1)).alias("j"),
-        F.col("vec_id").alias("id"), "vec")
+    query_blocks = np.ones(len(row_blocks), np.int64)
+    for r in asked.groupBy("bucket").count().collect():  # at most MAX_LEAVES rows
+        query_blocks[r["bucket"]] = max(1, math.ceil(r["count"] / BLOCK_QUERIES))
+
+    def listed(values: np.ndarray, key: str):
+        return F.get(F.lit(values.tolist()), F.col(key).cast("int"))
+
+    g, h = listed(row_blocks, "bucket"), listed(query_blocks, "bucket")
+    left = placed.withColumn("bucket", listed(bucket, "leaf")).select(
+        "bucket", F.pmod(F.xxhash64("vec_id"), g).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), (h - 1).cast("int"))).alias("j"),
+        F.col("vec_id").alias("id"), "leaf", "vec")
     right = asked.select(
-        "leaf", F.explode(F.sequence(F.lit(0), g - 1)).alias("i"), F.pmod(F.xxhash64("query_id"), h).cast("int").alias("j"),
-        F.col("query_id").alias("id"), "vec")
+        "bucket", F.explode(F.sequence(F.lit(0), (g - 1).cast("int"))).alias("i"), F.pmod(F.xxhash64("query_id"), h).cast("int").alias("j"),
+        F.col("query_id").alias("id"), "leaves", "vec")
 
     def score(data: pa.Table, queries: pa.Table) -> pa.Table:
         out: list = [[], [], []]
         if data.num_rows and queries.num_rows:
             data, queries = data.combine_chunks(), queries.combine_chunks()
-            ids, x = _one_row_per_id(data.column("id").to_numpy(), matrix(data.column("vec").chunk(0)))
-            q = matrix(queries.column("vec").chunk(0))
+            ids, first = np.unique(data.column("id").to_numpy(), return_index=True)  # one row per id
+            x, leaf = matrix(data.column("vec").chunk(0))[first], data.column("leaf").to_numpy()[first]
+            q, own_ids = matrix(queries.column("vec").chunk(0)), queries.column("id").to_numpy()
+            leaves = queries.column("leaves").to_pylist()
             for at in range(0, len(q), 256):
                 near = q[at : at + 256] @ x.T
-                for own, v, n in zip(queries.column("id").to_numpy()[at : at + 256].tolist(), q[at : at + 256], near, strict=True):
-                    found, scores = block_best(ids, x, own, v, n, k)
-                    out[0].append(np.full(len(found), own))
+                for n, i in zip(near, range(at, at + len(near)), strict=True):
+                    there = np.flatnonzero(np.isin(leaf, leaves[i]))
+                    found, scores = block_best(ids[there], x[there], int(own_ids[i]), q[i], n[there], k)
+                    out[0].append(np.full(len(found), own_ids[i]))
                     out[1].append(found)
                     out[2].append(scores)
         made = [np.concatenate(c) if c else np.empty(0) for c in out]
         return pa.table({"query_id": pa.array(made[0].astype(np.int64)), "vec_id": pa.array(made[1].astype(np.int64)), "score": pa.array(made[2].astype(np.float64))})
 
-    hits = left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInArrow(score, "query_id long, vec_id long, score double")
+    keys = ["bucket", "i", "j"]
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return (
         hits.withColumn("rank", rank).where(F.col("rank") <= k)
