@@ -9,7 +9,7 @@ a pair left. Texts are put together from their pieces' ids.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -22,7 +22,7 @@ from vecframe.session import ship_package
 
 # Fixed value: the pattern that splits text before the merges (byte-level BPE).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 800_000   # distinct pieces that a worker remembers; beyond it starts anew
+CACHE_PIECES = 250_000   # distinct pieces that a worker remembers; beyond it starts anew
 BATCH_CHARS = 2_000_000  # characters of text whose new pieces are merged in one go
 MERGE_BYTES = 4_000_000  # symbols in one flat array, unless a single piece is longer
 NO_RANK = np.iinfo(np.int32).max
@@ -60,6 +60,8 @@ class Bpe:
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, little-endian unsigned 32-bit integers."""
+        if not pieces:
+            return []
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
         word = np.repeat(np.arange(len(pieces)), sizes)
@@ -139,7 +141,7 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def text_groups(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
+def text_groups(texts: Iterable[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
     """Consecutive texts of about ``chars`` characters together; one longer text alone."""
     group, size = [], 0
     for text in texts:
@@ -163,7 +165,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         bpe = load(path)
         for batch in batches:
             at = 0
-            for group in text_groups([t or "" for t in batch.column(1).to_pylist()]):
+            for group in text_groups(t.as_py() or "" for t in batch.column(1)):
                 ids = bpe.encode(group)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
                 at += len(ids)

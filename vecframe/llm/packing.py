@@ -28,8 +28,8 @@ MAX_SEGMENTS = 512
 MAX_LOSS_TOKENS = 2048
 WAITING = 512            # examples from which the next one is chosen
 END_ID = 1               # closes every document
-CACHE_WORDS = 300_000    # distinct words of a generation that a worker remembers
-GROUP_CHARS = 6_000_000  # bytes of text whose words are numbered in one go
+CACHE_WORDS = 200_000    # distinct words of a generation that a worker remembers
+GROUP_CHARS = 3_000_000  # bytes of text whose words are numbered in one go
 
 
 # --- token ids --------------------------------------------------------------------------
