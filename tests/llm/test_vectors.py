@@ -81,6 +81,7 @@ def test_search_recall_and_scores(spark, monkeypatch):
     monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 40)
     monkeypatch.setattr(kmeans_tree, "BLOCK_ROWS", 100)
     monkeypatch.setattr(kmeans_tree, "BLOCK_QUERIES", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # both sides must be dealt alike
     rng = np.random.default_rng(8)
     x = clustered(rng, 900)
     ids = rng.permutation(len(x))
@@ -88,6 +89,7 @@ def test_search_recall_and_scores(spark, monkeypatch):
     got = {}
     for r in kmeans_tree.tree_search(rows, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = brute_search(ids, x, ids % 20 == 0, 20)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)

@@ -247,7 +247,7 @@ def tree_search(
         query_blocks[r["bucket"]] = max(1, math.ceil(r["count"] / BLOCK_QUERIES))
 
     def listed(values: np.ndarray, key: str):
-        return F.get(F.lit(values.tolist()), F.col(key).cast("int"))
+        return F.get(F.lit(values.tolist()), F.col(key).cast("int")).cast("long")  # cogroup keys need equal types
 
     g, h = listed(row_blocks, "bucket"), listed(query_blocks, "bucket")
     left = placed.withColumn("bucket", listed(bucket, "leaf")).select(
