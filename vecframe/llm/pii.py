@@ -87,12 +87,16 @@ def _possible(text: Column) -> dict[str, Column]:
     }
 
 
-def _with_spans(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with the columns _base and _found: ordered spans of the base kinds, and all."""
+def _with_spans(df: DataFrame, text: Column, base: str, found: str) -> DataFrame:
+    """``df`` with two more columns: ordered spans of the base kinds, and all reported."""
+    own = "_"
+    while any(c.startswith(own) for c in df.columns):  # names that ``df`` doesn't use
+        own += "_"
+    name = {k: f"{own}{k}" for k in (*BASE, *ADDED, "added")}
     able = _possible(text)
-    for i, kind in enumerate(BASE + ADDED):
-        df = df.withColumn(f"_{kind}", matches(text, PATTERNS[kind], kind, i, CHECKS[kind], able[kind]))
-    df = df.withColumn("_base", ordered(*[F.col(f"_{k}") for k in BASE])).withColumn("_added", F.concat(*[F.col(f"_{k}") for k in ADDED]))
+    spans = {name[k]: matches(text, PATTERNS[k], k, i, CHECKS[k], able[k]) for i, k in enumerate(BASE + ADDED)}
+    df = df.withColumns(spans).withColumns({
+        base: ordered(*[F.col(name[k]) for k in BASE]), name["added"]: F.concat(*[F.col(name[k]) for k in ADDED])})
 
     def scored(s: Column) -> Column:
         before = F.lower(F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))))
@@ -102,9 +106,8 @@ def _with_spans(df: DataFrame, text: Column) -> DataFrame:
             near = F.when(s["kind"] == kind, F.regexp_like(before, F.lit(rf"\b(?:{CONTEXT[kind]})"))).otherwise(near)
         return s.withField("score", F.least(F.lit(1.0), start + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))))
 
-    some = F.filter(F.transform("_added", scored), lambda s: s["score"] >= LEAST_SCORE)
-    found = df.withColumn("_found", ordered(F.transform("_base", scored), some))
-    return found.drop("_added", *[f"_{k}" for k in BASE + ADDED])
+    some = F.filter(F.transform(name["added"], scored), lambda s: s["score"] >= LEAST_SCORE)
+    return df.withColumn(found, ordered(F.transform(base, scored), some)).drop(*name.values())
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +117,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are reported from LEAST_SCORE on. A null or empty text has no spans; ids are passed on
     as they are; further columns are ignored; an empty table gives an empty table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return _with_spans(rows, F.col("text")).withColumnsRenamed({"_base": "base", "_found": "found"})
+    return _with_spans(rows, F.col("text"), "base", "found")
 
 
 def pii_digest(docs: DataFrame, **columns) -> DataFrame:
@@ -129,5 +132,8 @@ def pii_digest(docs: DataFrame, **columns) -> DataFrame:
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span found replaced by its kind in brackets; null texts stay
     null, all other columns as they are (a column n_chars is left as the source counted it)."""
-    spans = _with_spans(docs, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return spans.withColumn(text_col, masked(F.col(text_col).cast("string"), F.col("_found"))).drop("_base", "_found")
+    own = "_"
+    while own in (c[: len(own)] for c in docs.columns):
+        own += "_"
+    spans = _with_spans(docs, F.coalesce(F.col(text_col).cast("string"), F.lit("")), f"{own}base", f"{own}found")
+    return spans.withColumn(text_col, masked(F.col(text_col).cast("string"), F.col(f"{own}found"))).drop(f"{own}base", f"{own}found")

@@ -281,5 +281,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic; all columns as they are. Ids that repeat
     with different texts go if one of them is predicted toxic."""
-    gone = toxicity_scores(docs, labels, id_col, text_col).where("predicted = 1 and doc_id is not null")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    toxic = toxicity_scores(docs, labels, id_col, text_col).where("predicted = 1 and doc_id is not null")
+    gone = toxic.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
