@@ -4,17 +4,21 @@ A search is one DataFrame plan: ``(corpus, queries) -> hits[query_id, rank, id,
 
 Physical strategies
 -------------------
-* ``broadcast``: the query table is small (size checked against
-  ``vecframe.search.broadcastBytes``). It is collected once, shipped as a broadcast
-  matrix, and every corpus partition is scored in Arrow batches with one matrix product
-  per batch (``mapInPandas``). Each batch emits only its best rows per query, so the
-  single shuffle (on ``query_id``) carries at most ``k x batches`` rows per query. The
-  corpus is never shuffled.
-* ``grid``: the query table is too large to broadcast. Both sides are split into blocks of
-  at most ``vecframe.search.blockRows`` rows per key; every (query block, corpus block)
-  pair of the same key meets in one cogroup task and is scored there. No task ever holds
-  more than two blocks, whatever the skew of the key. The same routine serves the ANN
-  operators, where the key is an LSH bucket or an IVF cell.
+* ``broadcast``: the query table is collected in blocks of at most
+  ``vecframe.search.broadcastBytes`` (the size is checked first); each block is shipped as a
+  broadcast matrix and every corpus partition is scored in Arrow batches with one matrix
+  product per batch (``mapInArrow``). A task keeps a running top-k per query over its
+  batches and emits it once, so the single shuffle (on ``query_id``) carries ``k`` rows per
+  query and task. The corpus is never shuffled; it is scanned once per query block.
+* ``grid``: more than ``MAX_PASSES`` query blocks. Both sides are split per key into parts:
+  a query part holds what a broadcast block would, a corpus part at most
+  ``vecframe.search.blockRows`` rows; every pair of parts of a key meets in one cogroup
+  task. Keys with few rows are packed together, about half a block to a group. The same
+  routine serves the ANN operators, where the key is an LSH bucket or an IVF cell.
+
+One rule for bad input on both paths: a NULL vector, a NULL element or a wrong dimension
+raises ``ValueError``; a corpus vector with a NaN or infinite element takes no part, and a
+query with one finds nothing.
 
 Ranking is by score best-first, then ``id`` ascending (the reference has no tie-break).
 Cosine/IP scores are similarities (higher is better), L2 scores are distances (lower is
@@ -23,7 +27,7 @@ better).
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,10 @@ from vecframe.session import (
     BROADCAST_BYTES_KEY,
     DEFAULT_BLOCK_ROWS,
     DEFAULT_BROADCAST_BYTES,
+    DEFAULT_SMALL_ROWS,
+    SMALL_KEYS_KEY,
     conf_int,
+    cut_lineage,
     ship_package,
     spread,
 )
@@ -55,16 +62,13 @@ def larger_is_better(metric: str) -> bool:
 # ---------------------------------------------------------------- numpy block kernels
 
 def stack_vectors(values: pd.Series, dim: int | None = None) -> np.ndarray:
-    """Stack an Arrow-decoded ARRAY column into an (n, d) float64 matrix."""
+    """Stack an ARRAY column of a pandas frame into an (n, d) float64 matrix, under the same
+    rule as :func:`arrow_matrix`."""
+    import pyarrow as pa
+
     if len(values) == 0:
         return np.zeros((0, dim or 0), dtype=np.float64)
-    arrs = values.to_numpy()
-    lengths = {len(a) if a is not None else -1 for a in arrs}
-    if -1 in lengths:
-        raise ValueError("NULL vector in search input; validate vectors first")
-    if len(lengths) != 1 or (dim is not None and lengths != {dim}):
-        raise ValueError(f"vectors of different dimension in search input: {sorted(lengths)} (expected {dim})")
-    return np.vstack(arrs).astype(np.float64, copy=False)
+    return arrow_matrix(pa.array(list(values), pa.list_(pa.float64())), dim)
 
 
 def arrow_matrix(col, dim: int | None = None) -> np.ndarray:
@@ -112,52 +116,60 @@ def exact_pair_scores(X: np.ndarray, Q: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _no_candidates() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+
 def block_topk(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """Best ``k`` corpus rows of this block for every query (ties at the cut kept).
-
-    Candidates come from one matrix product per tile; for cosine and inner product it is
-    a float32 product (half the memory, about twice the throughput). The cut keeps every
-    row whose computed score is within a proven error margin of the computed k-th best:
-    a float32 dot product of length ``d`` is off by at most ``gamma*|x|*|q|`` with
-    ``gamma = d * 2^-23``, so no true top-k row is lost (the margin is twice that, once for
-    the row and once for the k-th value). Emitted pairs are then re-scored exactly in
-    float64 and ranked on those scores, which also makes the result independent of how
-    the corpus is cut into batches. L2 stays in float64 (``|x|^2 + |q|^2 - 2x.q`` cancels).
-    """
+    """Best ``k`` corpus rows of this block for every query (ties at the cut kept). Rows and
+    queries with a non-finite element take no part.
+
+    Candidates come from one matrix product per tile. The cut keeps every row whose computed
+    score is within a proven error margin of the computed k-th best, so no true top-k row is
+    lost; emitted pairs are re-scored exactly in float64 and ranked on those scores, which
+    also makes the result independent of how the corpus is cut into batches.
+
+    * cosine and inner product: a float32 product of rows scaled to length at most one (the
+      block by its longest row, each query by its own length; neither changes a query's
+      order). Such a dot product of length ``d`` is off by at most ``gamma = d * 2^-23``;
+      the margin is twice that, once for the row and once for the k-th value.
+    * L2: ``|x|^2 + |q|^2 - 2x.q`` in float64 cancels; its error grows with the norms, so
+      the margin is ``4 (d + 4) eps (max|x|^2 + |q|^2)``, after the block and the queries
+      have been moved by the block's mean (which changes no distance)."""
+    good, asks = np.isfinite(X).all(axis=1), np.isfinite(Q).all(axis=1)
+    X, ids, Q, qids = X[good], ids[good], Q[asks], qids[asks]
     b = X.shape[0]
     if b == 0 or Q.shape[0] == 0 or k <= 0:
-        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return _no_candidates()
     d = X.shape[1]
-    if metric == "cosine":
-        Xs, _ = _unit_rows(X)
-        Qs, _ = _unit_rows(Q)
+    if metric == "l2":
+        middle = X.mean(axis=0)
+        Xs, Qs = X - middle, Q - middle
+        xsq = np.einsum("ij,ij->i", Xs, Xs)
+        qsq = np.einsum("ij,ij->i", Qs, Qs)
+        margins = 4.0 * (d + 4) * np.finfo(np.float64).eps * (float(xsq.max()) + qsq)
+        # moving by the mean rounds each element once more
+        reach = float(np.abs(X).max()) + np.abs(Q).max(axis=1)
+        margins = margins + 4.0 * d * np.finfo(np.float64).eps * reach * (np.sqrt(float(xsq.max())) + np.sqrt(qsq))
     else:
-        Xs, Qs = X, Q
-    single = metric in ("cosine", "ip")
-    if single:
-        X32 = Xs.astype(np.float32)
-        xmax = float(np.sqrt(np.einsum("ij,ij->i", Xs, Xs)).max())
-        qnorm = np.sqrt(np.einsum("ij,ij->i", Qs, Qs))
-        gamma = d * 2.0 ** -23
-    xsq = np.einsum("ij,ij->i", X, X) if metric == "l2" else None
+        if metric == "cosine":
+            Xs = _unit_rows(X)[0]
+        else:
+            longest = float(np.sqrt(np.einsum("ij,ij->i", X, X).max()))
+            Xs = X / longest if longest > 0 else X
+        Xs = Xs.astype(np.float32)
+        Qs = _unit_rows(Q)[0].astype(np.float32)
+        margins = np.full(len(Q), 2.02 * (d + 2) * 2.0 ** -23)
     kk = min(k, b)
     step = max(1, _MAX_TILE // max(b, 1))
     out_q, out_i, out_s = [], [], []
     for q0 in range(0, Q.shape[0], step):
-        Qc = Qs[q0:q0 + step]
-        if single:
-            S = X32 @ Qc.astype(np.float32).T               # (b, nq): higher is better
-            margin = (2.0 * gamma * xmax * qnorm[q0:q0 + step] * 1.01).astype(np.float32)
-        else:
-            S = Xs @ Qc.T
-            qsq = np.einsum("ij,ij->i", Qc, Qc)
-            S = -(xsq[:, None] + qsq[None, :] - 2.0 * S)       # minus squared distance
+        S = Xs @ Qs[q0:q0 + step].T                            # (b, nq): higher is better
+        if metric == "l2":
+            S = 2.0 * S - xsq[:, None] - qsq[None, q0:q0 + step]  # minus squared distance
         if kk < b:
             kth = -np.partition(-S, kk - 1, axis=0)[kk - 1]
-            if not single:
-                # rows that tie the k-th best up to rounding; exact scores decide below
-                margin = 1e-9 * np.maximum(1.0, np.abs(kth))
-            r, c = np.nonzero(S >= (kth - margin)[None, :])
+            r, c = np.nonzero(S >= (kth - margins[q0:q0 + step])[None, :])
         else:
             r, c = np.nonzero(np.ones_like(S, dtype=bool))
         c_abs = c + q0
@@ -171,6 +183,36 @@ def block_topk(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray,
     })
 
 
+def prune(cands: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """The ``k`` best distinct (id, score) of each query of a candidate frame."""
+    cands = cands.drop_duplicates()
+    key = cands["score"].to_numpy() * (-1.0 if larger_is_better(metric) else 1.0)
+    order = np.lexsort((cands["id"].to_numpy(), key, cands["query_id"].to_numpy()))
+    cands = cands.iloc[order]
+    place = cands.groupby("query_id", sort=False).cumcount()
+    return cands[(place < k).to_numpy()]
+
+
+class RunningTopK:
+    """Candidates of one task: pruned to the best ``k`` per query whenever they have doubled."""
+
+    def __init__(self, k: int, metric: str):
+        self.k, self.metric = k, metric
+        self.parts: list[pd.DataFrame] = []
+        self.rows, self.limit = 0, 200_000
+
+    def add(self, part: pd.DataFrame) -> None:
+        self.parts.append(part)
+        self.rows += len(part)
+        if self.rows > self.limit:
+            self.parts = [self.result()]
+            self.rows = len(self.parts[0])
+            self.limit = max(200_000, 2 * self.rows)
+
+    def result(self) -> pd.DataFrame:
+        return prune(pd.concat(self.parts, ignore_index=True), self.k, self.metric) if self.parts else _no_candidates()
+
+
 # ---------------------------------------------------------------- ranking
 
 def rank_candidates(cands: DataFrame, k: int, metric: str, part_cols: Sequence[str] = ("query_id",),
@@ -191,40 +233,73 @@ def rank_candidates(cands: DataFrame, k: int, metric: str, part_cols: Sequence[s
 
 # ---------------------------------------------------------------- strategies
 
+MAX_PASSES = 16  # query blocks up to which the corpus is scanned once per block
+
+
 def _query_stats(queries: DataFrame, qvec_col: str) -> tuple[int, int, int]:
     row = queries.agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.size(qvec_col)).alias("dmax"),
-        F.min(F.size(qvec_col)).alias("dmin"),
+        F.max(F.coalesce(F.size(qvec_col), F.lit(-1))).alias("dmax"),
+        # a NULL vector or element counts as no vector
+        F.min(F.when(F.col(qvec_col).isNull() | F.exists(qvec_col, lambda x: x.isNull()), -1).otherwise(F.size(qvec_col))).alias("dmin"),
     ).first()
     return int(row["n"]), int(row["dmax"] or 0), int(row["dmin"] or 0)
 
 
-def _broadcast_topk(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str, id_col: str, vec_col: str,
-                    exclude_self: bool = False) -> DataFrame:
+def check_queries(n: int, dmax: int, dmin: int) -> None:
+    if n and dmin <= 0:
+        raise ValueError("a query has no complete vector")
+    if n and dmin != dmax:
+        raise ValueError(f"query vectors of different dimension ({dmin} .. {dmax})")
+
+
+def query_blocks(queries: DataFrame, n: int, dim: int, bound: int) -> list[pd.DataFrame]:
+    """The query table in blocks of about ``bound`` bytes, dealt by a hash of the query id.
+    One block is collected as it is; the caller bounds their number."""
+    count = max(1, -(-(n * dim * 8) // max(1, bound)))
+    if count == 1:
+        return [queries.toPandas()]
+    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(count)))
+    return [dealt.where(F.col("_b") == i).drop("_b").toPandas() for i in range(count)]
+
+
+def _broadcast_candidates(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
+    """Per task the best ``k`` corpus rows of every query of one block."""
     spark = corpus.sparkSession
     ship_package(spark)
     qids = qpdf["query_id"].to_numpy(dtype=np.int64)
     Q = stack_vectors(qpdf["query_vec"])
     dim = Q.shape[1]
     bq = spark.sparkContext.broadcast((qids, Q))
-    kb = k + 1 if exclude_self else k
 
     def score(batches):
         import pyarrow as pa
 
         qids_b, Q_b = bq.value
+        best = RunningTopK(k, metric)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            X = arrow_matrix(batch.column("vec"), dim)
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-            yield pa.RecordBatch.from_pandas(block_topk(X, ids, Q_b, qids_b, kb, metric), preserve_index=False)
+            if batch.num_rows:
+                X = arrow_matrix(batch.column("vec"), dim)
+                ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+                best.add(block_topk(X, ids, Q_b, qids_b, k, metric))
+        found = best.result()
+        for at in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_pandas(found.iloc[at:at + 100_000], preserve_index=False)
 
     # Arrow batches in and out: vectors reach numpy as one reshaped buffer per batch
-    cands = spread(corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))).mapInArrow(
+    return spread(corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))).mapInArrow(
         score, CANDIDATE_SCHEMA
     )
+
+
+def _broadcast_topk(corpus: DataFrame, blocks: list[pd.DataFrame], k: int, metric: str, id_col: str, vec_col: str,
+                    exclude_self: bool = False) -> DataFrame:
+    kb = k + 1 if exclude_self else k
+    cands = None
+    for qpdf in blocks:
+        if len(qpdf):
+            part = _broadcast_candidates(corpus, qpdf, kb, metric, id_col, vec_col)
+            cands = part if cands is None else cands.unionByName(part)
     return rank_candidates(cands, k, metric, exclude_self=exclude_self)
 
 
@@ -236,6 +311,7 @@ def knn_within_keys(
     metric: str = "cosine",
     *,
     block_rows: int | None = None,
+    query_rows: int | None = None,
     max_keys: int | None = None,
     finalize: bool = True,
     exclude_self: bool = False,
@@ -244,56 +320,66 @@ def knn_within_keys(
 
     ``corpus`` has ``id, vec, *keys``; ``queries`` has ``query_id, query_vec, *keys``.
     Hot keys are split: a key with ``cn`` corpus rows and ``qn`` query rows becomes
-    ``ceil(qn/B) x ceil(cn/B)`` groups of at most about ``B`` rows per side. ``max_keys`` is
-    the proven bound on the number of distinct keys (for example ``bands x 2^bits``); when
-    given, the per-key statistics are broadcast.
+    ``ceil(qn/Q) x ceil(cn/B)`` groups of about ``B`` corpus and ``Q`` query rows. Keys with
+    at most ``B/8`` corpus rows are packed by a hash, half a block to a group on average.
+    ``max_keys`` is the proven bound on the number of distinct keys (for example
+    ``bands x 2^bits``); the per-key statistics are broadcast if it is within
+    ``vecframe.smallFrameRows``.
     """
     spark = corpus.sparkSession
     ship_package(spark)
     B = block_rows or conf_int(spark, BLOCK_ROWS_KEY, DEFAULT_BLOCK_ROWS)
     keys = list(keys)
     kb = k + 1 if exclude_self else k
-    q, c = salted_sides(corpus, queries, keys, B, max_keys)
-    # Many small keys share one cogroup group (hash of the key modulo ``packs``) and are
-    # told apart inside the task; a hot key is still cut into bounded parts by the salts.
-    packs = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    if max_keys is not None:
-        packs = min(packs, max_keys)
-    q = q.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(packs)))
-    c = c.withColumn("_g", F.pmod(F.xxhash64(*keys), F.lit(packs)))
-    empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    def score(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return empty
-        Q = stack_vectors(qpdf["query_vec"])
-        X = stack_vectors(cpdf["vec"], Q.shape[1])
-        qids = qpdf["query_id"].to_numpy(dtype=np.int64)
-        ids = cpdf["id"].to_numpy(dtype=np.int64)
-        by_key = cpdf.groupby(keys, sort=False).indices
-        parts = [
-            block_topk(X[by_key[key]], ids[by_key[key]], Q[qi], qids[qi], kb, metric)
-            for key, qi in qpdf.groupby(keys, sort=False).indices.items()
-            if key in by_key
-        ]
-        return pd.concat(parts, ignore_index=True) if parts else empty
+    if max_keys is not None and max_keys > conf_int(spark, SMALL_KEYS_KEY, DEFAULT_SMALL_ROWS):
+        max_keys = None
+    q, c = salted_sides(corpus, queries, keys, B, max_keys, query_rows)
+    q, c = packed(q, c, keys, B, corpus.count())
+
+    def score(left, right):
+        import pyarrow as pa
+
+        found = []
+        if left.num_rows and right.num_rows:
+            Q = arrow_matrix(left.column("query_vec"))
+            X = arrow_matrix(right.column("vec"), Q.shape[1])
+            qids = left.column("query_id").to_numpy()
+            ids = right.column("id").to_numpy()
+            by_key = right.select(keys).to_pandas().groupby(keys, sort=False).indices
+            for key, qi in left.select(keys).to_pandas().groupby(keys, sort=False).indices.items():
+                if key in by_key:
+                    xi = by_key[key]
+                    found.append(block_topk(X[xi], ids[xi], Q[qi], qids[qi], kb, metric))
+        out = pd.concat(found, ignore_index=True) if found else _no_candidates()
+        return pa.Table.from_pandas(out, preserve_index=False)
 
     group = ["_g", "_qs", "_cs"]
-    cands = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(score, CANDIDATE_SCHEMA)
+    cands = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInArrow(score, CANDIDATE_SCHEMA)
     return rank_candidates(cands, k, metric, exclude_self=exclude_self) if finalize else cands
 
 
+def packed(q: DataFrame, c: DataFrame, keys: Sequence[str], B: int, corpus_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the group ``_g``: keys with at most ``B/8`` corpus rows share
+    ``2 * corpus_rows / B`` groups by a hash of the key, so a group holds half a block on
+    average (4 blocks with a chance below 1e-5); any other key is a group of its own."""
+    groups = max(1, -(-2 * corpus_rows // B))
+    own = F.xxhash64(*keys)
+    g = F.when(F.col("_cn") * 8 <= B, F.pmod(own, F.lit(groups))).otherwise(own).alias("_g")
+    return q.select(g, *[x for x in q.columns if x != "_cn"]), c.select(g, *[x for x in c.columns if x != "_cn"])
+
+
 def salted_sides(corpus: DataFrame, queries: DataFrame, keys: Sequence[str], B: int,
-                 max_keys: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Both sides with salts ``(_qs, _cs)``: per key, ``ceil(qn/B)`` query parts and
-    ``ceil(cn/B)`` corpus parts; a query row is repeated once per corpus part and a corpus
+                 max_keys: int | None = None, query_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with salts ``(_qs, _cs)`` and the key's corpus rows ``_cn``: per key,
+    ``ceil(qn/query_rows)`` query parts (``B`` by default) and ``ceil(cn/B)`` corpus parts; a query row is repeated once per corpus part and a corpus
     row once per query part, so every (query part, corpus part) pair meets exactly once."""
     keys = list(keys)
     qstats = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_qn"))
     cstats = corpus.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cn"))
     stats = qstats.join(cstats, keys).select(
         *keys,
-        F.ceil(F.col("_qn") / B).cast("int").alias("_sq"),
+        "_cn",
+        F.ceil(F.col("_qn") / (query_rows or B)).cast("int").alias("_sq"),
         F.ceil(F.col("_cn") / B).cast("int").alias("_sc"),
     )
     if max_keys is not None:
@@ -302,13 +388,13 @@ def salted_sides(corpus: DataFrame, queries: DataFrame, keys: Sequence[str], B:
         queries.join(stats, keys)
         .withColumn("_qs", F.pmod(F.xxhash64("query_id"), F.col("_sq")).cast("int"))
         .withColumn("_cs", F.explode(F.sequence(F.lit(0), F.col("_sc") - 1)))
-        .select(*keys, "_qs", "_cs", "query_id", "query_vec")
+        .select(*keys, "_cn", "_qs", "_cs", "query_id", "query_vec")
     )
     c = (
         corpus.join(stats, keys)
         .withColumn("_cs", F.pmod(F.xxhash64("id"), F.col("_sc")).cast("int"))
         .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.col("_sq") - 1)))
-        .select(*keys, "_qs", "_cs", "id", "vec")
+        .select(*keys, "_cn", "_qs", "_cs", "id", "vec")
     )
     return q, c
 
@@ -337,21 +423,15 @@ def exact_topk(
     spark = corpus.sparkSession
     q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.col(qvec_col).alias("query_vec"))
     n, dmax, dmin = _query_stats(q, "query_vec")
-    hits_schema = "query_id long, rank int, id long, score double"
     if n == 0:
-        return spark.createDataFrame([], hits_schema)
-    if dmin <= 0:
-        raise ValueError("Query vector is empty")
-    if dmin != dmax:
-        raise ValueError(f"query vectors of different dimension ({dmin} .. {dmax})")
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    check_queries(n, dmax, dmin)
     bound = conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES)
-    use_broadcast = strategy == "broadcast" or (strategy == "auto" and n * dmax * 8 <= bound)
-    if use_broadcast:
-        qpdf = q.toPandas()  # size checked above
-        return _broadcast_topk(corpus, qpdf, k, metric, id_col, vec_col, exclude_self)
+    if strategy == "broadcast" or (strategy == "auto" and n * dmax * 8 <= bound * MAX_PASSES):
+        return _broadcast_topk(corpus, query_blocks(q, n, dmax, bound), k, metric, id_col, vec_col, exclude_self)
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.lit(0).alias("_all"))
     return knn_within_keys(c, q.withColumn("_all", F.lit(0)), ["_all"], k, metric, max_keys=1,
-                           exclude_self=exclude_self)
+                           query_rows=max(1, bound // (8 * dmax)), exclude_self=exclude_self)
 
 
 # ---------------------------------------------------------------- derived searches
@@ -370,21 +450,29 @@ def lookup_payload(hits: DataFrame, corpus: DataFrame, id_col: str, payload: dic
 
     Late materialisation: text never travels through scoring, it is joined onto the
     ``k`` rows per query only. When the hit count is bounded (``max_hit_rows``, e.g. from
-    :func:`hit_bound`) the hits are the broadcast side of a right outer join, so the
-    corpus is scanned once and never shuffled; otherwise the planner decides.
+    :func:`hit_bound`) the distinct hit ids are broadcast to the corpus, which is scanned
+    once and never shuffled; only the rows found meet the hits. Otherwise the planner
+    decides.
     """
     side = corpus.select(F.col(id_col).cast("long").alias("id"), *[F.col(src).alias(dst) for dst, src in payload.items()])
     if max_hit_rows is not None and max_hit_rows <= MAX_BROADCAST_HITS:
-        return side.join(F.broadcast(hits), "id", "right").select(*hits.columns, *payload.keys())
+        side = side.join(F.broadcast(hits.select("id").distinct()), "id")
     return hits.join(side, "id", "left").select(*hits.columns, *payload.keys())
 
 
-def search_with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Per query, the first non-empty answer wins."""
+def search_with_fallback(primary: DataFrame, fallback: DataFrame | Callable[[DataFrame], DataFrame],
+                         queries: DataFrame | None = None) -> DataFrame:
+    """Per query, the first non-empty answer wins (T6). ``fallback`` is a second hit table,
+    or a search that is given only those rows of ``queries`` that the primary search left
+    unanswered (its hits are then written once and read twice)."""
+    if callable(fallback):
+        primary = cut_lineage(primary)
     answered = primary.select("query_id").distinct()
-    return primary.withColumn("source", F.lit("primary")).unionByName(
-        fallback.join(answered, "query_id", "left_anti").withColumn("source", F.lit("fallback"))
-    )
+    if callable(fallback):
+        rest = fallback(cut_lineage(queries.join(answered, "query_id", "left_anti")))
+    else:
+        rest = fallback.join(answered, "query_id", "left_anti")
+    return primary.withColumn("source", F.lit("primary")).unionByName(rest.withColumn("source", F.lit("fallback")))
 
 
 def unify_hits(named_hits: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -416,39 +504,48 @@ def size_sweep_topk(
 ) -> DataFrame:
     """Top-k over nested corpus prefixes ``id < n`` for every ``n`` in ``sizes``.
 
-    The corpus is scanned and scored once; each batch emits its best rows for every
-    prefix size, so no size re-reads or re-scores the corpus.
+    The corpus is scanned once per query block (one block up to
+    ``vecframe.search.broadcastBytes`` of queries); each task keeps its best rows for every
+    prefix size, so no size re-reads the corpus.
     """
     larger_is_better(metric)
     spark = corpus.sparkSession
     q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.col(qvec_col).alias("query_vec"))
     n, dmax, dmin = _query_stats(q, "query_vec")
-    bound = conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES)
-    if n * max(dmax, 1) * 8 > bound:
-        raise ValueError("query set too large to broadcast for a size sweep; split the query table")
-    if n and dmin != dmax:
-        raise ValueError("query vectors of different dimension")
-    qpdf = q.toPandas()
+    if n == 0:
+        return spark.createDataFrame([], "n long, query_id long, rank int, id long, score double")
+    check_queries(n, dmax, dmin)
     ship_package(spark)
-    qids = qpdf["query_id"].to_numpy(dtype=np.int64)
-    Q = stack_vectors(qpdf["query_vec"])
-    bq = spark.sparkContext.broadcast((qids, Q, sorted(int(s) for s in sizes)))
+    bound = conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES)
+    sizes = sorted({int(s) for s in sizes})
+    rows = spread(corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
+    cands = None
+    for qpdf in query_blocks(q, n, dmax, bound):
+        if len(qpdf):
+            part = _sweep_candidates(rows, qpdf, sizes, k, metric)
+            cands = part if cands is None else cands.unionByName(part)
+    return rank_candidates(cands, k, metric, part_cols=("n", "query_id"))
+
+
+def _sweep_candidates(rows: DataFrame, qpdf: pd.DataFrame, sizes: Sequence[int], k: int, metric: str) -> DataFrame:
+    bq = rows.sparkSession.sparkContext.broadcast((qpdf["query_id"].to_numpy(dtype=np.int64), stack_vectors(qpdf["query_vec"])))
 
     def score(batches):
-        qids_b, Q_b, sizes_b = bq.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(qids_b) == 0:
-                continue
-            ids = pdf["id"].to_numpy(dtype=np.int64)
-            X = stack_vectors(pdf["vec"], Q_b.shape[1])
-            for s in sizes_b:
-                keep = ids < s
-                if keep.any():
-                    part = block_topk(X[keep], ids[keep], Q_b, qids_b, k, metric)
-                    part.insert(0, "n", np.int64(s))
-                    yield part
-
-    cands = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInPandas(
-        score, "n long, " + CANDIDATE_SCHEMA
-    )
-    return rank_candidates(cands, k, metric, part_cols=("n", "query_id"))
+        import pyarrow as pa
+
+        qids, Q = bq.value
+        best = {s: RunningTopK(k, metric) for s in sizes}
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+                X = arrow_matrix(batch.column("vec"), Q.shape[1])
+                for s in sizes:
+                    keep = ids < s
+                    if keep.any():
+                        best[s].add(block_topk(X[keep], ids[keep], Q, qids, k, metric))
+        for s in sizes:
+            found = best[s].result()
+            found.insert(0, "n", np.int64(s))
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    return rows.mapInArrow(score, "n long, " + CANDIDATE_SCHEMA)

@@ -281,5 +281,4 @@ def search_fallback(spark, sf_dir):
 
     v, q = vectors(spark, sf_dir), query_set(spark, sf_dir)
     primary = lsh_topk(v, q, K, "cosine", bands=4, bits=10, exclude_self=True)
-    fallback = S.exact_topk(v, q, K, "cosine", exclude_self=True)
-    return S.search_with_fallback(primary, fallback)
+    return S.search_with_fallback(primary, lambda rest: S.exact_topk(v, rest, K, "cosine", exclude_self=True), q)
