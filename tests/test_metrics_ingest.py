@@ -102,3 +102,20 @@ def test_payload_bounds_and_optional(spark):
     assert got[1] == ("", "") and len(got[2][0]) == 1024 and len(got[2][1]) == 64
     st = I.stack_optional([df, spark.createDataFrame([(3, "z")], "id long, text string")])
     assert st.filter("id = 3").first().topic is None
+
+
+def test_null_groups_are_groups(spark):
+    """A NULL store keeps its rows in percentiles, summaries and merged records."""
+    rows = [(i, None if i % 4 == 0 else "a", float(i)) for i in range(20)]
+    log = spark.createDataFrame(rows, "event_id long, db string, ms double")
+    got = {r.db: r for r in M.latency_summary(log, ["db"], "ms", ["event_id"]).collect()}
+    import numpy as np
+
+    for db in (None, "a"):
+        values = [v for _, d, v in rows if d == db]
+        assert got[db].n == len(values) and abs(got[db].p95_ms - np.percentile(values, 95)) < 1e-9
+    low = {r.db: r.p50_ms for r in M.latency_lower_rank(log, ["db"], "ms", ["event_id"]).collect()}
+    assert low == {None: 8.0, "a": 10.0}
+    parts = [log.groupBy("db").count().withColumnRenamed("count", "n"), log.groupBy("db").agg(F.max("ms").alias("top"))]
+    merged = {r.db: (r.n, r.top) for r in M.metric_record(parts, ["db"]).collect()}
+    assert merged == {None: (5, 16.0), "a": (15, 19.0)}

@@ -48,14 +48,9 @@ def truncate(text, max_chars: int) -> Column:
 
 
 def normalize_exts(exts: Iterable[str] | None) -> list[str]:
-    """Trim, lower-case, drop blanks, prefix a dot."""
-    out = []
-    for e in DEFAULT_EXTS if exts is None else exts:
-        e = e.strip().lower()
-        if not e:
-            continue
-        out.append(e if e.startswith(".") else "." + e)
-    return out
+    """The allow-list (S4) as lower-case extensions with their dot; blanks are no extension."""
+    bare = map(str.lower, map(str.strip, DEFAULT_EXTS if exts is None else exts))
+    return [f"{'' if e.startswith('.') else '.'}{e}" for e in filter(None, bare)]
 
 
 def path_extension(path, strip_query: bool = False) -> Column:

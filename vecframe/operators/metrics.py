@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecframe.functions.temporal import epoch_micros
-from vecframe.operators.ranking import group_quantiles, with_positions
+from vecframe.operators.ranking import group_quantiles, join_null_safe, with_positions
 
 LATENCY_PROBS = (0.5, 0.95, 0.99)
 
@@ -37,7 +37,7 @@ def latency_summary(log: DataFrame, group_cols: Sequence[str], value_col: str, t
     basic = log.groupBy(*g).agg(
         F.avg(value_col).alias("avg_ms"), F.count(value_col).alias("n")
     )
-    return basic.join(wide, g, "left").select(*g, "avg_ms", *[_pcol(p) for p in LATENCY_PROBS], "n")
+    return join_null_safe(basic, wide, g, "left").select(*g, "avg_ms", *[_pcol(p) for p in LATENCY_PROBS], "n")
 
 
 def latency_summary_approx(log: DataFrame, group_cols: Sequence[str], value_col: str, accuracy: int = 10000) -> DataFrame:
@@ -60,7 +60,7 @@ def latency_lower_rank(log: DataFrame, group_cols: Sequence[str], value_col: str
         F.max(F.when(F.col("p") == 0.95, F.col("value"))).alias("p95_ms"),
     )
     basic = log.groupBy(*g).agg(F.avg(value_col).alias("avg_ms"), F.count(value_col).alias("repeats"))
-    return basic.join(wide, g, "left").select(*g, "avg_ms", "p50_ms", "p95_ms", "repeats")
+    return join_null_safe(basic, wide, g, "left").select(*g, "avg_ms", "p50_ms", "p95_ms", "repeats")
 
 
 # ------------------------------------------------------------------ recall
@@ -114,7 +114,7 @@ def recall_alignment(pred: DataFrame, truth: DataFrame, query_col: str = "query_
 def assert_aligned(pred: DataFrame, truth: DataFrame, query_col: str = "query_id") -> None:
     row = recall_alignment(pred, truth, query_col).first()
     if not row["aligned"]:
-        raise ValueError("Number of predictions must match number of ground truth queries")
+        raise ValueError(f"{row['only_pred']} queries have predictions only and {row['only_truth']} ground truth only")
 
 
 # ------------------------------------------------------------------ throughput
@@ -159,7 +159,7 @@ def metric_record(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     record per run. Every part has one row per key, so the joins are one-to-one."""
     out = parts[0]
     for p in parts[1:]:
-        out = out.join(p, list(keys), "full")
+        out = join_null_safe(out, p, list(keys), "full")
     return out
 
 

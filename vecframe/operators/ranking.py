@@ -24,6 +24,20 @@ from vecframe.session import cut_lineage
 _LOW33 = (1 << 33) - 1
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL (a NULL group is a group like any
+    other); the keys come once, then the other columns of both sides."""
+    named = {k: f"__{k}" for k in keys}
+    other = right.withColumnsRenamed(named)
+    cond = F.lit(True)
+    for k, o in named.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(o))
+    out = left.join(other, cond, how)
+    if how == "full":  # a row of one side only has its key there
+        out = out.withColumns({k: F.coalesce(k, o) for k, o in named.items()})
+    return out.drop(*named.values())
+
+
 def _maybe_broadcast(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
 
@@ -67,7 +81,7 @@ def with_positions(
     pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if total_col:
         pieces = pieces.withColumn(total_col, F.sum("_n").over(Window.partitionBy(*g)))
-    out = s.join(_maybe_broadcast(pieces, groups_bounded), ["_pid", *g])
+    out = join_null_safe(s, _maybe_broadcast(pieces, groups_bounded), ["_pid", *g])
     out = out.withColumn(pos_col, F.col("_off") + F.col("_mid") - F.col("_first"))
     return out.drop("_pid", "_mid", "_first", "_n", "_off")
 
@@ -112,7 +126,7 @@ def group_quantiles(
         .withColumn("_frac", F.col("_idx") - F.col("_lo"))
     )
     wanted = targets.select(*g, "p", "_lo", "_hi", "_frac", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("pos"))
-    picked = pos.select(*g, "pos", value_col).join(_maybe_broadcast(wanted, groups_bounded), [*g, "pos"])
+    picked = join_null_safe(pos.select(*g, "pos", value_col), _maybe_broadcast(wanted, groups_bounded), [*g, "pos"])
     agg = picked.groupBy(*g, "p").agg(
         F.max(F.when(F.col("pos") == F.col("_lo"), F.col(value_col))).alias("_vlo"),
         F.max(F.when(F.col("pos") == F.col("_hi"), F.col(value_col))).alias("_vhi"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vecframe.functions.temporal import epoch_seconds
 from vecframe.operators import metrics as M
 from vecframe.operators import search as S
+from vecframe.operators.ranking import join_null_safe
 from vecframe.plans.registry import register
 from vecframe.plans.search_queries import scaled_vectors
 from vecframe.plans.tables import table
@@ -64,10 +65,23 @@ def latency_summary(spark, sf_dir):
     return M.latency_summary(latency_log(spark, sf_dir), ["db"], "ms", ["event_id"], groups_bounded=True)
 
 
-@register("latency_summary_approx")
+@register("latency_summary_approx", f"""
+WITH {_EV}
+SELECT db, avg(ms) AS avg_ms, count(ms) AS n, true AS p50_within, true AS p95_within, true AS p99_within
+FROM ev GROUP BY db
+""")
 def latency_summary_approx(spark, sf_dir):
-    """A2 with the bounded-memory sketch (rows-only check: approximate by design)."""
-    return M.latency_summary_approx(latency_log(spark, sf_dir), ["db"], "ms")
+    """A2 with the bounded-memory sketch: avg and n, and for each percentile whether its
+    rank in the log is within the sketch's error of ``n / accuracy`` (and one row)."""
+    log = latency_log(spark, sf_dir).select("db", "ms")
+    sketch = M.latency_summary_approx(log, ["db"], "ms", accuracy=10_000)
+    j = join_null_safe(log, F.broadcast(sketch), ["db"])  # one row per store
+    checks = []
+    for p, c in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+        slack = F.first("n") / 10_000 + 1
+        below, upto = F.count_if(F.col("ms") < F.col(f"{c}_ms")), F.count_if(F.col("ms") <= F.col(f"{c}_ms"))
+        checks.append(((below - slack <= p * F.first("n")) & (p * F.first("n") <= upto + slack)).alias(f"{c}_within"))
+    return j.groupBy("db").agg(F.first("avg_ms").alias("avg_ms"), F.first("n").alias("n"), *checks)
 
 
 @register("latency_lower_rank", f"""

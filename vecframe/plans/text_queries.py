@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vecframe.functions import embed as E
 from vecframe.functions import text as X
 from vecframe.functions.temporal import elapsed_ms, stamp
-from vecframe.operators.ranking import dense_ids, with_positions
+from vecframe.operators.ranking import dense_ids, join_null_safe, with_positions
 from vecframe.plans.registry import register
 from vecframe.plans.tables import TABLES, table
 from vecframe.sources import corpus as C
@@ -89,8 +89,7 @@ def prepare_corpus(spark, sf_dir):
     """Strip -> length filter -> (no cut, no cap: 0 = unlimited) -> dense ids -> topic,
     over all documents and whole texts."""
     prepared = C.prepare_texts(docs(spark, sf_dir).select("doc_id", "text", "lang"), "text", 50, 0)
-    prepared = C.cap_in_order(prepared, ["doc_id"], 0)
-    return dense_ids(prepared, ["doc_id"], ["doc_id"], id_col="id").select(
+    return C.numbered(prepared, ["doc_id"]).select(
         "id", "doc_id", "text", F.col("lang").alias("topic")
     )
 
@@ -154,23 +153,21 @@ def synthetic_corpus(spark, sf_dir):
     return C.synthetic_corpus(docs(spark, sf_dir).select("doc_id"), 42, "doc_id")
 
 
-@register("text_autodetect", f"""WITH {_PREP}
-SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, text, 'table' AS topic FROM kept""")
+@register("text_autodetect", f"""
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, {_strip_sql('text')} AS text, 'table' AS topic FROM documents""")
 def text_autodetect(spark, sf_dir):
-    """The text column of ``documents`` found by name, then prepared (whole texts)."""
-    return C.text_table(docs(spark, sf_dir), id_col="doc_id", max_chars=0)
+    """The text column of ``documents`` found by name, every row, whole texts."""
+    return C.text_table(docs(spark, sf_dir), id_col="doc_id")
 
 
 @register("nested_text_field", f"""
-WITH m AS (SELECT conv_id * 1000000 + turn AS pos, {_strip_sql('text')} AS text FROM conversations),
-k AS (SELECT pos, text FROM m WHERE length(text) >= 50)
-SELECT row_number() OVER (ORDER BY pos) - 1 AS id, text, 'table' AS topic FROM k""")
+SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS id, {_strip_sql('text')} AS text, 'table' AS topic
+FROM conversations""")
 def nested_text_field(spark, sf_dir):
     """The text field picked out of a record column (``document STRUCT<role, text>``)."""
     c = table(spark, sf_dir, "conversations")
-    rec = c.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("pos"),
-                   F.struct("role", "text").alias("document"))
-    return C.text_table(rec, id_col="pos", max_chars=0)
+    rec = c.select("conv_id", "turn", F.struct("role", "text").alias("document"))
+    return C.text_table(rec, "document", id_col=["conv_id", "turn"])
 
 
 @register("vector_scan", """
@@ -194,13 +191,12 @@ def largest_table(spark, sf_dir):
 
 @register("source_fallback", f"""
 WITH b AS (SELECT item_id, {_strip_sql('text')} AS text FROM benchmark),
-k AS (SELECT item_id, text FROM b WHERE length(text) >= 50),
-t AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS id, text FROM k)
+t AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS id, text FROM b)
 SELECT id, text FROM t
 UNION ALL SELECT vec_id, 'vec_' || CAST(vec_id AS VARCHAR) FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM t)""")
 def source_fallback(spark, sf_dir):
     """Texts of ``benchmark``; vector rows only if no text survives."""
-    texts = C.text_table(table(spark, sf_dir, "benchmark"), id_col="item_id", max_chars=0).select("id", "text")
+    texts = C.text_table(table(spark, sf_dir, "benchmark"), id_col="item_id").select("id", "text")
     vecs = C.vector_table(table(spark, sf_dir, "embeddings"), id_col="vec_id").select("id", "text")
     return C.with_fallback(texts, vecs)
 
@@ -217,15 +213,14 @@ w AS (SELECT {id_out}, bucket, cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY {id_
 @register("hash_embed", "WITH " + _HASH.format(id="doc_id", id_out="doc_id", tbl="documents") + " SELECT * FROM w")
 def hash_embed(spark, sf_dir):
     """V6: feature-hashing embedding of every document (non-zero unit weights)."""
-    counts = E.hash_counts(docs(spark, sf_dir), "text", DIM, ["doc_id"])
-    return E.sparse_unit_weights(counts, ["doc_id"])
+    return E.hash_weights(docs(spark, sf_dir), "text", DIM, ["doc_id"])
 
 
 @register("embed_queries", "WITH " + _HASH.format(id="item_id", id_out="query_id", tbl="benchmark") + " SELECT * FROM w")
 def embed_queries(spark, sf_dir):
     """V7: the benchmark texts embedded with the same embedder."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return E.sparse_unit_weights(E.hash_counts(b, "text", DIM, ["query_id"]), ["query_id"])
+    return E.hash_weights(b, "text", DIM, ["query_id"])
 
 
 @register("elapsed_ms", """
@@ -239,9 +234,9 @@ def elapsed_ms_q(spark, sf_dir):
     ``(db, pos)``, so no store's whole log goes through one task.
     """
     ev = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("db"), "ts")
-    pos = with_positions(ev, ["db"], ["ts"], ["event_id"], total_col=None)
+    pos = with_positions(ev, ["db"], ["ts"], ["event_id"], total_col=None, groups_bounded=True)  # the stores
     prev = pos.select("db", (F.col("pos") + 1).alias("pos"), F.col("ts").alias("prev_ts"))
-    return pos.join(prev, ["db", "pos"], "left").select("event_id", "db", elapsed_ms("prev_ts", "ts").alias("gap_ms"))
+    return join_null_safe(pos, prev, ["db", "pos"], "left").select("event_id", "db", elapsed_ms("prev_ts", "ts").alias("gap_ms"))
 
 
 @register("stamp_format", "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events")

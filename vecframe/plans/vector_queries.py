@@ -16,15 +16,18 @@ DIM = 64
 
 
 def pairs(spark, sf_dir):
-    """Each vector with its successor id (an equi-join, linear in the table)."""
+    """Each vector with its successor id (an equi-join, linear in the table); a vector
+    without a successor is its own partner, so every row of the table is scored."""
     e = table(spark, sf_dir, "embeddings")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_id"), F.col("embedding").alias("b"))
-    return e.select("vec_id", F.col("embedding").alias("a")).join(nxt, "vec_id")
+    both = e.select("vec_id", F.col("embedding").alias("a")).join(nxt, "vec_id", "left")
+    return both.select("vec_id", "a", F.coalesce("next_id", "vec_id").alias("next_id"), F.coalesce("b", "a").alias("b"))
 
 
 _PAIRS_SQL = """p AS (
-  SELECT x.vec_id, y.vec_id AS next_id, CAST(x.embedding AS DOUBLE[]) AS a, CAST(y.embedding AS DOUBLE[]) AS b
-  FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)"""
+  SELECT x.vec_id, coalesce(y.vec_id, x.vec_id) AS next_id, CAST(x.embedding AS DOUBLE[]) AS a,
+         CAST(coalesce(y.embedding, x.embedding) AS DOUBLE[]) AS b
+  FROM embeddings x LEFT JOIN embeddings y ON y.vec_id = x.vec_id + 1)"""
 
 
 @register("l2_normalize", """

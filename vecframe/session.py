@@ -49,8 +49,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is. Only when it is
-    unset (local tests) a fresh scratch folder is created and set.
+    On a cluster the setting names a shared folder and is used as is. Only where it is
+    unset and the master is local (tests) a fresh scratch folder is created and set; on a
+    cluster executors would write to their own disks, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -61,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="vecframe-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
@@ -73,6 +76,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SPREAD_BYTES = 64 * 1024 * 1024
+
 _SHUFFLED = re.compile(r"Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|SinglePartition)")
 
 
@@ -82,12 +87,15 @@ def spread(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     Parquet row group (only one scan task gets rows).
 
     Decided from the plan without running it: after a shuffle the parallelism is already
-    the shuffle's; a scan of at least one file per slot (any large table on a cluster) is
-    left unchanged, so no shuffle is added there. Only small or single-file inputs are
-    repartitioned: round-robin, or by the ``by`` columns so that later aggregations on
+    the shuffle's; an input of more than SPREAD_BYTES for each slot has splits enough and is
+    never shuffled, however few files hold it. Only a small input in fewer files than slots
+    is repartitioned: round-robin, or by the ``by`` columns so that later aggregations on
     them need no further exchange."""
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > slots * SPREAD_BYTES:
+        return df
     plan = df._jdf.queryExecution().executedPlan().toString()
     if _SHUFFLED.search(plan):
         return df

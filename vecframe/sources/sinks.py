@@ -22,12 +22,12 @@ def report_document(runs: DataFrame, timestamp: str) -> DataFrame:
 
 
 def write_report(runs: DataFrame, path: str, timestamp: str) -> None:
-    report_document(runs, timestamp).coalesce(1).write.mode("overwrite").text(path)
+    report_document(runs, timestamp).repartition(1).write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
     """K2: header row, no index. A summary is small, so it is written as one file."""
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df  # the summary is made in parallel, then gathered
     out.write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -19,6 +19,7 @@ from vecframe.functions.embed import hash_embed
 from vecframe.functions.text import py_strip
 from vecframe.operators import rag as G
 from vecframe.operators.search import exact_topk, lookup_payload
+from vecframe.sources.corpus import numbered
 from vecframe.streaming.upsert import read_current, version_path
 
 TURN_SCHEMA = T.StructType([
@@ -57,7 +58,7 @@ def start_stream_rag(
         stops = spark.read.parquet(version_path(state_dir, batch_id))
         q = turns.filter(F.length("question") > 0).join(stops, "conv_id", "left")
         q = q.filter(F.col("stop").isNull() | (F.col("turn") < F.col("stop"))).drop("stop")
-        q = q.withColumn("query_id", F.col("conv_id") * 1_000_000 + F.col("turn")).persist()
+        q = numbered(q, ["conv_id", "turn"], id_col="query_id").persist()
         try:
             if q.isEmpty():
                 return
