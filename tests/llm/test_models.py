@@ -206,3 +206,22 @@ def test_toxicity_on_held_out_labels(spark):
     assert (rows.predicted == rows.toxic).mean() > 0.97
     assert ((rows.predicted == 1) & (rows.toxic == 0)).mean() < 0.01
     assert len(EXTRA)
+
+
+def test_scores_against_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    words = [f"Word{i}" for i in range(80)]
+    rows = [(100 + i, " \n".join(rng.choice(words[: 10 + 7 * (i % 10)], rng.integers(1, 50)))) for i in range(150)]
+    rows += [r for r in EDGE_TEXTS if r[0] not in (None, 9)]
+    targets = [(i,) for i, _ in rows if i % 3 == 0]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    con.execute("CREATE TABLE good (doc_id BIGINT)")
+    con.executemany("INSERT INTO good VALUES (?)", [list(r) for r in targets])
+    want = sorted(con.execute(lm_scoring.scores_sql("SELECT doc_id FROM good")).fetchall())
+    got = sorted(map(tuple, lm_scoring.cross_entropy_difference(docs(spark, rows), spark.createDataFrame(targets, "doc_id long")).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2:] for r in got], [r[2:] for r in want], atol=2e-6)

@@ -117,3 +117,17 @@ def test_traversal_visits_every_leaf_once():
     assert sorted(tree.order(x[0])) == list(range(tree.leaves))
     assert tree.place(x).max() < tree.leaves
     assert kmeans_tree.visits_needed(np.array([0, 0, 1, 5]), 0.75) == 2 and kmeans_tree.visits_needed(np.array([]), 0.9) == 1
+
+
+def test_groups_against_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    x = clustered(rng, 120)
+    rows = [(int(i), [float(c) for c in v], int(rng.integers(0, 3))) for i, v in zip(rng.permutation(len(x)), x, strict=True)]
+    rows += [(1000 + i, v, 1) for i, v in enumerate(BAD)] + [(2000, rows[0][1], None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [list(r) for r in rows])
+    got = sorted(map(tuple, vector_dedup.vector_groups(frame(spark, rows)).collect()))
+    assert got == sorted(con.execute(vector_dedup.groups_sql()).fetchall())

@@ -46,6 +46,9 @@ def op5_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
+ORACLE["op5_vector_groups"] = vector_dedup.groups_sql()
+
+
 @query
 def op6_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -83,4 +86,9 @@ ORACLE["op8_licenses"] = licenses.summary_sql()
 @query
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = lm_scoring.quality_targets(_table(spark, sf_dir, "labels"), F.col("quality") == 1)
-    return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+    scores = lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+    rounded = {c: F.round(c, 6) + F.lit(0.0) for c in ("target_loss", "background_loss", "score")}  # no negative zero
+    return scores.withColumns(rounded)
+
+
+ORACLE["op1_cross_entropy_difference"] = lm_scoring.scores_sql("SELECT doc_id FROM labels WHERE quality = 1")
