@@ -101,3 +101,26 @@ def test_hash_embed_wide_and_sparse_paths_agree_with_counts(spark):
         for r in counts:
             want[r.id][r.bucket] = float(r.cnt)
         assert dense == want
+
+
+def test_chunk_text_from_sql(spark):
+    from vecframe.functions.text import chunk_text
+
+    V.register_sql_functions(spark)
+    rows = [(1, "  abcdefghij klmnopqrst  "), (2, None), (3, ""), (4, "x" * 35), (5, "\t \n"), (6, "ab  " * 9)]
+    spark.createDataFrame(rows, "k long, body string").createOrReplaceTempView("chunk_docs")
+    got = spark.sql("SELECT k, chunk_ix, chunk FROM chunk_docs, LATERAL chunk_text(body, 10, 3)").collect()
+    want = chunk_text(spark.table("chunk_docs"), "body", 10, 3, keep=["k"]).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_vector_query_side(spark):
+    from vecframe.sources import corpus as C
+
+    df = spark.createDataFrame([(i, [1.0 * i], None if i % 2 else [2.0 * i]) for i in range(6)], "k long, train array<float>, test array<float>")
+    assert [r.query_id for r in C.vector_queries(df, "k", max_queries=2).orderBy("query_id").collect()] == [0, 2]
+    assert C.vector_queries(df, "k", query_key="train").count() == 6
+    assert C.corpus_column(df.withColumnsRenamed({"train": "a", "test": "b"}).select("b", "a")) == "a"
+    assert C.vector_queries(df.drop("test"), "k").count() == 6
+    with pytest.raises(ValueError):
+        C.vector_queries(df, "k", query_key="nope")

@@ -90,9 +90,28 @@ SQL_FUNCTIONS = {
 }
 
 
+def chunk_function_sql() -> str:
+    """``chunk_text(body, size, overlap)`` as an SQL table function: the chunks of one text
+    (P8), for ``FROM docs, LATERAL chunk_text(docs.text, 1000, 150)``."""
+    from vecframe.functions.text import PY_WHITESPACE
+
+    space = "concat(" + ", ".join(f"chr({ord(c)})" if ord(c) < 256 else f"'{c}'" for c in PY_WHITESPACE) + ")"
+    strip = lambda x: f"btrim({x}, {space})"
+    last = f"greatest(CAST(ceil((length({strip('coalesce(body, \'\')')}) - size) / CAST(size - overlap AS DOUBLE)) AS INT), 0)"
+    pieces = (
+        f"filter(transform(sequence(0, {last}), j -> {strip(f'substring({strip("coalesce(body, \'\')")}, j * (size - overlap) + 1, size)')}), "
+        "c -> length(c) > 0)"
+    )
+    return (
+        "CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(body STRING, size INT, overlap INT) "
+        f"RETURNS TABLE(chunk_ix INT, chunk STRING) RETURN SELECT pos, col FROM posexplode({pieces})"
+    )
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
-    """Register the vector scalars as session SQL functions (U3) so that SQL users can
-    write ``ORDER BY l2_distance(embedding, q)`` like the ``<->`` operator."""
+    """Register the vector scalars and the chunker as session SQL functions (U3) so that SQL
+    users can write ``ORDER BY l2_distance(embedding, q)`` like the ``<->`` operator."""
     for name, (args, returns, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {returns} RETURN {body}")
-    return list(SQL_FUNCTIONS)
+    spark.sql(chunk_function_sql())
+    return [*SQL_FUNCTIONS, "chunk_text"]

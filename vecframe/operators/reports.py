@@ -35,6 +35,12 @@ def suite_table(frames: Sequence[DataFrame]) -> DataFrame:
     return out.orderBy("n_dataset", "db")
 
 
+def bar_values(runs: DataFrame, metrics: Sequence[str] = SERIES_METRICS) -> DataFrame:
+    """One bar per store and metric of the largest size; a missing value is drawn as 0."""
+    long = unpivot_metrics(first_per_db(largest_slice(runs)), metrics, keys=("db",))
+    return long.select("db", "metric", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def distinct_axes(runs: DataFrame) -> DataFrame:
     """Sorted distinct store names and sizes: ``(axis, pos, value)``."""
     dbs = runs.select(F.lit("db").alias("axis"), F.col("db").alias("value"), F.col("db").alias("_k"),

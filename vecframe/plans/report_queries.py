@@ -19,10 +19,30 @@ _LARGEST = "big AS (SELECT * FROM runs WHERE n_dataset = (SELECT max(n_dataset)
 _LOWER = "CASE metric " + " ".join(f"WHEN '{m}' THEN {str(lo).upper()}" for m, lo in R.SCORE_METRICS.items()) + " END"
 
 
-@register("suite_table", f"WITH {RUNS_CTE} SELECT * FROM runs")
+# one store reports no memory, as a store without a local process does
+_NO_MEMORY = "view"
+_STACKED = f"stacked AS (SELECT * REPLACE (CASE WHEN db = '{_NO_MEMORY}' THEN NULL ELSE memory_mb END AS memory_mb) FROM runs)"
+
+
+def stacked(spark, sf_dir):
+    record = runs(spark, sf_dir)
+    return R.suite_table([record.where(F.col("db") != _NO_MEMORY), record.where(F.col("db") == _NO_MEMORY).drop("memory_mb")])
+
+
+@register("suite_table", f"WITH {RUNS_CTE}, {_STACKED} SELECT * FROM stacked")
 def suite_table(spark, sf_dir):
-    """R1+R2: all run records stacked and sorted by (n_dataset, db)."""
-    return R.suite_table([runs(spark, sf_dir)])
+    """R1+R2: the records of several stores stacked, one of them without the optional memory
+    column, sorted by (n_dataset, db)."""
+    return stacked(spark, sf_dir)
+
+
+@register("bar_values", f"""WITH {RUNS_CTE}, {_STACKED},
+big AS (SELECT * FROM stacked WHERE n_dataset = (SELECT max(n_dataset) FROM stacked)),
+l AS ({_unpivot_sql("big", R.SERIES_METRICS, keys=("db",))})
+SELECT db, metric, coalesce(value, 0.0) AS value FROM l""")
+def bar_values(spark, sf_dir):
+    """Bars of the largest size, missing values as 0."""
+    return R.bar_values(stacked(spark, sf_dir))
 
 
 @register("distinct_axes", f"""WITH {RUNS_CTE},

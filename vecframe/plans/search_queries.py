@@ -223,6 +223,16 @@ def ann_lsh_topk(spark, sf_dir):
     return lsh_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine", bands=8, bits=4)
 
 
+@register("ann_lsh_wide_topk", f"""WITH {_lsh_sql(16, 4)},
+{_RERANK.format(where="", name="ann")}
+SELECT query_id, rank, id, round(score, 6) AS score FROM ann""")
+def ann_lsh_wide_topk(spark, sf_dir):
+    """T4(a): LSH top-5 with twice the bands (16 x 4 bits): the setting for high recall."""
+    from vecframe.operators.ann import lsh_topk
+
+    return lsh_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine", bands=16, bits=4)
+
+
 _IVF_SQL = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 el AS (SELECT label AS cell, unnest(range(0, len(v))) AS pos, unnest(v) AS x FROM e),
 cent AS (SELECT cell, list(m ORDER BY pos) AS c FROM (SELECT cell, pos, avg(x) AS m FROM el GROUP BY cell, pos) GROUP BY cell),

@@ -182,6 +182,19 @@ def vector_scan(spark, sf_dir):
     return v.select("id", "text", F.size("embedding").alias("dim"), norm("embedding").alias("norm"))
 
 
+@register("query_prefix", """
+SELECT vec_id AS query_id, len(embedding) AS dim,
+       sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
+FROM embeddings ORDER BY vec_id LIMIT 100""")
+def query_prefix(spark, sf_dir):
+    """S7, query side: the first 100 query vectors by id (the prefix is the feature; the
+    table has no ``test`` column, so the corpus column is searched for itself)."""
+    from vecframe.functions.vectors import norm
+
+    q = C.vector_queries(table(spark, sf_dir, "embeddings"), "vec_id", max_queries=100)
+    return q.select("query_id", F.size("query_vec").alias("dim"), norm("query_vec").alias("norm"))
+
+
 @register("largest_table", "SELECT name, rows FROM (" + " UNION ALL ".join(
     f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES) + ") ORDER BY rows DESC, name LIMIT 1")
 def largest_table(spark, sf_dir):
