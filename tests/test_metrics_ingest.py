@@ -119,3 +119,13 @@ def test_null_groups_are_groups(spark):
     parts = [log.groupBy("db").count().withColumnRenamed("count", "n"), log.groupBy("db").agg(F.max("ms").alias("top"))]
     merged = {r.db: (r.n, r.top) for r in M.metric_record(parts, ["db"]).collect()}
     assert merged == {None: (5, 16.0), "a": (15, 19.0)}
+
+
+def test_equal_sequence_numbers_have_one_winner(spark):
+    base = spark.createDataFrame([(9, "old")], "id long, text string")
+    rows = [(1, 5, t) for t in ("a", "b", "c", "d")] + [(1, 4, "z"), (2, 1, "x")]
+    got = set()
+    for parts in (1, 3, 7):
+        batch = spark.createDataFrame(rows, "id long, seq long, text string").repartition(parts)
+        got.add(tuple(sorted(map(tuple, I.upsert_last_wins(base, batch, "id", "seq").collect()))))
+    assert len(got) == 1 and (1, "z") not in got.pop()

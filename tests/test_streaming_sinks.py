@@ -65,3 +65,12 @@ def test_sinks(spark, tmpdir_path):
     K.write_texts(K.export_texts(docs, "pos", "text"), os.path.join(tmpdir_path, "export"))
     folders = sorted(f for f in os.listdir(os.path.join(tmpdir_path, "export")) if f.startswith("name="))
     assert folders == ["name=doc_000000.txt", "name=doc_000002.txt"]
+
+
+def test_old_versions_are_removed(spark, tmpdir_path):
+    from vecframe.streaming import upsert as U
+
+    for v in range(5):
+        spark.range(v + 1).write.parquet(U.version_path(tmpdir_path, v))
+    U.drop_old_versions(spark, tmpdir_path)
+    assert U.list_versions(spark, tmpdir_path) == [3, 4]

@@ -17,9 +17,12 @@ from vecframe.operators.ranking import dense_ids
 
 
 def _latest(batch: DataFrame, key: str, seq_col: str, value_cols: Sequence[str], newest: bool = True) -> DataFrame:
+    """One row per key: the newest (or oldest) by ``seq_col``; rows with an equal ``seq_col``
+    are ordered by a hash of their values, so the pick never depends on partitioning."""
     pick = F.max_by if newest else F.min_by
     rec = F.struct(*[F.col(c) for c in value_cols])
-    return batch.groupBy(key).agg(pick(rec, F.col(seq_col)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in value_cols])
+    order = F.struct(F.col(seq_col), F.xxhash64(*[F.col(c) for c in value_cols]))
+    return batch.groupBy(key).agg(pick(rec, order).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in value_cols])
 
 
 def upsert_last_wins(base: DataFrame, batch: DataFrame, key: str, seq_col: str) -> DataFrame:

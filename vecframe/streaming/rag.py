@@ -20,7 +20,7 @@ from vecframe.functions.text import py_strip
 from vecframe.operators import rag as G
 from vecframe.operators.search import exact_topk, lookup_payload
 from vecframe.sources.corpus import numbered
-from vecframe.streaming.upsert import read_current, version_path
+from vecframe.streaming.upsert import drop_old_versions, read_current, version_path
 
 TURN_SCHEMA = T.StructType([
     T.StructField("conv_id", T.LongType()),
@@ -55,6 +55,7 @@ def start_stream_rag(
         new = turns.filter(F.lower("question").isin(*G.STOP_WORDS)).groupBy("conv_id").agg(F.min("turn").alias("stop"))
         stops = old.unionByName(new).groupBy("conv_id").agg(F.min("stop").alias("stop"))
         stops.write.mode("overwrite").parquet(version_path(state_dir, batch_id))
+        drop_old_versions(spark, state_dir)
         stops = spark.read.parquet(version_path(state_dir, batch_id))
         q = turns.filter(F.length("question") > 0).join(stops, "conv_id", "left")
         q = q.filter(F.col("stop").isNull() | (F.col("turn") < F.col("stop"))).drop("stop")

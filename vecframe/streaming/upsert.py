@@ -3,7 +3,8 @@
 Every micro-batch is merged into the stored collection with last-write-wins semantics
 (K5) inside ``foreachBatch``. The collection is kept as versioned Parquet folders
 ``version=<batch_id>``: batch ``b`` reads the newest complete version older than ``b``
-and writes version ``b``. A replayed batch (after a failure) rewrites the same version
+and writes version ``b``; versions older than the last ``KEEP_VERSIONS`` are removed after
+that, so the store does not grow with the number of batches. A replayed batch (after a failure) rewrites the same version
 from the same input, so the sink is idempotent, and each version reads files, never a
 growing lineage.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from vecframe.operators.ingest import _latest, upsert_last_wins
 
 VERSION_PREFIX = "version="
+KEEP_VERSIONS = 2  # the current one, and the one a replayed batch reads
 
 
 def _fs(spark: SparkSession, path: str):
@@ -51,6 +53,13 @@ def read_current(spark: SparkSession, store_dir: str, schema: T.StructType, befo
     return spark.read.schema(schema).parquet(version_path(store_dir, versions[-1]))
 
 
+def drop_old_versions(spark: SparkSession, store_dir: str, keep: int = KEEP_VERSIONS) -> None:
+    """Remove all but the newest ``keep`` complete versions."""
+    for version in list_versions(spark, store_dir)[:-keep]:
+        fs, path = _fs(spark, version_path(store_dir, version))
+        fs.delete(path, True)
+
+
 def start_stream_upsert(
     spark: SparkSession,
     source_dir: str,
@@ -73,6 +82,7 @@ def start_stream_upsert(
         incoming = batch.select(key, seq_col, *[f.name for f in values if f.name != key])
         out = upsert_last_wins(base, incoming, key, seq_col)
         out.write.mode("overwrite").parquet(version_path(store_dir, batch_id))
+        drop_old_versions(spark, store_dir)
 
     stream = spark.readStream.schema(source_schema).parquet(source_dir)
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
