@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecframe.llm.batches import small_batches
 from vecframe.session import ship_package
 
 # Fixed value: the pattern that splits text before the merges (byte-level BPE).
@@ -160,6 +161,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     those tokens. One row per row; further columns are ignored; ``path`` must be readable by
     every worker."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -178,6 +180,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids, text)``: ids as of :func:`encode_documents` to their text; null ids
     count as none."""
     ship_package(encoded.sparkSession)
+    small_batches(encoded.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

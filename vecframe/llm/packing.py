@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecframe.llm.batches import small_batches
 from vecframe.session import ship_package
 
 MAX_TOKENS = 2048
@@ -156,6 +157,7 @@ def document_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     unsigned 32-bit integers; a null or empty text has the last id only. ``path`` is a
     vocabulary file with word ends, readable by every worker."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     last = int(end_id).to_bytes(4, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +289,7 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SE
     piece; rows with equal or null ids are examples of their own; an empty table makes none.
     ``sequence_id`` is the task's partition times 2^32 and a running number."""
     ship_package(examples.sparkSession)
+    small_batches(examples.sparkSession)
     masked = "loss" in examples.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecframe.llm.batches import small_batches
 from vecframe.llm.components import connected_components
 from vecframe.session import cut_lineage, ship_package
 
@@ -59,6 +60,7 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fp)``, one row per row of ``docs``; fp is the fingerprint as a signed long."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +193,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > MAX_BITS:
         raise ValueError("three segments find pairs within four bits")
     ship_package(prints.sparkSession)
+    small_batches(prints.sparkSession)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(keys, found):

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecframe.llm.batches import small_batches
 from vecframe.session import cut_lineage, ship_package
 
 FOLDS = 5                 # rows with crc32(id) mod FOLDS = 0 are held out
@@ -31,7 +32,8 @@ LEAST_SHARE = 5e-7        # of all training tokens; so the model has at most 2 m
 LEAST_TEXTS = 3
 DRIFT = 0.05              # what a token costs, so that a text's expected score is negative
 SIGNIFICANT = 0.05        # expected number of equal segments in clean text of this length
-COUNTED_WORDS = 200_000   # distinct tokens a task counts before it passes them on
+COUNTED_WORDS = 150_000   # distinct tokens a task counts before it passes them on
+CACHE_WORDS = 250_000     # words whose score a worker remembers; beyond it starts anew
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -90,6 +92,7 @@ def token_scores(docs: DataFrame, train: DataFrame) -> dict[str, float]:
     """Score of every token form that differs between the classes beyond doubt, and zero for
     those well known that a beginning would otherwise speak for."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     texts = docs.join(F.broadcast(train), "doc_id").select("toxic", "text")
     counts = cut_lineage(
         texts.mapInArrow(_count, "form string, toxic long, clean long").groupBy("form")
@@ -154,7 +157,7 @@ class _Scores(dict):
         self.table = table
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 1_000_000:
+        if len(self) > CACHE_WORDS:
             self.clear()
         value = next((self.table[f] for f in forms(word) if f in self.table), 0.0)
         self[word] = value
