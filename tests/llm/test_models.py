@@ -7,6 +7,7 @@ import pytest
 from fixtures import EDGE_TEXTS, EXTRA, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecframe.llm import lm_scoring, toxicity
 
@@ -86,6 +87,15 @@ def test_scoring_edges(spark):
     assert lm_scoring.cross_entropy_difference(docs(spark).limit(0), none).collect() == []
 
 
+def test_every_target_is_counted(spark):
+    ids = spark.range(500_000).select(F.col("id").alias("doc_id"))
+    frame = ids.select("doc_id", F.lit("a b").alias("text"))
+    marked = lm_scoring.mark_target(frame, ids.union(ids).repartition(4))
+    assert marked.count() == marked.where("target").count() == 500_000
+    models = lm_scoring.fit_models(marked)
+    assert models.counts[-1].tolist() == [500_000, 500_000] and models.pairs.tolist() == [[500_000, 500_000]] * 2
+
+
 def test_held_out_quality(spark):
     """Models of labels outside one fold rank that fold's junk above its good texts."""
     documents, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
