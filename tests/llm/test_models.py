@@ -191,6 +191,15 @@ def test_toxicity_on_a_planted_corpus(spark):
     assert {i for i, t in toxic.items() if not t} <= kept and not {i for i, t in toxic.items() if t} & kept
 
 
+def test_toxic_rows_go_by_their_own_text(spark):
+    rows, labels = small_toxic(spark)
+    toxic, clean = rows[0][1], rows[1][1]
+    extra = [(5000, toxic), (5000, clean), (None, toxic), (None, clean)]
+    left = toxicity.drop_toxic(docs(spark, rows + extra), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = [(r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] in (5000, None)]
+    assert sorted(kept, key=repr) == [(5000, clean), (None, clean)]
+
+
 def test_held_out_labels_are_never_learned(spark):
     rows, labels = small_toxic(spark)
     held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]

@@ -126,6 +126,15 @@ def test_representatives_keep_all_columns(spark):
     assert [i for n, i in ids if not n] == [1, 2, 5, 8, 9, 10, 11, 12] and sum(n for n, _ in ids) == 1
 
 
+def test_every_group_keeps_just_one_row(spark):
+    one, two, three = ("".join(f"{w}{i} " for i in range(40)) for w in ("ab", "cd", "ef"))
+    rows = [(3, one), (5, one), (5, two), (7, three), (7, "x y z"), (None, one), (None, "p q r"), (None, "p q r"), (9, "u v"), (9, "u v")]
+    for frame in (docs(spark, rows), docs(spark, rows[::-1]).repartition(4)):
+        got = [(r["doc_id"], r["text"]) for r in simhash.keep_representatives(frame).collect()]
+        want = [(3, one), (5, two), (7, three), (7, "x y z"), (9, "u v"), (None, "p q r")]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_components_against_union_find(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (350, 2))] + [(i, i + 1) for i in range(500, 640)] + [(700, 700)]

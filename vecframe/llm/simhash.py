@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from vecframe.llm.batches import small_batches
 from vecframe.llm.components import connected_components
+from vecframe.llm.row_keys import keyed
 from vecframe.session import cut_lineage, ship_package
 
 SHINGLE_WORDS = 4
@@ -59,16 +60,23 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, fp)``, one row per row of ``docs``; fp is the fingerprint as a signed long."""
-    ship_package(docs.sparkSession)
-    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _text_prints(rows, words)
+
+
+def _text_prints(rows: DataFrame, words: int) -> DataFrame:
+    """``rows``, whose last column is a text and all others longs, with fp instead of the text."""
+    ship_package(rows.sparkSession)
+    small_batches(rows.sparkSession)
+    names = [*rows.columns[:-1], "fp"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            *others, texts = batch.columns
+            prints = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*others, pa.array(prints.view(np.int64))], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, fp long")
+    return rows.mapInArrow(work, ", ".join(f"{n} long" for n in names))
 
 
 # --- Golay keys -----------------------------------------------------------------------
@@ -267,12 +275,24 @@ def simhash_groups(
     )
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one with the smallest id
-    (among equal ids, one row). A group of null ids only keeps all its rows, since nothing
-    tells them apart. All columns are kept as they are."""
-    groups = simhash_groups(docs, id_col, text_col, **parameters)
-    gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+def keep_representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+) -> DataFrame:
+    """``docs`` with exactly one row of each near-duplicate group: the one with the smallest
+    id (null ids last; among equal ids the smallest key of the row's content). Rows are
+    told apart by their content, never by the id alone. All columns are kept as they are."""
+    every, key = keyed(docs)
+    rows = cut_lineage(_text_prints(every.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(key[0]).alias("high"), F.col(key[1]).alias("low"),
+        F.col(text_col).cast("string").alias("text")), words))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "high", "low")
+    prints = rows.groupBy("fp").agg(F.min(order).alias("first"))
+    comps = connected_components(links(prints, max_bits))
+    first = (
+        prints.join(comps, prints["fp"] == comps["node"], "left")
+        .groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
+        .select(F.col("first.high").alias(key[0]), F.col("first.low").alias(key[1]))
+    )
+    # rows with one key are equal in all columns
+    return every.join(first, key, "left_semi").dropDuplicates(key).select(*[f"`{c}`" for c in docs.columns])

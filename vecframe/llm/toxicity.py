@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecframe.llm.batches import small_batches
+from vecframe.llm.row_keys import keyed
 from vecframe.session import cut_lineage, ship_package
 
 FOLDS = 5                 # rows with crc32(id) mod FOLDS = 0 are held out
@@ -167,8 +168,9 @@ class _Scores(dict):
 SEGMENTS = "array<struct<start: int, end: int, score: double>>"
 
 
-def text_segments(docs: DataFrame, table: dict[str, float]) -> DataFrame:
-    """``(doc_id, n_tokens, segments)``; starts and ends count characters, ends exclusive."""
+def text_segments(docs: DataFrame, table: dict[str, float], carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, n_tokens, segments)``; starts and ends count characters, ends exclusive.
+    The long columns named by ``carry`` come last."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +191,13 @@ def text_segments(docs: DataFrame, table: dict[str, float]) -> DataFrame:
                 ends = [m.span() for m in _WORD.finditer(low)]
                 lists.append([{"start": ends[a][0], "end": ends[b][1], "score": s} for a, b, s in segments])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(lists, kind)], names=["doc_id", "n_tokens", "segments"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(lists, kind), *batch.columns[2:]],
+                names=["doc_id", "n_tokens", "segments", *carry],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id long, n_tokens long, segments {SEGMENTS}")
+    schema = ", ".join([f"doc_id long, n_tokens long, segments {SEGMENTS}", *[f"{c} long" for c in carry]])
+    return docs.select("doc_id", "text", *carry).mapInArrow(work, schema)
 
 
 # --- calibration ------------------------------------------------------------------------
@@ -248,9 +254,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     one class only, all scores are the share of toxic ones. Further columns are ignored. An
     empty table gives an empty table."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _scores(rows, labels, id_col, label_col)
+
+
+def _scores(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The scores of ``rows(doc_id, text)``, with the long columns named by ``carry``."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     train = _training_rows(rows, known)
-    found = cut_lineage(text_segments(rows, token_scores(rows, train)))
+    found = cut_lineage(text_segments(rows, token_scores(rows, train), carry))
 
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
     learned = found.join(F.broadcast(train), "doc_id").where("n_tokens > 0")
@@ -277,13 +288,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     )
     return scored.select(
         "doc_id", in_holdout("doc_id").alias("held_out"), score.alias("score"),
-        (score >= 0.5).cast("int").alias("predicted"), "n_tokens", passages.alias("segments"),
+        (score >= 0.5).cast("int").alias("predicted"), "n_tokens", passages.alias("segments"), *carry,
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows predicted toxic; all columns as they are. Ids that repeat
-    with different texts go if one of them is predicted toxic."""
-    toxic = toxicity_scores(docs, labels, id_col, text_col).where("predicted = 1 and doc_id is not null")
-    gone = toxic.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
+    """``docs`` without the rows predicted toxic, whatever their ids; all columns as they are.
+    Every row goes or stays by its own text, also if others have its id."""
+    every, key = keyed(docs)
+    rows = every.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.col(key[0]).alias("high"), F.col(key[1]).alias("low"),
+    )
+    toxic = _scores(rows, labels, id_col, "toxic", ("high", "low")).where("predicted = 1")
+    gone = toxic.select(F.col("high").alias(key[0]), F.col("low").alias(key[1])).distinct()
+    return every.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
