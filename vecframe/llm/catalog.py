@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecframe.llm import bpe, kmeans_tree, licenses, lm_scoring, packing, pii, secrets, simhash, toxicity, vector_dedup
+from vecframe.llm import (
+    best_fit,
+    bpe,
+    filter_audit,
+    kmeans_tree,
+    licenses,
+    lm_scoring,
+    packing,
+    period_runs,
+    pii,
+    secrets,
+    simhash,
+    toxicity,
+    vector_dedup,
+)
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +106,23 @@ def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op1_cross_entropy_difference"] = lm_scoring.scores_sql("SELECT doc_id FROM labels WHERE quality = 1")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = filter_audit.audit_sql()
+
+
+@query
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = packing.document_ids(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    pieces = best_fit.cut_pieces(ids).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return best_fit.take_slots(pieces)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_digest(_table(spark, sf_dir, "documents"))
