@@ -44,7 +44,7 @@ def vocabulary(name: str) -> str:
 @query
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    pieces = packing.pack(packing.document_ids(docs, vocabulary("word_bpe_49k.json")))
+    pieces = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "n_loss"
     )

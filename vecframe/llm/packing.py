@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.llm.batches import small_batches
+from vecframe.llm.batches import light_batches, small_batches
 from vecframe.session import ship_package
 
 MAX_TOKENS = 2048
@@ -275,9 +275,45 @@ def powers_of_two(sequence: list[Example]) -> Iterator[list[Example]]:
 
 
 PIECES = "doc_id long, start long, length long, n_loss long, ids binary, doc_tokens long, sequence_id long, offset long, segment int"
+Limits = tuple[int, int, int]
+
+
+def _packed(examples: Iterator[Example], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Pieces of one task's examples, in batches of about 2,000."""
+    packer, number = Packer(limits), TaskContext.get().partitionId() << 32
+    rows: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        rows.clear()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    def emit(sequence: list[Example]) -> None:
+        nonlocal number
+        offset = 0
+        for i, p in enumerate(sequence):
+            rows.append((p.key, p.start, len(p.ids), p.demand()[2], p.ids.tobytes(), p.total, number, offset, i))
+            offset += len(p.ids)
+        number += 1
+
+    for example in examples:
+        for sequence in packer.add(example):
+            emit(sequence)
+        if len(rows) >= 2000:
+            yield flush()
+    for sequence in packer.finish():
+        if len(packer.empty) < WAITING or sum(len(p.ids) for p in sequence) == limits[0]:
+            emit(sequence)
+        else:
+            for part in powers_of_two(sequence):
+                emit(part)
+    if rows:
+        yield flush()
 
 
-def pack(examples: DataFrame, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS)) -> DataFrame:
+def pack(examples: DataFrame, limits: Limits = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS)) -> DataFrame:
     """``examples(doc_id, ids[, loss])`` to pieces ``(doc_id, start, length, n_loss, ids,
     doc_tokens, sequence_id, offset, segment)``.
 
@@ -292,42 +328,38 @@ def pack(examples: DataFrame, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SE
     small_batches(examples.sparkSession)
     masked = "loss" in examples.columns
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, number = Packer(limits), TaskContext.get().partitionId() << 32
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            rows.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            names = [c.split()[0] for c in PIECES.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-        def emit(sequence: list[Example]) -> None:
-            nonlocal number
-            offset = 0
-            for i, p in enumerate(sequence):
-                rows.append((p.key, p.start, len(p.ids), p.demand()[2], p.ids.tobytes(), p.total, number, offset, i))
-                offset += len(p.ids)
-            number += 1
-
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Example]:
         for batch in batches:
             losses = batch.column(2) if masked else [None] * batch.num_rows
             for key, ids, loss in zip(batch.column(0), batch.column(1), losses, strict=True):
                 ids = np.frombuffer(ids.as_py() or b"", "<u4")
                 loss = None if loss is None or loss.as_py() is None else np.frombuffer(loss.as_py(), np.uint8) != 0
-                for sequence in packer.add(Example(key.as_py(), 0, len(ids), ids, loss)):
-                    emit(sequence)
-                if len(rows) >= 2000:
-                    yield flush()
-        for sequence in packer.finish():
-            if len(packer.empty) < WAITING or sum(len(p.ids) for p in sequence) == limits[0]:
-                emit(sequence)
-            else:
-                for part in powers_of_two(sequence):
-                    emit(part)
-        if rows:
-            yield flush()
+                yield Example(key.as_py(), 0, len(ids), ids, loss)
 
     cols = ["doc_id", "ids", *(["loss"] if masked else [])]
-    return examples.select(*cols).mapInArrow(work, PIECES)
+    return examples.select(*cols).mapInArrow(lambda batches: _packed(read(batches), limits), PIECES)
+
+
+def pack_documents(
+    docs: DataFrame, path: str, limits: Limits = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS),
+    id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID,
+) -> DataFrame:
+    """What :func:`pack` makes of :func:`document_ids`, numbered and packed by one worker of a
+    task, which holds the ids of one slice of texts and of the waiting examples at a time."""
+    ship_package(docs.sparkSession)
+    light_batches(docs.sparkSession)
+    last = int(end_id).to_bytes(4, "little")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Example]:
+        model = word_ids(path)
+        for batch in batches:
+            for first, rows in text_slices(batch.column(1)):
+                keys = batch.column(0).slice(first, rows).to_pylist()
+                made = model.encode(pc.fill_null(batch.column(1).slice(first, rows), ""), last)
+                for key, ids in zip(keys, made, strict=True):
+                    ids = np.frombuffer(ids.as_py(), "<u4")
+                    yield Example(key, 0, len(ids), ids)
+        pa.default_memory_pool().release_unused()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: _packed(read(batches), limits), PIECES)
