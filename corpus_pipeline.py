@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecframe.llm import packing, pii, simhash, toxicity
+from vecframe.llm.batches import light_batches
 from vecframe.llm.catalog import vocabulary
 from vecframe.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    light_batches(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return toxicity.drop_toxic(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    light_batches(spark)
     return simhash.keep_representatives(docs, words=simhash.SHINGLE_WORDS, max_bits=simhash.MAX_BITS)
 
 
@@ -31,7 +34,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(packing.document_ids(docs, vocabulary("word_bpe_49k.json")))
+    pieces = packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "n_loss"
     )
