@@ -31,7 +31,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecframe.session import (
@@ -120,9 +120,11 @@ def _no_candidates() -> pd.DataFrame:
     return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
 
-def block_topk(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray, k: int, metric: str) -> pd.DataFrame:
-    """Best ``k`` corpus rows of this block for every query (ties at the cut kept). Rows and
-    queries with a non-finite element take no part.
+def block_topk(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray, k: int, metric: str,
+               allowed: np.ndarray | None = None) -> pd.DataFrame:
+    """Best ``k`` corpus rows of this block for every query (ties at the cut kept), among the
+    pairs that ``allowed`` (rows by queries) marks where it is given. Rows and queries with a
+    non-finite element take no part.
 
     Candidates come from one matrix product per tile. The cut keeps every row whose computed
     score is within a proven error margin of the computed k-th best, so no true top-k row is
@@ -138,6 +140,8 @@ def block_topk(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray,
       have been moved by the block's mean (which changes no distance)."""
     good, asks = np.isfinite(X).all(axis=1), np.isfinite(Q).all(axis=1)
     X, ids, Q, qids = X[good], ids[good], Q[asks], qids[asks]
+    if allowed is not None:
+        allowed = allowed[np.ix_(good, asks)]
     b = X.shape[0]
     if b == 0 or Q.shape[0] == 0 or k <= 0:
         return _no_candidates()
@@ -167,11 +171,14 @@ def block_topk(X: np.ndarray, ids: np.ndarray, Q: np.ndarray, qids: np.ndarray,
         S = Xs @ Qs[q0:q0 + step].T                            # (b, nq): higher is better
         if metric == "l2":
             S = 2.0 * S - xsq[:, None] - qsq[None, q0:q0 + step]  # minus squared distance
+        open_ = np.ones_like(S, dtype=bool) if allowed is None else allowed[:, q0:q0 + step]
+        if allowed is not None:
+            S = np.where(open_, S, -np.inf)
         if kk < b:
             kth = -np.partition(-S, kk - 1, axis=0)[kk - 1]
-            r, c = np.nonzero(S >= (kth - margins[q0:q0 + step])[None, :])
+            r, c = np.nonzero((S >= (kth - margins[q0:q0 + step])[None, :]) & open_)
         else:
-            r, c = np.nonzero(np.ones_like(S, dtype=bool))
+            r, c = np.nonzero(open_)
         c_abs = c + q0
         out_q.append(qids[c_abs])
         out_i.append(ids[r])
@@ -233,7 +240,10 @@ def rank_candidates(cands: DataFrame, k: int, metric: str, part_cols: Sequence[s
 
 # ---------------------------------------------------------------- strategies
 
-MAX_PASSES = 16  # query blocks up to which the corpus is scanned once per block
+MAX_PASSES = 16       # query blocks up to which the corpus is scanned once per block
+SMALL_QUERIES = 2048  # rows of a query table that one job collects and checks
+
+Block = tuple[np.ndarray, np.ndarray]  # query ids and their vectors
 
 
 def _query_stats(queries: DataFrame, qvec_col: str) -> tuple[int, int, int]:
@@ -253,35 +263,65 @@ def check_queries(n: int, dmax: int, dmin: int) -> None:
         raise ValueError(f"query vectors of different dimension ({dmin} .. {dmax})")
 
 
-def query_blocks(queries: DataFrame, n: int, dim: int, bound: int) -> list[pd.DataFrame]:
-    """The query table in blocks of about ``bound`` bytes, dealt by a hash of the query id.
-    One block is collected as it is; the caller bounds their number."""
+def _block(table) -> Block:
+    Q = arrow_matrix(table["query_vec"])
+    if len(Q) and not Q.shape[1]:
+        raise ValueError("a query has no complete vector")
+    return table["query_id"].to_numpy().astype(np.int64, copy=False), Q
+
+
+def query_blocks(queries: DataFrame, bound: int, always: bool = False) -> tuple[list[Block] | None, int, int]:
+    """``queries(query_id, query_vec)`` in blocks of about ``bound`` bytes, and their number
+    and dimension. Beyond ``MAX_PASSES`` blocks there are none, unless ``always`` asked for.
+
+    A table of up to SMALL_QUERIES rows is collected by one job, so that what makes its
+    vectors (an embedder, say) runs once. A larger one is measured first; its blocks are dealt
+    by a hash of the query id."""
+    few = queries.limit(SMALL_QUERIES + 1).toArrow()
+    if few.num_rows <= SMALL_QUERIES:
+        qids, Q = _block(few)
+        n, dim = Q.shape
+        count = max(1, -(-(n * dim * 8) // max(1, bound)))
+        if count > MAX_PASSES and not always:
+            return None, n, dim
+        return [(qids[i::count], Q[i::count]) for i in range(count) if i < n], n, dim
+    del few
+    n, dim, least = _query_stats(queries, "query_vec")
+    check_queries(n, dim, least)
     count = max(1, -(-(n * dim * 8) // max(1, bound)))
+    if count > MAX_PASSES and not always:
+        return None, n, dim
     if count == 1:
-        return [queries.toPandas()]
+        return [_block(queries.toArrow())], n, dim
     dealt = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(count)))
-    return [dealt.where(F.col("_b") == i).drop("_b").toPandas() for i in range(count)]
+    blocks = [_block(dealt.where(F.col("_b") == i).drop("_b").toArrow()) for i in range(count)]
+    return [b for b in blocks if len(b[0])], n, dim
+
+
+Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
 
 
-def _broadcast_candidates(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
-    """Per task the best ``k`` corpus rows of every query of one block."""
+def broadcast_candidates(corpus: DataFrame, block: Block, k: int, metric: str, id_col: str, vec_col: str,
+                         scorer: Callable[[], Scorer] | None = None) -> DataFrame:
+    """Per task the best ``k`` corpus rows of every query of one block. ``scorer()``, called in
+    the task, gives what finds the candidates of one batch (rows, ids, queries, query ids);
+    without one all pairs are scored."""
     spark = corpus.sparkSession
     ship_package(spark)
-    qids = qpdf["query_id"].to_numpy(dtype=np.int64)
-    Q = stack_vectors(qpdf["query_vec"])
-    dim = Q.shape[1]
-    bq = spark.sparkContext.broadcast((qids, Q))
+    dim = block[1].shape[1]
+    bq = spark.sparkContext.broadcast(block)
 
     def score(batches):
         import pyarrow as pa
 
         qids_b, Q_b = bq.value
+        find = scorer() if scorer else lambda X, ids, Q, qids: block_topk(X, ids, Q, qids, k, metric)
         best = RunningTopK(k, metric)
         for batch in batches:
             if batch.num_rows:
                 X = arrow_matrix(batch.column("vec"), dim)
                 ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-                best.add(block_topk(X, ids, Q_b, qids_b, k, metric))
+                best.add(find(X, ids, Q_b, qids_b))
         found = best.result()
         for at in range(0, len(found), 100_000):
             yield pa.RecordBatch.from_pandas(found.iloc[at:at + 100_000], preserve_index=False)
@@ -292,14 +332,14 @@ def _broadcast_candidates(corpus: DataFrame, qpdf: pd.DataFrame, k: int, metric:
     )
 
 
-def _broadcast_topk(corpus: DataFrame, blocks: list[pd.DataFrame], k: int, metric: str, id_col: str, vec_col: str,
-                    exclude_self: bool = False) -> DataFrame:
+def broadcast_topk(corpus: DataFrame, blocks: Sequence[Block], k: int, metric: str, id_col: str, vec_col: str,
+                   exclude_self: bool = False, scorers: Sequence[Callable[[], Scorer] | None] | None = None) -> DataFrame:
+    """Top-k of all blocks; the corpus is scanned once for each."""
     kb = k + 1 if exclude_self else k
     cands = None
-    for qpdf in blocks:
-        if len(qpdf):
-            part = _broadcast_candidates(corpus, qpdf, kb, metric, id_col, vec_col)
-            cands = part if cands is None else cands.unionByName(part)
+    for i, block in enumerate(blocks):
+        part = broadcast_candidates(corpus, block, kb, metric, id_col, vec_col, scorers[i] if scorers else None)
+        cands = part if cands is None else cands.unionByName(part)
     return rank_candidates(cands, k, metric, exclude_self=exclude_self)
 
 
@@ -399,6 +439,10 @@ def salted_sides(corpus: DataFrame, queries: DataFrame, keys: Sequence[str], B:
     return q, c
 
 
+def no_hits(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+
+
 def exact_topk(
     corpus: DataFrame,
     queries: DataFrame,
@@ -422,16 +466,15 @@ def exact_topk(
         raise ValueError("k must be positive")
     spark = corpus.sparkSession
     q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.col(qvec_col).alias("query_vec"))
-    n, dmax, dmin = _query_stats(q, "query_vec")
-    if n == 0:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    check_queries(n, dmax, dmin)
     bound = conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES)
-    if strategy == "broadcast" or (strategy == "auto" and n * dmax * 8 <= bound * MAX_PASSES):
-        return _broadcast_topk(corpus, query_blocks(q, n, dmax, bound), k, metric, id_col, vec_col, exclude_self)
+    blocks, n, dim = query_blocks(q, bound, always=strategy == "broadcast")
+    if n == 0:
+        return no_hits(spark)
+    if blocks is not None and strategy in ("broadcast", "auto"):
+        return broadcast_topk(corpus, blocks, k, metric, id_col, vec_col, exclude_self)
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.lit(0).alias("_all"))
     return knn_within_keys(c, q.withColumn("_all", F.lit(0)), ["_all"], k, metric, max_keys=1,
-                           query_rows=max(1, bound // (8 * dmax)), exclude_self=exclude_self)
+                           query_rows=max(1, bound // (8 * dim)), exclude_self=exclude_self)
 
 
 # ---------------------------------------------------------------- derived searches
@@ -460,6 +503,15 @@ def lookup_payload(hits: DataFrame, corpus: DataFrame, id_col: str, payload: dic
     return hits.join(side, "id", "left").select(*hits.columns, *payload.keys())
 
 
+def lookup_vectors(cand: DataFrame, corpus: DataFrame, id_col: str, vec_col: str, bound: int | None) -> DataFrame:
+    """Candidate pairs ``(query_id, id)`` with the row's vector ``_v``. A proven number of pairs
+    is broadcast to the vectors, which are then not shuffled; otherwise the planner decides."""
+    side = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("_v"))
+    if bound is not None and bound <= MAX_BROADCAST_HITS:
+        return spread(side).join(F.broadcast(cand), "id").select("query_id", "id", "_v")
+    return cand.join(side, "id").select("query_id", "id", "_v")
+
+
 def search_with_fallback(primary: DataFrame, fallback: DataFrame | Callable[[DataFrame], DataFrame],
                          queries: DataFrame | None = None) -> DataFrame:
     """Per query, the first non-empty answer wins (T6). ``fallback`` is a second hit table,
@@ -505,47 +557,52 @@ def size_sweep_topk(
     """Top-k over nested corpus prefixes ``id < n`` for every ``n`` in ``sizes``.
 
     The corpus is scanned once per query block (one block up to
-    ``vecframe.search.broadcastBytes`` of queries); each task keeps its best rows for every
-    prefix size, so no size re-reads the corpus.
+    ``vecframe.search.broadcastBytes`` of queries). The sizes cut the ids into disjoint bands;
+    a row is scored once, in its band, and a prefix's answer is merged from the ``k`` best
+    rows of each of its bands.
     """
     larger_is_better(metric)
     spark = corpus.sparkSession
     q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.col(qvec_col).alias("query_vec"))
-    n, dmax, dmin = _query_stats(q, "query_vec")
+    blocks, n, _ = query_blocks(q, conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES), always=True)
     if n == 0:
         return spark.createDataFrame([], "n long, query_id long, rank int, id long, score double")
-    check_queries(n, dmax, dmin)
     ship_package(spark)
-    bound = conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES)
     sizes = sorted({int(s) for s in sizes})
-    rows = spread(corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
-    cands = None
-    for qpdf in query_blocks(q, n, dmax, bound):
-        if len(qpdf):
-            part = _sweep_candidates(rows, qpdf, sizes, k, metric)
-            cands = part if cands is None else cands.unionByName(part)
-    return rank_candidates(cands, k, metric, part_cols=("n", "query_id"))
+    if not sizes:
+        raise ValueError("no sizes")
+    rows = spread(corpus.where(F.col(id_col) < sizes[-1]).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")))
+    bands = None
+    for block in blocks:
+        part = _band_candidates(rows, block, sizes, k, metric)
+        bands = part if bands is None else bands.unionByName(part)
+    order = F.desc("score") if larger_is_better(metric) else F.asc("score")
+    best = Window.partitionBy("query_id", "band").orderBy(order, F.asc("id"))
+    lists = bands.withColumn("place", F.dense_rank().over(best)).where(F.col("place") <= k)  # repeats go at the end
+    # a prefix ends with its band, so a band's k best are candidates of that prefix and all longer ones
+    within = F.filter(F.array(*[F.lit(s).cast("long") for s in sizes]), lambda s: s > F.col("id"))
+    return rank_candidates(lists.select(F.explode(within).alias("n"), "query_id", "id", "score"), k, metric, part_cols=("n", "query_id"))
 
 
-def _sweep_candidates(rows: DataFrame, qpdf: pd.DataFrame, sizes: Sequence[int], k: int, metric: str) -> DataFrame:
-    bq = rows.sparkSession.sparkContext.broadcast((qpdf["query_id"].to_numpy(dtype=np.int64), stack_vectors(qpdf["query_vec"])))
+def _band_candidates(rows: DataFrame, block: Block, sizes: Sequence[int], k: int, metric: str) -> DataFrame:
+    """Per task, query and band the best ``k`` rows; band i holds the ids from size i - 1 up to
+    size i, so a row is scored once, whatever the number of sizes."""
+    bq = rows.sparkSession.sparkContext.broadcast(block)
 
     def score(batches):
         import pyarrow as pa
 
         qids, Q = bq.value
-        best = {s: RunningTopK(k, metric) for s in sizes}
+        best = [RunningTopK(k, metric) for _ in sizes]
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
                 X = arrow_matrix(batch.column("vec"), Q.shape[1])
-                for s in sizes:
-                    keep = ids < s
-                    if keep.any():
-                        best[s].add(block_topk(X[keep], ids[keep], Q, qids, k, metric))
-        for s in sizes:
-            found = best[s].result()
-            found.insert(0, "n", np.int64(s))
+                band = np.searchsorted(sizes, ids, side="right")
+                for i in np.unique(band):
+                    best[i].add(block_topk(X[band == i], ids[band == i], Q, qids, k, metric))
+        for i, found in enumerate(b.result() for b in best):
+            found.insert(0, "band", np.int32(i))
             yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-    return rows.mapInArrow(score, "n long, " + CANDIDATE_SCHEMA)
+    return rows.mapInArrow(score, "band int, " + CANDIDATE_SCHEMA)

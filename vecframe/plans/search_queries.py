@@ -272,6 +272,64 @@ def twostage_topk(spark, sf_dir):
     return two(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine", num_candidates=50, prefix_dims=32)
 
 
+@register("binary_topk", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+                  list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END)::DOUBLE[] AS s FROM embeddings),
+h AS (SELECT q.vec_id AS query_id, c.vec_id AS id, CAST((len(q.s) - list_dot_product(q.s, c.s)) / 2 AS INTEGER) AS d
+      FROM e AS q CROSS JOIN e AS c),
+cand AS (SELECT query_id, id FROM h QUALIFY rank() OVER (PARTITION BY query_id ORDER BY d) <= 50),
+""" + _RERANK.format(where="", name="ann") + """
+SELECT query_id, rank, id, round(score, 6) AS score FROM ann""")
+def binary_topk(spark, sf_dir):
+    """T5 by binary codes: the 50 rows (and ties) nearest by the signs of their components, exact
+    cosine top-5 among them."""
+    from vecframe.operators.ann import binary_topk as binary
+
+    return binary(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine", num_candidates=50)
+
+
+_OPENED: dict = {}  # indexes that this process has opened, by application and folder
+
+
+def pq_index(spark, sf_dir):
+    """The table's saved index in the shared folder, built where there is none for this very
+    file, and its calibrated setting."""
+    import hashlib
+
+    from vecframe.operators import pq
+    from vecframe.session import ensure_checkpoint_dir
+    from vecframe.streaming.upsert import _fs
+
+    fs, path = _fs(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    status = fs.getFileStatus(path)
+    files = sorted(f"{s.getPath()} {s.getLen()} {s.getModificationTime()}" for s in (fs.listStatus(path) if status.isDirectory() else [status]))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pq-{hashlib.sha256(' '.join(files).encode()).hexdigest()[:24]}"
+    key = spark.sparkContext.applicationId, folder
+    if key in _OPENED:
+        return _OPENED[key]
+    if pq.has_pq(spark, folder):
+        index = pq.open_pq(spark, folder)
+    else:
+        v = vectors(spark, sf_dir)
+        model = pq.fit_pq(v, cells=max(1, int(v.count() ** 0.5 / 2)), subspaces=16)
+        index = pq.build_pq(v, model, folder)
+    if not pq.has_pq(spark, f"{folder}/setting"):
+        found = spark.createDataFrame([pq.calibrate_pq(index, K, 0.95)], "nprobe int, rerank int")
+        found.coalesce(1).write.mode("overwrite").parquet(f"{folder}/setting/model")
+    _OPENED[key] = index, spark.read.parquet(f"{folder}/setting/model").first()
+    return _OPENED[key]
+
+
+@register("ann_pq_topk")
+def ann_pq_topk(spark, sf_dir):
+    """T4(c): top-5 by a product-quantised inverted file, built on the first run and reused;
+    calibrated to a recall of 0.95, scores exact."""
+    from vecframe.operators.pq import pq_topk
+
+    index, setting = pq_index(spark, sf_dir)
+    return pq_topk(index, query_set(spark, sf_dir), K, nprobe=setting["nprobe"], rerank=setting["rerank"])
+
+
 @register("search_fallback", f"""WITH {_lsh_sql(4, 10)},
 {_RERANK.format(where="WHERE cand.query_id <> cand.id", name="prim")},
 allp AS (
