@@ -78,6 +78,24 @@ def topk_l2(spark, sf_dir):
     return S.exact_topk(v, q, K, "l2")
 
 
+@register("pivot_topk_l2", _L2_SCALED)
+def pivot_topk_l2(spark, sf_dir):
+    """T2 by pivots: exact L2 top-5 on vectors scaled by ``1 + label``, without the cells and
+    rows that the triangle inequality rules out."""
+    from vecframe.operators.pivots import pivot_topk
+
+    v = scaled_vectors(spark, sf_dir)
+    return pivot_topk(v, v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec")), K, "l2")
+
+
+@register("pivot_topk_cosine", _PAIRS.format(score=_COS, order="DESC", k=K))
+def pivot_topk_cosine(spark, sf_dir):
+    """T1, T7 by pivots: exact cosine top-5."""
+    from vecframe.operators.pivots import pivot_topk
+
+    return pivot_topk(vectors(spark, sf_dir), query_set(spark, sf_dir), K, "cosine")
+
+
 # ------------------------------------------------------------------ payload lookups
 
 def documents(spark, sf_dir):
