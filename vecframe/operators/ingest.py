@@ -25,6 +25,20 @@ def _latest(batch: DataFrame, key: str, seq_col: str, value_cols: Sequence[str],
     return batch.groupBy(key).agg(pick(rec, order).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in value_cols])
 
 
+def newest_rows(batch: DataFrame, key: str, seq_col: str, value_cols: Sequence[str]) -> DataFrame:
+    """The newest row of each key, as :func:`_latest` picks it, without sorting rows: the winning
+    (sequence, hash) is found by hash aggregates over narrow rows and met by one join, on all
+    three, so the versions of a hot key are spread. Winners equal in all columns become one."""
+    values = [F.col(c) for c in value_cols]
+    hashed = batch.select(key, seq_col, *value_cols, F.xxhash64(*values).alias("_h"))
+    tops = hashed.groupBy(key, seq_col).agg(F.max("_h").alias("_h"))
+    last = tops.groupBy(F.col(key).alias("_k")).agg(F.max(seq_col).alias("_s"))
+    won = tops.join(last, (F.col(key) == F.col("_k")) & F.col(seq_col).eqNullSafe(F.col("_s")))
+    won = won.select(F.col(key).alias("_k"), F.col(seq_col).alias("_s"), F.col("_h").alias("_w"))
+    same = (F.col(key) == F.col("_k")) & F.col(seq_col).eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_w"))
+    return hashed.join(won, same, "left_semi").select(key, *value_cols).distinct()
+
+
 def upsert_last_wins(base: DataFrame, batch: DataFrame, key: str, seq_col: str) -> DataFrame:
     """K5: insert new keys, replace existing ones; within the batch the row with the
     highest ``seq_col`` wins (``INSERT ... ON CONFLICT DO UPDATE`` / point upsert)."""

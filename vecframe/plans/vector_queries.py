@@ -103,6 +103,28 @@ def upsert_last_wins(spark, sf_dir):
     return I.upsert_last_wins(base_docs(spark, sf_dir), batch_turns(spark, sf_dir), "id", "seq")
 
 
+@register("store_upsert", """
+WITH latest AS (SELECT conv_id AS id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id)
+SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT id FROM latest)
+UNION ALL SELECT id, text FROM latest""")
+def store_upsert(spark, sf_dir):
+    """K5 in a stored collection: the documents as its base, the conversations upserted in two
+    batches (each one's last turn in the second), and the collection read back."""
+    import uuid
+
+    from vecframe.session import ensure_checkpoint_dir
+    from vecframe.streaming.store import KeyedStore
+
+    base = base_docs(spark, sf_dir)
+    store = KeyedStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}", "id", base.schema, buckets=16)
+    store.create(base)
+    turns = batch_turns(spark, sf_dir)
+    last = turns.groupBy("id").agg(F.max("seq").alias("seq"))
+    store.upsert(turns.join(last, ["id", "seq"], "left_anti"), "seq", 1)  # all but each last turn
+    store.upsert(turns.join(last, ["id", "seq"], "left_semi"), "seq", 2)
+    return store.read()
+
+
 @register("append_insert", "SELECT doc_id AS id, text FROM documents UNION ALL SELECT conv_id, text FROM conversations")
 def append_insert(spark, sf_dir):
     """K6: plain append; duplicate keys kept."""
