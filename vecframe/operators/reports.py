@@ -159,6 +159,27 @@ def scaling_ratio(runs: DataFrame, metrics: Sequence[str] = ("p50_ms", "qps")) -
     )
 
 
+def scaling_slope(runs: DataFrame, metrics: Sequence[str] = ("p50_ms", "p95_ms", "qps")) -> DataFrame:
+    """How a metric of a store grows with size: the least-squares slope of ln(metric) on
+    ln(size), which is the exponent of a power law, with its standard error and the share of
+    the variance it explains. Points whose size or metric is not positive have no logarithm and
+    take no part; NULL where the points do not determine a value (one size; two points for the
+    error)."""
+    long = unpivot_metrics(runs, metrics).where((F.col("value") > 0) & (F.col("n_dataset") > 0))
+    p = long.select("db", "metric", F.log("value").alias("y"), F.log(F.col("n_dataset").cast("double")).alias("x"))
+    s = p.groupBy("db", "metric").agg(
+        F.count("*").alias("points"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
+        F.regr_sxx("y", "x").alias("_sxx"), F.regr_syy("y", "x").alias("_syy"), F.regr_sxy("y", "x").alias("_sxy"),
+    )
+    rest = F.greatest(F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx"), F.lit(0.0))  # unexplained
+    sloped = F.col("_sxx") > 0
+    return s.select(
+        "db", "metric", "points", F.when(sloped, F.col("slope")).alias("slope"), F.when(sloped, F.col("intercept")).alias("intercept"),
+        F.when(sloped & (F.col("points") > 2), F.sqrt(rest / (F.col("points") - 2) / F.col("_sxx"))).alias("slope_error"),
+        F.when(sloped & (F.col("_syy") > 0), 1 - rest / F.col("_syy")).alias("r2"),
+    )
+
+
 def pareto_front(runs: DataFrame, x: str = "recall_at_k", y: str = "qps", group: str = "n_dataset") -> DataFrame:
     """Runs of each size that no other run of that size beats on both ``x`` and ``y``.
 

@@ -19,25 +19,19 @@ _LARGEST = "big AS (SELECT * FROM runs WHERE n_dataset = (SELECT max(n_dataset)
 _LOWER = "CASE metric " + " ".join(f"WHEN '{m}' THEN {str(lo).upper()}" for m, lo in R.SCORE_METRICS.items()) + " END"
 
 
-# one store reports no memory, as a store without a local process does
-_NO_MEMORY = "view"
-_STACKED = f"stacked AS (SELECT * REPLACE (CASE WHEN db = '{_NO_MEMORY}' THEN NULL ELSE memory_mb END AS memory_mb) FROM runs)"
-
-
 def stacked(spark, sf_dir):
+    """The records of every store, stacked whole."""
     record = runs(spark, sf_dir)
-    return R.suite_table([record.where(F.col("db") != _NO_MEMORY), record.where(F.col("db") == _NO_MEMORY).drop("memory_mb")])
+    return R.suite_table([record.where(F.col("db") != "view"), record.where(F.col("db") == "view")])
 
 
-@register("suite_table", f"WITH {RUNS_CTE}, {_STACKED} SELECT * FROM stacked")
+@register("suite_table", f"WITH {RUNS_CTE} SELECT * FROM runs")
 def suite_table(spark, sf_dir):
-    """R1+R2: the records of several stores stacked, one of them without the optional memory
-    column, sorted by (n_dataset, db)."""
+    """R1+R2: the records of several stores stacked by name, sorted by (n_dataset, db)."""
     return stacked(spark, sf_dir)
 
 
-@register("bar_values", f"""WITH {RUNS_CTE}, {_STACKED},
-big AS (SELECT * FROM stacked WHERE n_dataset = (SELECT max(n_dataset) FROM stacked)),
+@register("bar_values", f"""WITH {RUNS_CTE}, {_LARGEST},
 l AS ({_unpivot_sql("big", R.SERIES_METRICS, keys=("db",))})
 SELECT db, metric, coalesce(value, 0.0) AS value FROM l""")
 def bar_values(spark, sf_dir):
@@ -163,6 +157,37 @@ def pareto_front(spark, sf_dir):
     return R.pareto_front(runs(spark, sf_dir))
 
 
+@register("scaling_slope", f"""WITH {RUNS_CTE},
+l AS ({_unpivot_sql("runs", ["p50_ms", "p95_ms", "qps"])}),
+p AS (SELECT db, metric, ln(value) AS y, ln(CAST(n_dataset AS DOUBLE)) AS x FROM l WHERE value > 0 AND n_dataset > 0),
+m AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM p WINDOW w AS (PARTITION BY db, metric)),
+s AS (SELECT db, metric, count(*) AS points, sum((x - mx) * (x - mx)) AS sxx, sum((y - my) * (y - my)) AS syy,
+             sum((x - mx) * (y - my)) AS sxy, any_value(mx) AS mx, any_value(my) AS my FROM m GROUP BY db, metric)
+SELECT db, metric, points, CASE WHEN sxx > 0 THEN sxy / sxx END AS slope, CASE WHEN sxx > 0 THEN my - sxy / sxx * mx END AS intercept,
+       CASE WHEN sxx > 0 AND points > 2 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0) / (points - 2) / sxx) END AS slope_error,
+       CASE WHEN sxx > 0 AND syy > 0 THEN 1 - greatest(syy - sxy * sxy / sxx, 0) / syy END AS r2
+FROM s""")
+def scaling_slope(spark, sf_dir):
+    """Exponent of each store's latency and throughput in the size, with its error."""
+    return R.scaling_slope(runs(spark, sf_dir))
+
+
+@register("skyline_runs", f"""WITH {RUNS_CTE},
+r AS (SELECT * FROM runs WHERE recall_at_k IS NOT NULL AND qps IS NOT NULL AND memory_mb IS NOT NULL AND p95_ms IS NOT NULL)
+SELECT a.n_dataset, a.db, a.recall_at_k, a.qps, a.memory_mb, a.p95_ms FROM r a
+WHERE NOT EXISTS (
+  SELECT 1 FROM r b WHERE b.n_dataset = a.n_dataset AND b.recall_at_k >= a.recall_at_k AND b.qps >= a.qps
+    AND b.memory_mb <= a.memory_mb AND b.p95_ms <= a.p95_ms
+    AND (b.recall_at_k > a.recall_at_k OR b.qps > a.qps OR b.memory_mb < a.memory_mb OR b.p95_ms < a.p95_ms))""")
+def skyline_runs(spark, sf_dir):
+    """R16 in four measures: runs of each size that no other beats in recall, throughput, memory
+    and p95 together."""
+    from vecframe.operators.skyline import skyline
+
+    measures = {"recall_at_k": False, "qps": False, "memory_mb": True, "p95_ms": True}
+    return skyline(runs(spark, sf_dir), measures, ["n_dataset"]).select("n_dataset", "db", *measures)
+
+
 @register("report_json", f"WITH {RUNS_CTE} SELECT * FROM runs")
 def report_json(spark, sf_dir):
     """K1: one JSON object per run record, read back from the JSON by its schema: the report
