@@ -109,4 +109,21 @@ def test_newest_rows_agree_with_the_aggregate_and_need_no_sorted_one(spark):
     batch = spark.createDataFrame(rows, BATCH)
     got = I.newest_rows(batch, "id", "seq", ["text"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, I._latest(batch, "id", "seq", ["text"]).collect()))
+    named = batch.withColumn("seq", F.format_string("%05d", "seq"))  # a sequence that is no number
+    assert sorted(map(tuple, I.newest_rows(named.where("id <> 2"), "id", "seq", ["text"]).collect())) == sorted(tuple(r) for r in got.collect() if r.id != 2)
+    huge = spark.createDataFrame([(1, 2**63 - 1, "z"), (1, -(2**63), "a"), (2, -(2**63), "b"), (2, None, "c")], BATCH)
+    assert sorted(map(tuple, I.newest_rows(huge, "id", "seq", ["text"]).collect())) == [(1, "z"), (2, "b")]
+    first = I.newest_rows(batch, "id", "seq", ["text"], newest=False)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, I._latest(batch, "id", "seq", ["text"], newest=False).collect()))
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_keys_never_conflict(spark):
+    base = spark.createDataFrame([(1, "a"), (None, "n")], "id long, text string")
+    batch = spark.createDataFrame([(1, 1, "b"), (None, 1, "x"), (None, 2, "x"), (2, 1, "c")], BATCH)
+    up = I.upsert_last_wins(base, batch, "id", "seq")
+    assert sorted(map(str, map(tuple, up.collect()))) == sorted(map(str, [(1, "b"), (2, "c"), (None, "n"), (None, "x"), (None, "x")]))
+    ignored = I.insert_ignore(base, batch, "id", "seq")
+    assert sorted(map(str, map(tuple, ignored.collect()))) == sorted(map(str, [(1, "a"), (2, "c"), (None, "n"), (None, "x"), (None, "x")]))
+    for plan in (up, ignored):
+        assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()

@@ -1,8 +1,8 @@
 """Collection maintenance as set operations.
 
 Keyed writes are planned as joins against the key set of the batch; duplicate keys
-inside a batch are resolved with ``max_by``/``min_by`` aggregates, which combine map-side,
-so a key repeated a million times never lands in one task as a million rows.
+inside a batch are resolved by hash aggregates over (key, sequence, hash), which combine
+map-side, so a key repeated a million times never lands in one task as a million rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecframe.functions.vectors import has_bad_element
 from vecframe.operators.ranking import dense_ids
@@ -25,27 +26,41 @@ def _latest(batch: DataFrame, key: str, seq_col: str, value_cols: Sequence[str],
     return batch.groupBy(key).agg(pick(rec, order).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in value_cols])
 
 
-def newest_rows(batch: DataFrame, key: str, seq_col: str, value_cols: Sequence[str]) -> DataFrame:
-    """The newest row of each key, as :func:`_latest` picks it, without sorting rows: the winning
-    (sequence, hash) is found by hash aggregates over narrow rows and met by one join, on all
-    three, so the versions of a hot key are spread. Winners equal in all columns become one."""
+def newest_rows(batch: DataFrame, key: str, seq_col: str, value_cols: Sequence[str], newest: bool = True) -> DataFrame:
+    """The newest (or oldest) row of each key, as :func:`_latest` picks it, without sorting rows:
+    the winning (sequence, hash) is found by hash aggregates over narrow rows and met by one
+    join on all three, hashed on the narrow side. The versions of a hot key are spread over
+    the tasks. Winners equal in all columns become one; rows without a key are left out."""
     values = [F.col(c) for c in value_cols]
-    hashed = batch.select(key, seq_col, *value_cols, F.xxhash64(*values).alias("_h"))
-    tops = hashed.groupBy(key, seq_col).agg(F.max("_h").alias("_h"))
-    last = tops.groupBy(F.col(key).alias("_k")).agg(F.max(seq_col).alias("_s"))
+    pick = F.max if newest else F.min
+    hashed = batch.where(F.col(key).isNotNull()).select(key, seq_col, *value_cols, F.xxhash64(*values).alias("_h"))
+    if isinstance(batch.schema[seq_col].dataType, T.IntegralType):
+        # sequence and hash as one fixed-width number, in their order (NULL first): one aggregate
+        place = F.coalesce(F.col(seq_col).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+        packed = (place * F.lit(1 << 62).cast("decimal(19,0)") + F.shiftright("_h", 2).cast("decimal(19,0)")).cast("decimal(38,0)")
+        ordered = hashed.withColumn("_o", packed)
+        won = ordered.groupBy(F.col(key).alias("_k")).agg(pick("_o").alias("_w"))
+        same = (F.col(key) == F.col("_k")) & (F.col("_o") == F.col("_w"))
+        # partitioned by (key, order) already, so the repeats need no further shuffle
+        return ordered.join(won.hint("shuffle_hash"), same, "left_semi").select(key, "_o", *value_cols).distinct().drop("_o")
+    tops = hashed.groupBy(key, seq_col).agg(pick("_h").alias("_h"))
+    end = pick(seq_col) if newest else F.when(F.count(seq_col) == F.count("*"), F.min(seq_col))  # NULL comes first
+    last = tops.groupBy(F.col(key).alias("_k")).agg(end.alias("_s"))
     won = tops.join(last, (F.col(key) == F.col("_k")) & F.col(seq_col).eqNullSafe(F.col("_s")))
     won = won.select(F.col(key).alias("_k"), F.col(seq_col).alias("_s"), F.col("_h").alias("_w"))
     same = (F.col(key) == F.col("_k")) & F.col(seq_col).eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_w"))
-    return hashed.join(won, same, "left_semi").select(key, *value_cols).distinct()
+    return hashed.join(won.hint("shuffle_hash"), same, "left_semi").select(key, *value_cols).distinct()
 
 
 def upsert_last_wins(base: DataFrame, batch: DataFrame, key: str, seq_col: str) -> DataFrame:
     """K5: insert new keys, replace existing ones; within the batch the row with the
-    highest ``seq_col`` wins (``INSERT ... ON CONFLICT DO UPDATE`` / point upsert)."""
+    highest ``seq_col`` wins (``INSERT ... ON CONFLICT DO UPDATE`` / point upsert). As in SQL, a
+    NULL key never conflicts: rows without a key stay, and those of the batch are added."""
     values = [c for c in base.columns if c != key]
-    latest = _latest(batch, key, seq_col, values, newest=True)
-    kept = base.join(latest.select(key), key, "left_anti")
-    return kept.unionByName(latest.select(*base.columns))
+    latest = newest_rows(batch, key, seq_col, values)
+    kept = base.join(batch.where(F.col(key).isNotNull()).select(key), key, "left_anti")
+    free = batch.where(F.col(key).isNull()).select(*base.columns)  # empty where the key is declared not null
+    return kept.unionByName(latest.select(*base.columns)).unionByName(free)
 
 
 def append_insert(base: DataFrame, batch: DataFrame) -> DataFrame:
@@ -55,11 +70,13 @@ def append_insert(base: DataFrame, batch: DataFrame) -> DataFrame:
 
 def insert_ignore(base: DataFrame, batch: DataFrame, key: str, seq_col: str) -> DataFrame:
     """K7: unordered keyed insert; keys already present are left alone and the first row of
-    a key repeated inside the batch is the one inserted."""
+    a key repeated inside the batch is the one inserted. A NULL key never conflicts: rows
+    without one are added."""
     values = [c for c in base.columns if c != key]
-    first = _latest(batch, key, seq_col, values, newest=False)
+    first = newest_rows(batch, key, seq_col, values, newest=False)
     new = first.join(base.select(key), key, "left_anti")
-    return base.unionByName(new.select(*base.columns))
+    free = batch.where(F.col(key).isNull()).select(*base.columns)
+    return base.unionByName(new.select(*base.columns)).unionByName(free)
 
 
 def insert_conflicts(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
