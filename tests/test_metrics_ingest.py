@@ -96,6 +96,14 @@ def test_validate_vectors(spark):
                    (5, "bad_element"), (5, "duplicate_key"), (5, "duplicate_key")]
 
 
+def test_validation_of_a_hot_key(spark):
+    hot = spark.range(25_003).select(F.lit(7).cast("long").alias("id"), F.array(F.lit(1.0)).alias("embedding"))
+    nulls = spark.range(50).select(F.lit(None).cast("long").alias("id"), F.array(F.lit(1.0)).alias("embedding"))
+    bad = I.validate_vectors(hot.unionByName(nulls), "id", "embedding", 1)
+    assert {(r.id, r.reason): r["count"] for r in bad.groupBy("id", "reason").count().collect()} == {(7, "duplicate_key"): 25_003, (None, "null_id"): 50}
+    assert "Join" not in bad._jdf.queryExecution().executedPlan().toString()
+
+
 def test_payload_bounds_and_optional(spark):
     df = spark.createDataFrame([(1, None, None), (2, "x" * 2000, "t" * 100)], "id long, text string, topic string")
     got = {r.id: (r.text, r.topic) for r in I.bound_payload(df).collect()}

@@ -17,6 +17,9 @@ from vecframe.functions.vectors import has_bad_element
 from vecframe.operators.ranking import dense_ids
 
 
+REPEAT_ROWS = 10_000  # repeats of a key listed at once
+
+
 def _latest(batch: DataFrame, key: str, seq_col: str, value_cols: Sequence[str], newest: bool = True) -> DataFrame:
     """One row per key: the newest (or oldest) by ``seq_col``; rows with an equal ``seq_col``
     are ordered by a hash of their values, so the pick never depends on partitioning."""
@@ -108,20 +111,23 @@ def recreate_table(df: DataFrame, path: str) -> None:
 
 def validate_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, text_col: str | None = None) -> DataFrame:
     """The declared schema as checks: ``(id, reason)`` for every violation (NULL id,
-    NULL text, NULL vector, wrong dimension, NULL/NaN element, duplicate key)."""
-    dup = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_cnt")).filter(F.col("_cnt") > 1).select(id_col, F.lit(True).alias("_dup"))
-    checked = df.join(dup, id_col, "left")
+    NULL text, NULL vector, wrong dimension, NULL/NaN element, duplicate key). Checks of a row are
+    made where it is read; only ids are shuffled, counted beforehand. A NULL id is no duplicate."""
     checks = [
         F.when(F.col(id_col).isNull(), F.lit("null_id")),
         F.when(F.col(vec_col).isNull(), F.lit("null_embedding")),
         F.when(F.col(vec_col).isNotNull() & (F.size(vec_col) != dim), F.lit("wrong_dim")),
         F.when(F.col(vec_col).isNotNull() & has_bad_element(vec_col), F.lit("bad_element")),
-        F.when(F.col("_dup").isNotNull(), F.lit("duplicate_key")),
     ]
     if text_col:
         checks.insert(1, F.when(F.col(text_col).isNull(), F.lit("null_text")))
     reasons = F.filter(F.array(*checks), lambda r: r.isNotNull())
-    return checked.select(F.col(id_col).alias("id"), F.explode(reasons).alias("reason"))
+    own = df.select(F.col(id_col).alias("id"), F.explode(reasons).alias("reason"))
+    # one row for each row of a repeated key, made from its count: no vector or text meets its key
+    counts = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    parts = counts.select("id", "_n", F.explode(F.expr(f"sequence(0, (_n - 1) div {REPEAT_ROWS})")).alias("_part"))
+    rows = parts.select("id", F.explode(F.expr(f"array_repeat('duplicate_key', cast(least({REPEAT_ROWS}, _n - _part * {REPEAT_ROWS}) as int))")).alias("reason"))
+    return own.unionByName(rows)
 
 
 def bound_payload(df: DataFrame, text_max: int = 1024, topic_max: int = 64) -> DataFrame:
