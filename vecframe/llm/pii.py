@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.llm.spans import count_of, masked, matches, ordered, written
+from vecframe.llm.spans import count_of, masked, matches, once, ordered, pages_of, piece, written
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")  # reported from LEAST_SCORE on
@@ -14,6 +14,16 @@ LEAST_SCORE = 0.6
 NEAR = 48                # code points before a span in which context words count
 CONTEXT_GAIN = 0.35
 
+# Characters of an account number by the country that issues it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN = "|".join(
+    rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
+
 # The patterns, as linear-time forms of the plain ones.
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -21,7 +31,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # The score of a confirmed span without context, and the words that raise it.
@@ -60,7 +70,7 @@ def _mod97(value: Column, _) -> Column:
         lambda rest, c: F.when(
             F.ascii(c) >= 65, (rest * 100 + F.ascii(c) - 55) % 97).otherwise((rest * 10 + F.ascii(c) - 48) % 97),
     )
-    return F.length(plain).between(15, 34) & (left == 1)
+    return left == 1
 
 
 def _issued(value: Column, _) -> Column:
@@ -98,16 +108,21 @@ def _with_spans(df: DataFrame, text: Column, base: str, found: str) -> DataFrame
     df = df.withColumns(spans).withColumns({
         base: ordered(*[F.col(name[k]) for k in BASE]), name["added"]: F.concat(*[F.col(name[k]) for k in ADDED])})
 
-    def scored(s: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))))
+    def scored(s: Column, pages: Column) -> Column:
+        before = F.lower(piece(pages, F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]))
         start, near = F.lit(0.0), F.lit(False)
         for kind in BASE + ADDED:
             start = F.when(s["kind"] == kind, F.lit(SCORES[kind])).otherwise(start)
             near = F.when(s["kind"] == kind, F.regexp_like(before, F.lit(rf"\b(?:{CONTEXT[kind]})"))).otherwise(near)
         return s.withField("score", F.least(F.lit(1.0), start + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))))
 
-    some = F.filter(F.transform(name["added"], scored), lambda s: s["score"] >= LEAST_SCORE)
-    return df.withColumn(found, ordered(F.transform(base, scored), some)).drop(*name.values())
+    def reported(pages: Column) -> Column:
+        some = F.filter(F.transform(name["added"], lambda s: scored(s, pages)), lambda s: s["score"] >= LEAST_SCORE)
+        return ordered(F.transform(base, lambda s: scored(s, pages)), some)
+
+    there = F.size(base) + F.size(name["added"]) > 0
+    pages = F.when(there, pages_of(text)).otherwise(F.array().cast("array<string>"))
+    return df.withColumn(found, once(pages, reported)).drop(*name.values())
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

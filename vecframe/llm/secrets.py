@@ -3,19 +3,20 @@
 A credential often has several parts: an access identifier, a secret, an endpoint. The base
 patterns are strong enough to be reported alone. Weak candidates (a bare random-looking
 token, a short password, a named account, a web address) are reported only if complementary
-parts lie within the same scope, found by an interval join of the text's candidates. Column
-expressions only."""
+parts lie within the same scope, a paragraph of the text. All candidates and the ends of the
+paragraphs go by their places through one sorted interval join. Column expressions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.llm.spans import count_of, matches, once, ordered, written
+from vecframe.llm.spans import count_of, matches, once, ordered, running, running_sums, written
 
 BASE = ("assign", "access", "hex")
 WEAK = ("bare", "short", "account", "endpoint")
-SCOPE = 200  # code points between the parts of one credential
+IDENTIFIERS = ("access", "account")
+SECRETS = ("assign", "bare", "short")
 
 # The patterns, runs of one alphabet in linear-time form.
 _KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
@@ -24,11 +25,12 @@ PATTERNS = {
     "assign": _ASSIGN,
     "access": "AKIA[A-Z0-9]+",
     "hex": "(?<![0-9a-f])[0-9a-f]{16,}+",
-    "bare": r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,64}+(?![A-Za-z0-9+/_-])",
+    "bare": r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{20,}+={0,2}+",
     "short": _ASSIGN,
     "account": r"""(?i:client_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})""",
     "endpoint": r"""(?<![A-Za-z])(?:https?|postgres|mysql|mongodb|redis|s3)://[^\x20\x09-\x0D"'<>]+""",
 }
+BLANK_LINE = r"\n[\x20\t\r]*+\n"
 GROUPS = {"assign": 2, "short": 2}
 
 
@@ -48,9 +50,29 @@ CHECKS = {
 }
 
 
-def _near(some: Column, others: Column) -> Column:
-    """The spans of ``some`` with one of ``others`` within SCOPE of them."""
-    return F.filter(some, lambda a: F.exists(others, lambda b: (b["start"] <= a["end"] + SCOPE) & (a["start"] <= b["end"] + SCOPE)))
+def _linked(parts: Column) -> Column:
+    """The weak ones of a text's ordered candidates and paragraph ends that have their
+    complementary parts in their paragraph. Two running results find the last paragraph at or
+    before, and the first at or after a place, that holds a part: no pairs are formed."""
+    def holds(scopes: Column, kinds: tuple[str, ...]) -> Column:
+        own = F.transform(parts, lambda p, i: F.when(p["kind"].isin(*kinds), F.get(scopes, i)))
+        return once(
+            F.struct(running(own, F.greatest).alias("last"), F.reverse(running(F.reverse(own), F.least)).alias("next")),
+            lambda near: F.transform(scopes, lambda scope, i: F.coalesce(F.get(near["last"], i) == scope, F.lit(False))
+                                     | F.coalesce(F.get(near["next"], i) == scope, F.lit(False))),
+        )
+
+    def weak(found: Column) -> Column:
+        judged = F.transform(parts, lambda p, i: F.struct(
+            p.alias("part"), F.get(found["identifier"], i).alias("identifier"), F.get(found["secret"], i).alias("secret")))
+        kind = lambda j: j["part"]["kind"]
+        kept = F.filter(judged, lambda j: F.when(kind(j).isin("bare", "short"), j["identifier"]).when(
+            kind(j) == "account", j["secret"]).when(kind(j) == "endpoint", j["identifier"] & j["secret"]).otherwise(F.lit(False)))
+        return F.transform(kept, lambda j: j["part"])
+
+    scopes = running_sums(F.transform(parts, lambda p: (p["kind"] == "blank").cast("int")))
+    return once(scopes, lambda s: once(
+        F.struct(holds(s, IDENTIFIERS).alias("identifier"), holds(s, SECRETS).alias("secret")), weak))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,8 +81,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the base kinds, which always stay.
 
     Identifiers are access keys and accounts; secrets are assignments, bare tokens and short
-    passwords. A weak secret needs an identifier within SCOPE, an account needs a secret, and
-    an endpoint needs both. A null or empty text has no spans; further columns are ignored;
+    passwords. A weak secret needs an identifier in its paragraph (lines up to a blank one,
+    however long), an account needs a secret, and an endpoint needs both. A null or empty text has no spans; further columns are ignored;
     an empty table gives an empty table."""
     text = F.col("text")
     like = lambda p: F.regexp_like(text, F.lit(p))
@@ -77,17 +99,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         matches(text, PATTERNS[k], k, i, CHECKS[k], able[k], GROUPS.get(k)).alias(k) for i, k in enumerate(BASE + WEAK)
     ])
 
-    def linked(all_parts: Column) -> Column:
-        identifiers = F.concat(all_parts["access"], all_parts["account"])
-        secrets = F.concat(all_parts["assign"], all_parts["bare"], all_parts["short"])
-        return F.concat(
-            _near(F.concat(all_parts["bare"], all_parts["short"]), identifiers),
-            _near(all_parts["account"], secrets),
-            _near(_near(all_parts["endpoint"], identifiers), secrets),
-        )
-
-    added = once(F.struct(*BASE, *WEAK), linked)
-    some = F.when((F.size("bare") + F.size("short") + F.size("account") + F.size("endpoint")) > 0, added).otherwise(F.lit(None))
+    blank = matches(text, BLANK_LINE, "blank", len(PATTERNS), when=F.contains(text, F.lit("\n")))
+    every = ordered("access", "account", "assign", "bare", "short", "endpoint", blank)
+    some = F.when(
+        (F.size("bare") + F.size("short") + F.size("account") + F.size("endpoint")) > 0, once(every, _linked)).otherwise(F.lit(None))
     return raw.select("doc_id", "text", ordered(*BASE).alias("base"), some.alias("added")).select(
         "doc_id", "text", "base", F.when(F.size("added") > 0, ordered("base", "added")).otherwise(F.col("base")).alias("found")
     )

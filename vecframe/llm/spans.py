@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<start: int, order: int, end: int, kind: string, value: string>"
 CHUNK = 128
+PAGE = 1024  # code points
 
 
 def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def _sums(lengths: Column) -> Column:
-    """Running sums of an integer array, itself included."""
+def _scan(values: Column, step) -> Column:
+    """``step(result so far, value)`` at every place of an integer array; the first result is null."""
     return F.aggregate(
-        lengths, F.array().cast("array<int>"),
-        lambda done, n: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + n)),
+        values, F.array().cast("array<int>"),
+        lambda done, n: F.concat(done, F.array(step(F.try_element_at(done, F.lit(-1)), n))),
     )
 
 
@@ -31,18 +32,36 @@ def once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def running_sums(lengths: Column) -> Column:
-    """Running sums; long arrays go in chunks, so that the work stays nearly linear."""
+def running(values: Column, step) -> Column:
+    """Running results of an associative ``step``, the value itself included; long arrays go
+    in chunks, so that the work stays nearly linear."""
     def of_chunks(n: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(n), F.lit(CHUNK))
-        chunks = F.transform(starts, lambda at: _sums(F.slice(n, at, F.lit(CHUNK))))
+        chunks = F.transform(starts, lambda at: _scan(F.slice(n, at, F.lit(CHUNK)), step))
         return once(chunks, lambda c: once(
-            F.concat(F.array(F.lit(0)), _sums(F.transform(c, lambda x: F.element_at(x, -1)))),
+            F.concat(F.array(F.lit(None).cast("int")), _scan(F.transform(c, lambda x: F.element_at(x, -1)), step)),
             lambda before: F.flatten(F.transform(c, lambda x, i: once(
-                F.get(before, i), lambda more: F.transform(x, lambda y: y + more)))),
+                F.get(before, i), lambda done: F.transform(x, lambda y: step(done, y))))),
         ))
 
-    return once(lengths, lambda n: F.when(F.size(n) <= CHUNK, _sums(n)).otherwise(of_chunks(n)))
+    return once(values, lambda n: F.when(F.size(n) <= CHUNK, _scan(n, step)).otherwise(of_chunks(n)))
+
+
+def running_sums(lengths: Column) -> Column:
+    return running(lengths, lambda done, n: F.coalesce(done, F.lit(0)) + n)
+
+
+def pages_of(text: Column) -> Column:
+    """The text in pieces of PAGE code points: a place is found without walking the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def piece(pages: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, taken from its pages."""
+    first = F.floor(start / PAGE).cast("int")
+    numbers = F.sequence(first, F.floor((end - 1) / PAGE).cast("int"))
+    whole = F.array_join(F.transform(numbers, lambda i: F.coalesce(F.get(pages, i), F.lit(""))), "")
+    return F.when(end > start, F.substring(whole, start - first * PAGE + 1, end - start)).otherwise(F.lit(""))
 
 
 def matches(text: Column, pattern: str, kind: str, order: int, keep=None, when: Column | None = None, group: int | None = None) -> Column:
@@ -84,17 +103,14 @@ def count_of(spans: Column, kind: str) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """The text with every span (ordered by start) replaced by its kind in brackets; spans
     that overlap an earlier one are taken into its gap."""
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(done: Column, s: Column) -> Column:
-        put = F.concat(done["parts"], F.array(
-            F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(
-            F.greatest(done["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= done["at"], put).otherwise(done["parts"]).alias("parts"),
-        )
-
-    def close(done: Column) -> Column:
-        return F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+    def cut(pages: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        return once(F.concat(F.array(F.lit(0)), running(ends, F.greatest)), lambda at: F.concat(
+            F.array_join(F.transform(
+                F.filter(F.transform(spans, lambda s, i: F.struct(
+                    F.get(at, i).alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda s: s["start"] >= s["at"]),
+                lambda s: F.concat(piece(pages, s["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""),
+            piece(pages, F.element_at(at, -1), F.length(text)),
+        ))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begun, step, close)).otherwise(text)
+    return F.when(F.size(spans) > 0, once(pages_of(text), cut)).otherwise(text)
