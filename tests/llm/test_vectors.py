@@ -109,6 +109,30 @@ def test_search_ties_and_few_candidates(spark):
     assert kmeans_tree.tree_search(frame(spark, [(1, one, 1)]), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_each_dimension_is_searched(spark):
+    rng = np.random.default_rng(10)
+    parts = {3: rng.normal(size=(50, 3)), 5: rng.normal(size=(90, 5)), 2: rng.normal(size=(1, 2))}
+    rows, want, at = [], {}, 0
+    for x in parts.values():
+        ids = np.arange(at, at + len(x))
+        at += len(x)
+        rows += [(int(i), [float(c) for c in v], 1) for i, v in zip(ids, x, strict=True)]
+        x = np.array([[float(c) for c in v] for v in x])
+        want.update({q: v for q, v in brute_search(ids, x, ids % 20 == 0, 20).items() if v})
+    got = {}
+    for r in kmeans_tree.tree_search(frame(spark, rows).repartition(3), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: [v for v, _ in found] for q, found in want.items()} == got  # one leaf each: exact
+
+
+def test_vectors_all_alike_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "SAMPLE_ROWS", 1)  # whatever share their hash falls into
+    for value in (1.0, 2.0, 3.0):
+        rows = [(i, [value, 1.0], 1) for i in range(60)]
+        got = kmeans_tree.tree_search(frame(spark, rows), F.col("vec_id") % 20 == 0).collect()
+        assert len(got) == 60 and {r["query_id"] for r in got} == {0, 20, 40}
+
+
 def test_traversal_visits_every_leaf_once():
     rng = np.random.default_rng(9)
     x = rng.normal(size=(500, 8))

@@ -13,6 +13,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ MAX_LEAVES = 4_096        # bound of the tree
 BRANCHES = 16
 CALIBRATION_ROWS = 256    # queries that the number of visits is calibrated with
 TARGET_RECALL = 0.95
+SCHEMA = "query_id long, rank int, vec_id long, score double, visits int"
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024  # one side each of a scoring group
 
 
@@ -161,30 +163,36 @@ def tree_search(
     ``is_query`` holds, its ``k`` nearest among the rows found, by inner product in double
     precision, ties to the smaller id, never the query's own id.
 
-    Vectors that are null, empty, all zero or hold null or non-finite components, rows with
-    a null id, and vectors of another dimension than the sample's commonest take no part,
-    as queries or as candidates. Rows with equal ids are one row. A query with fewer than
+    Vectors that are null, empty, all zero or hold null or non-finite components, and rows
+    with a null id take no part, as queries or as candidates. Vectors of each dimension are
+    searched among themselves, with a tree and visits of their own; a job follows another
+    for each dimension. Rows with equal ids are one row. A query with fewer than
     ``k`` candidates gets all of them. Further columns are ignored. An empty table gives an
     empty table."""
     spark = vectors.sparkSession
     ship_package(spark)
-    schema = "query_id long, rank int, vec_id long, score double, visits int"
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vec_col)).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    total = rows.count()
+    dims = rows.groupBy(F.size("vec").alias("dim")).count().orderBy("dim").collect()  # one row a dimension
+    found = [_search(rows.where(F.size("vec") == r["dim"]), r["count"], k, target_recall) for r in dims]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], SCHEMA)
+
+
+def _search(rows: DataFrame, total: int, k: int, target_recall: float) -> DataFrame:
+    """The search among the ``total`` vectors ``rows(vec_id, vec, asks)`` of one dimension."""
+    spark = rows.sparkSession
     seen = sample(rows, "vec", SAMPLE_ROWS)
-    if not len(seen):
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("vec") == seen.shape[1])
+    if not len(seen):  # the vectors are all alike, and their hash is outside the sample's share
+        seen = np.array([rows.first()["vec"]], np.float64)
     leaves = max(1, min(MAX_LEAVES, math.ceil(total / LEAF_ROWS)))
     tree = spark.sparkContext.broadcast(fit_tree(unit(seen), leaves))
 
     chosen = rows.where("asks").orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(CALIBRATION_ROWS).collect()
     chosen = {r["vec_id"]: r["vec"] for r in chosen}
     if not chosen:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], SCHEMA)
     cal_ids, cal_rows = np.array(list(chosen)), np.array(list(chosen.values()), np.float64)
     truth = _calibration_truth(rows, tree.value, cal_ids, cal_rows, k).select("query_id", "vec_id")
     truth_rows = rows.join(F.broadcast(truth), "vec_id").select("query_id", "vec").collect()  # CALIBRATION_ROWS * k
