@@ -12,16 +12,19 @@ L2 on the raw vectors (the prediction, like the SQL store that ranks raw vectors
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vecframe.functions.temporal import epoch_seconds
 from vecframe.operators import metrics as M
 from vecframe.operators import search as S
+from vecframe.operators import sketches as Q
 from vecframe.operators.ranking import join_null_safe
 from vecframe.plans.registry import register
 from vecframe.plans.search_queries import scaled_vectors
 from vecframe.plans.tables import table
-from vecframe.session import cut_lineage
+from vecframe.session import cut_lineage, ensure_checkpoint_dir
 
 K = 5
 
@@ -84,6 +87,28 @@ def latency_summary_approx(spark, sf_dir):
     return j.groupBy("db").agg(F.first("avg_ms").alias("avg_ms"), F.first("n").alias("n"), *checks)
 
 
+_LEVEL = """SELECT '{0}' AS level, {1} AS db, {2} AS n_dataset, count(ms) AS n, avg(ms) AS avg_ms, min(ms) AS min_ms,
+       max(ms) AS max_ms, true AS p50_within, true AS p95_within, true AS p99_within FROM ev {3}"""
+
+
+@register("latency_sketch_rollup", f"""
+WITH {_EV}
+{_LEVEL.format("store", "db", "NULL::BIGINT", "GROUP BY db")}
+UNION ALL {_LEVEL.format("week", "NULL::VARCHAR", "n_dataset", "GROUP BY n_dataset")}
+UNION ALL {_LEVEL.format("all", "NULL::VARCHAR", "NULL::BIGINT", "")}
+""")
+def latency_sketch_rollup(spark, sf_dir):
+    """A2 from one stored sketch per run, merged over weeks, over stores and over all: count,
+    mean and range, and for each percentile whether its rank error, measured on the log, is
+    within the bound of the sketch."""
+    log = latency_log(spark, sf_dir).select("db", "n_dataset", "ms")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}"
+    Q.save_sketches(Q.run_sketches(log, ["db", "n_dataset"], "ms"), path, "n_dataset")
+    runs = spark.read.parquet(path)
+    levels = {"store": ["db"], "week": ["n_dataset"], "all": []}
+    return Q.sketch_rollup(log, runs, levels, {"db": "string", "n_dataset": "long"}, "ms")
+
+
 @register("latency_lower_rank", f"""
 WITH {_EV},
 r AS (SELECT db, ms, row_number() OVER (PARTITION BY db ORDER BY ms, event_id) - 1 AS pos,
