@@ -93,9 +93,9 @@ _LEVEL = """SELECT '{0}' AS level, {1} AS db, {2} AS n_dataset, count(ms) AS n,
 
 @register("latency_sketch_rollup", f"""
 WITH {_EV}
-{_LEVEL.format("store", "db", "NULL::BIGINT", "GROUP BY db")}
-UNION ALL {_LEVEL.format("week", "NULL::VARCHAR", "n_dataset", "GROUP BY n_dataset")}
-UNION ALL {_LEVEL.format("all", "NULL::VARCHAR", "NULL::BIGINT", "")}
+{_LEVEL.format("store", "db", "NULL::VARCHAR", "GROUP BY db")}
+UNION ALL {_LEVEL.format("week", "NULL::VARCHAR", "n_dataset::VARCHAR", "GROUP BY n_dataset")}
+UNION ALL {_LEVEL.format("all", "NULL::VARCHAR", "NULL::VARCHAR", "")}
 """)
 def latency_sketch_rollup(spark, sf_dir):
     """A2 from one stored sketch per run, merged over weeks, over stores and over all: count,
@@ -106,7 +106,7 @@ def latency_sketch_rollup(spark, sf_dir):
     Q.save_sketches(Q.run_sketches(log, ["db", "n_dataset"], "ms"), path, "n_dataset")
     runs = spark.read.parquet(path)
     levels = {"store": ["db"], "week": ["n_dataset"], "all": []}
-    return Q.sketch_rollup(log, runs, levels, {"db": "string", "n_dataset": "long"}, "ms")
+    return Q.sketch_rollup(log, runs, levels, {"db": "string", "n_dataset": "string"}, "ms")
 
 
 @register("latency_lower_rank", f"""
