@@ -25,16 +25,15 @@ def plain_scores(rows, targets):
         words.update(w)
         in_target.update(w if t else [])
     tokens = sum(words.values())
-    vocab = {w for w, c in words.items() if c >= max(lm_scoring.LEAST_COUNT, lm_scoring.VOCABULARY_SHARE * tokens)}
+    vocab = {w for w, c in words.items() if c >= lm_scoring.LEAST_COUNT}
     out = {}
     pairs, uni, context = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
     for _, w, t in texts:
-        ids = [x if x in vocab else None for x in w]
         for m in (0, 1) if t else (0,):
-            uni[m].update(ids)
-            context[m].update([*ids, "<start>"])
-            pairs[m].update(zip(["<start>", *ids], ids, strict=False))
-    kept = {p for p, c in pairs[0].items() if c >= max(lm_scoring.LEAST_COUNT, lm_scoring.BIGRAM_SHARE * tokens)}
+            uni[m].update(x if x in vocab else None for x in w)
+            context[m].update([*w, "<start>"])
+            pairs[m].update(zip(["<start>", *w], w, strict=False))
+    kept = {p for p, c in pairs[0].items() if c >= lm_scoring.LEAST_COUNT}
     size = len(vocab) + 1
     mass = [defaultdict(float), defaultdict(float)]
     taken = [{}, {}]
@@ -43,19 +42,21 @@ def plain_scores(rows, targets):
             taken[m][p] = max(pairs[m][p] - lm_scoring.DISCOUNT, 0) / max(context[m][p[0]], 1e-9)
             mass[m][p[0]] += taken[m][p]
 
-    def loss(m, a, b):
-        single = (uni[m][b] + lm_scoring.UNSEEN) / (sum(uni[m].values()) + lm_scoring.UNSEEN * size)
-        return -math.log(taken[m].get((a, b), 0.0) + min(1.0, max(1e-6, 1 - mass[m][a])) * single)
+    def chance(m, a, b):
+        single = (uni[m][b if b in vocab else None] + lm_scoring.UNSEEN) / (sum(uni[m].values()) + lm_scoring.UNSEEN * size)
+        return taken[m].get((a, b), 0.0) + min(1.0, max(1e-6, 1 - mass[m][a])) * single
 
+    for a in [*vocab, None, "<start>"]:  # both models are distributions
+        for m in (0, 1):
+            total = sum(chance(m, a, b) for b in [*vocab, None])
+            assert total <= 1 + 1e-6 and (m or abs(total - 1) < 1e-6)
     for n, (i, w, _) in enumerate(texts):
-        ids = [x if x in vocab else None for x in w]
-        got = [sum(loss(m, a, b) for a, b in zip(["<start>", *ids], ids, strict=False)) / max(1, len(ids)) for m in (1, 0)]
-        out[n] = (i, len(ids), *got, got[0] - got[1])
+        got = [sum(-math.log(chance(m, a, b)) for a, b in zip(["<start>", *w], w, strict=False)) / max(1, len(w)) for m in (1, 0)]
+        out[n] = (i, len(w), *got, got[0] - got[1])
     return sorted(out.values(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def test_scores_against_plain_python(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 500)
+def test_scores_against_plain_python(spark):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(60)]
     rows = [(100 + i, " ".join(rng.choice(words[: 10 + 5 * (i % 10)], rng.integers(1, 60)))) for i in range(120)]
@@ -63,22 +64,13 @@ def test_scores_against_plain_python(spark, monkeypatch):
     targets = {i for i, _ in rows if i and i % 3 == 0}
     ids = spark.createDataFrame([(i,) for i in targets] + [(None,), (999_999,), (102,)], "doc_id long")
     targets.add(102)
-    got = sorted((tuple(r) for r in lm_scoring.cross_entropy_difference(docs(spark, rows).repartition(3), ids).collect()),
+    got = sorted((tuple(r) for r in lm_scoring.cross_entropy_difference(docs(spark, rows).repartition(3), ids, block_bytes=500).collect()),
                  key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     want = plain_scores(rows, targets)
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert np.allclose([r[2:] for r in got], [r[2:] for r in want], atol=1e-9)
 
 
-def test_models_are_distributions(spark):
-    ids = spark.createDataFrame([(1,), (7,)], "doc_id long")
-    m = lm_scoring.fit_models(lm_scoring.mark_target(docs(spark), ids))
-    every = np.arange(m.size)
-    for before in range(m.size + 1):
-        total = np.exp(-m.losses(np.full(m.size, before), every)).sum(axis=0)
-        assert np.allclose(total[0], 1.0, atol=1e-6) and total[1] <= 1 + 1e-6
-
-
 def test_scoring_edges(spark):
     none = spark.createDataFrame([], "doc_id long")
     rows = lm_scoring.cross_entropy_difference(docs(spark), none).collect()
@@ -92,8 +84,31 @@ def test_every_target_is_counted(spark):
     frame = ids.select("doc_id", F.lit("a b").alias("text"))
     marked = lm_scoring.mark_target(frame, ids.union(ids).repartition(4))
     assert marked.count() == marked.where("target").count() == 500_000
-    models = lm_scoring.fit_models(marked)
-    assert models.counts[-1].tolist() == [500_000, 500_000] and models.pairs.tolist() == [[500_000, 500_000]] * 2
+    counts = lm_scoring.counted(lm_scoring.pair_rows(lm_scoring.number_texts(marked)), "before", "word").collect()
+    a, b = lm_scoring.word_hash("a"), lm_scoring.word_hash("b")
+    assert sorted(map(tuple, counts)) == sorted([(lm_scoring.START, a, 500_000, 500_000), (a, b, 500_000, 500_000)])
+
+
+def test_rare_words_stay_known_however_large_the_corpus(spark):
+    """What is seen twice is kept among 600,000 tokens as among few."""
+    common = [(i, "the cat sat on the mat") for i in range(100_000)]
+    rows = spark.createDataFrame([*common, (100_000, "rare word"), (100_001, "rare word")], "doc_id long, text string").repartition(7)
+    blocks = lm_scoring.number_texts(lm_scoring.mark_target(rows, spark.createDataFrame([(100_000,)], "doc_id long")), 50_000)
+    assert blocks.count() > 20 and max(len(r["doc_ids"]) for r in blocks.select("doc_ids").collect()) < 3_000
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in lm_scoring.counted(lm_scoring.pair_rows(blocks), "before", "word").collect()}
+    assert got[lm_scoring.word_hash("rare"), lm_scoring.word_hash("word")] == (2, 1)
+    assert got[lm_scoring.word_hash("the"), lm_scoring.word_hash("cat")] == (100_000, 0)
+    assert lm_scoring.totals_of(lm_scoring.word_rows(blocks)).size == 8
+
+
+def test_hot_ids(spark):
+    """A null id, and one id on many different texts, are scored row by row."""
+    rows = [(None if i % 2 else 7, f"w{i % 13} w{i % 5} w{i % 3}") for i in range(600)]
+    by = lambda r: (r[0] is None, *[round(x, 6) for x in r[1:]])
+    ids = spark.createDataFrame([(7,)], "doc_id long")
+    got = sorted(map(tuple, lm_scoring.cross_entropy_difference(docs(spark, rows), ids, block_bytes=2_000).collect()), key=by)
+    want = sorted(plain_scores(rows, {7}), key=by)
+    assert len(got) == 600 and np.allclose([r[1:] for r in got], [r[1:] for r in want], atol=1e-9)
 
 
 def test_held_out_quality(spark):

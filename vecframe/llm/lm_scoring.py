@@ -1,10 +1,13 @@
 """Cross-entropy difference: every text scored by a target and a background n-gram model.
 
-Both are bigram models over one vocabulary (the words that make up at least VOCABULARY_SHARE
-of all tokens; all others are one unknown word), with the same kept bigrams, the same absolute
-discount and the same back-off, so their per-token losses can be compared. The background
-model counts all documents, the target model those marked as target. The shares bound both
-tables, whatever the corpus holds: what is rarer backs off to the single word.
+Both are bigram models over one vocabulary: the words seen at least LEAST_COUNT times in all
+documents, all others being one unknown word. They have the same kept bigrams (seen that often
+too), the same absolute discount and the same back-off, so their per-token losses can be
+compared. The background model counts all documents, the target model those marked as target.
+LEAST_COUNT is a number of occurrences and no share, so both tables grow with the corpus. They
+are Spark tables: texts are numbered in blocks once, each block's distinct words and pairs meet
+the counts in joins, and what is found returns to its block. Nothing of them is broadcast or
+sent to the driver but five sums.
 """
 
 from __future__ import annotations
@@ -16,18 +19,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecframe.llm.batches import small_batches
 from vecframe.session import cut_lineage, ship_package
 
-VOCABULARY_SHARE = 2e-5  # of all tokens: at most 50,000 words
-BIGRAM_SHARE = 1e-6      # of all tokens: at most 1,000,000 kept bigrams
 LEAST_COUNT = 2
 DISCOUNT = 0.75
 UNSEEN = 0.5             # added to the count of every word of the vocabulary
-GROUP_BYTES = 8_000_000  # bytes of text that are numbered in one go
+BLOCK_BYTES = 8_000_000  # of text
+START = 0                # stands for the word before the first
+
+BLOCK = "block long, doc_ids array<long>, sizes binary, targets binary, ids binary, hashes binary"
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -39,129 +45,184 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(there), row[there.to_numpy(zero_copy_only=False)]
 
 
-def groups_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with about GROUP_BYTES of text; a longer text alone."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    first = total = 0
-    for i, size in enumerate(sizes):
-        if i > first and total + size > GROUP_BYTES:
-            yield batch.slice(first, i - first)
-            first, total = i, 0
-        total += size
-    if sizes:
-        yield batch.slice(first)
+def groups_of(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows, also of several batches, with up to ``most`` bytes of text; a longer
+    text alone."""
+    held, total = [], 0
+    for batch in batches:
+        first = 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if total + size > most and (held or i > first):
+                yield pa.concat_batches([*held, batch.slice(first, i - first)])
+                held, first, total = [], i, 0
+            total += size
+        held.append(batch.slice(first))
+    if sum(b.num_rows for b in held):
+        yield pa.concat_batches(held)
+
+
+def word_hash(word: str) -> int:
+    """64 bits that stand for a word; two words share them as good as never."""
+    return np.uint64(xxhash.xxh3_64_intdigest(word) or 1).astype(np.int64).item()
+
+
+def _number(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``(doc_id, text, target)``: their words numbered as they come."""
+    task = TaskContext.get().partitionId() << 32
+    for n, part in enumerate(groups_of(batches, 1, most)):
+        words, row = words_of(part.column(1))
+        numbered = words.dictionary_encode()
+        hashes = np.array([word_hash(w) for w in numbered.dictionary.to_pylist()], np.int64)
+        sizes = np.bincount(row, minlength=part.num_rows).astype(np.int64)
+        targets = part.column(2).to_numpy(zero_copy_only=False).astype(np.int8)
+        packed = [sizes, targets, numbered.indices.to_numpy().astype(np.int32), hashes]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([task + n]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
+             *[pa.array([a.tobytes()], pa.binary()) for a in packed]],
+            names=["block", "doc_ids", "sizes", "targets", "ids", "hashes"],
+        )
+
 
+@dataclass
+class Block:
+    """A block's texts; ``pairs`` are its distinct (word before, word) keys, ``at`` each
+    token's place among them. The number after the last word's stands for the start."""
+
+    block: int
+    doc_ids: list
+    sizes: np.ndarray
+    targets: np.ndarray
+    ids: np.ndarray
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        kinds = {"sizes": np.int64, "targets": np.int8, "ids": np.int32, "hashes": np.int64}
+        return cls(row["block"], row["doc_ids"], *[np.frombuffer(row[c], t) for c, t in kinds.items()])
+
+    def __post_init__(self):
+        self.n = len(self.hashes)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        before = np.empty(len(self.ids), np.int64)
+        before[1:] = self.ids[:-1]
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = self.n
+        self.pairs, self.at = np.unique(before * (self.n + 1) + self.ids, return_inverse=True)
+        self.before, self.word = np.divmod(self.pairs, self.n + 1)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each number comes, in all texts and in the target's."""
+        target = self.targets[self.row].astype(bool)
+        return np.bincount(at, minlength=size), np.bincount(at[target], minlength=size)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
-        for part in groups_of(batch, 0):
-            words, row = words_of(part.column(0))
-            target = part.column(1).to_numpy(zero_copy_only=False).astype(bool)[row]
-            numbered = words.dictionary_encode()
-            at, n = numbered.indices.to_numpy(), len(numbered.dictionary)
-            yield pa.RecordBatch.from_arrays(
-                [numbered.dictionary, pa.array(np.bincount(at, minlength=n).astype(np.int64)), pa.array(np.bincount(at[target], minlength=n).astype(np.int64))],
-                names=["word", "background", "target"],
-            )
+        for row in batch.to_pylist():
+            yield Block.of(row)
 
 
-@dataclass
-class Models:
-    """Both models: word counts by id (the last is the unknown word, then the start), and the
-    kept bigrams' sorted keys with their counts; column 0 background, column 1 target."""
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks_of(batches):
+        own = np.append(block.hashes, START)
+        b, t = block.counts(block.at, len(block.pairs))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[block.before]), pa.array(own[block.word]), pa.array(np.full(len(b), block.block)),
+             pa.array(np.arange(len(b), dtype=np.int32)), pa.array(b), pa.array(t)],
+            names=["before", "word", "block", "at", "background", "target"],
+        )
 
-    words: list[str]
-    counts: np.ndarray
-    keys: np.ndarray
-    pairs: np.ndarray
 
-    def __post_init__(self):
-        self.size = len(self.words) + 1  # with the unknown word
-        known = self.counts[: self.size].astype(np.float64)
-        self.single = (known + UNSEEN) / (known.sum(axis=0) + UNSEEN * self.size)
-        context = np.maximum(self.counts.astype(np.float64), 1e-9)
-        first = self.keys // (self.size + 1)
-        taken = np.maximum(self.pairs - DISCOUNT, 0.0) / context[first] if len(self.keys) else np.empty((0, 2))
-        kept = np.zeros_like(context)
-        np.add.at(kept, first, taken)
-        self.rest = np.clip(1.0 - kept, 1e-6, 1.0)  # a context's mass for backing off
-        self.taken = taken
-        self.lookup = pa.array(self.words, pa.string())
-
-    def ids(self, words: pa.Array) -> np.ndarray:
-        numbered = words.dictionary_encode()
-        own = pc.fill_null(pc.index_in(numbered.dictionary, value_set=self.lookup), self.size - 1).to_numpy()
-        return own[numbered.indices.to_numpy()].astype(np.int64) if len(words) else np.empty(0, np.int64)
-
-    def losses(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Negative log probabilities of each word after the one before it, by model."""
-        p = self.rest[before] * self.single[word]
-        if len(self.keys):
-            key = before * (self.size + 1) + word
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            p += np.where((self.keys[at] == key)[:, None], self.taken[at], 0.0)
-        return -np.log(p)
-
-
-def pairs_of(ids: np.ndarray, row: np.ndarray, start: int) -> np.ndarray:
-    """Per token the id before it in its text, or ``start``."""
-    before = np.concatenate(([start], ids[:-1])) if len(ids) else ids
-    first = np.ones(len(ids), bool)
-    first[1:] = row[1:] != row[:-1]
-    return np.where(first, start, before)
-
-
-def fit_models(docs: DataFrame) -> Models:
-    """Both models from all rows of ``docs(text, target)``."""
-    spark = docs.sparkSession
-    words = cut_lineage(
-        docs.select("text", "target").mapInArrow(_count_words, "word string, background long, target long")
-        .groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    )
-    total = words.agg(F.sum("background").alias("b"), F.sum("target").alias("t")).first()
-    tokens, in_target = int(total["b"] or 0), int(total["t"] or 0)
-    least = max(LEAST_COUNT, VOCABULARY_SHARE * tokens)
-    kept = words.where(F.col("background") >= least).toPandas().sort_values("word")  # at most 1 / VOCABULARY_SHARE rows
-    texts = docs.agg(F.count("*").alias("b"), F.count_if("target").alias("t")).first()
-    seen = kept[["background", "target"]].to_numpy(np.int64).reshape(-1, 2)
-    counts = np.vstack([seen, [[tokens, in_target]] - seen.sum(axis=0), [[texts["b"], texts["t"]]]])
-    blank = Models(kept["word"].tolist(), counts, np.empty(0, np.int64), np.empty((0, 2)))
-    shared = spark.sparkContext.broadcast(blank)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            for part in groups_of(batch, 0):
-                found, row = words_of(part.column(0))
-                ids = models.ids(found)
-                keys = pairs_of(ids, row, models.size) * (models.size + 1) + ids
-                target = part.column(1).to_numpy(zero_copy_only=False).astype(bool)[row]
-                distinct, at = np.unique(keys, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(distinct), pa.array(np.bincount(at, minlength=len(distinct)).astype(np.int64)),
-                     pa.array(np.bincount(at[target], minlength=len(distinct)).astype(np.int64))],
-                    names=["key", "background", "target"],
-                )
-
-    least = max(LEAST_COUNT, BIGRAM_SHARE * tokens)
-    pairs = (
-        docs.select("text", "target").mapInArrow(count_pairs, "key long, background long, target long")
-        .groupBy("key").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-        .where(F.col("background") >= least).toPandas().sort_values("key")  # at most 1 / BIGRAM_SHARE rows
-    )
-    return Models(blank.words, counts, pairs["key"].to_numpy(np.int64), pairs[["background", "target"]].to_numpy(np.float64).reshape(-1, 2))
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks_of(batches):
+        b, t = block.counts(block.ids, block.n)
+        n = block.n + 1  # the start comes once in every text
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(block.hashes, START)), pa.array(np.full(n, block.block)), pa.array(-1 - np.arange(n, dtype=np.int32)),
+             pa.array(np.append(b, len(block.sizes))), pa.array(np.append(t, int(block.targets.sum())))],
+            names=["word", "block", "at", "background", "target"],
+        )
+
+
+def number_texts(marked: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of the texts of ``(doc_id, text, target)``, written once: numbers of words instead
+    of words, and the words' hashes."""
+    ship_package(marked.sparkSession)
+    small_batches(marked.sparkSession)
+    return cut_lineage(marked.select("doc_id", "text", "target").mapInArrow(lambda b: _number(b, block_bytes), BLOCK))
+
+
+def word_rows(blocks: DataFrame) -> DataFrame:
+    return blocks.mapInArrow(_word_rows, "word long, block long, at int, background long, target long")
+
+
+def pair_rows(blocks: DataFrame) -> DataFrame:
+    """Distinct pairs of every block, dealt by pair: counts and lookups share this exchange."""
+    rows = blocks.mapInArrow(_pair_rows, "before long, word long, block long, at int, background long, target long")
+    return rows.repartition("before", "word")
+
+
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts in all documents and in the target's, of what comes often enough."""
+    sums = [F.sum(c).alias(c) for c in ("background", "target")]
+    return rows.groupBy(*keys).agg(*sums).where(F.col("background") >= LEAST_COUNT)
+
+
+@dataclass
+class Totals:
+    """Tokens of both models, those of known words, and the size of the vocabulary with the
+    unknown word."""
+
+    tokens: np.ndarray
+    known: np.ndarray
+    size: int
+
+    def single(self, counts: np.ndarray, known: np.ndarray) -> np.ndarray:
+        own = np.where(known[:, None], counts, self.tokens - self.known)
+        return (own + UNSEEN) / (self.tokens + UNSEEN * self.size)
+
+
+def totals_of(words: DataFrame) -> Totals:
+    both = words.where(F.col("word") != START).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("background", "target")])
+    often = F.col("background") >= LEAST_COUNT
+    row = both.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("background", "target")],
+        *[F.coalesce(F.sum(F.when(often, F.col(c))), F.lit(0)) for c in ("background", "target")], F.count_if(often),
+    ).first()
+    return Totals(np.array(row[:2], np.float64), np.array(row[2:4], np.float64), row[4] + 1)
+
+
+def losses(block: Block, found: pa.Table, totals: Totals) -> np.ndarray:
+    """Negative log probabilities of the block's distinct pairs, by model (background, target),
+    given what the corpus holds of its words and pairs."""
+    at = found["at"].to_numpy()
+    counts = np.column_stack([found[c].to_numpy() for c in ("background", "target")]).astype(np.float64)
+    kept = np.column_stack([found[c].to_numpy() for c in ("kept_background", "kept_target")])
+    own, of_word = at >= 0, at < 0
+    word = np.zeros((block.n + 1, 2))
+    word[-1 - at[of_word]] = counts[of_word]
+    known = np.zeros(block.n + 1, bool)
+    known[-1 - at[of_word]] = True
+    context = np.maximum(word, 1e-9)
+    rest = np.ones((block.n + 1, 2))
+    rest[-1 - at[of_word]] -= kept[of_word] / context[-1 - at[of_word]]
+    p = np.clip(rest, 1e-6, 1.0)[block.before] * totals.single(word, known)[block.word]
+    p[at[own]] += np.maximum(counts[own] - DISCOUNT, 0.0) / context[block.before[at[own]]]
+    return -np.log(p)
 
 
 def mark_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, target)``: whether a row's id is among ``target_ids(doc_id)``, all of
-    which count. Never a broadcast: the plan, and so its cost a row, is the same at every size."""
-    ids = target_ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    which count. Never a broadcast: the plan, and so its cost a row, is the same at every size.
+    Rows without an id are dealt by their texts."""
+    ids = target_ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.lit(0).cast("long").alias("_deal")).distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = rows.join(ids.hint("merge"), rows["doc_id"] == ids["_id"], "left")
+    rows = rows.withColumn("deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+    marked = rows.join(ids.hint("merge"), (rows["doc_id"] == ids["_id"]) & (rows["deal"] == ids["_deal"]), "left")
     return marked.select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, n_tokens, target_loss, background_loss, score)``, one row per row of
     ``docs``: mean losses per token in nats, and score the mean of the per-token differences
     (target less background; the lower, the more a text is like the target).
@@ -170,29 +231,28 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     are counted and scored each; a null id is never a target. Without target rows the target
     model is that of unseen counts. Further columns are ignored; an empty table gives an
     empty table."""
-    ship_package(docs.sparkSession)
-    small_batches(docs.sparkSession)
-    marked = mark_target(docs, target_ids, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(fit_models(marked))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            for part in groups_of(batch, 1):
-                found, row = words_of(part.column(1))
-                ids = models.ids(found)
-                losses = models.losses(pairs_of(ids, row, models.size), ids)
-                n = np.bincount(row, minlength=part.num_rows)
-                mean = lambda x: np.bincount(row, x, minlength=part.num_rows) / np.maximum(n, 1)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n.astype(np.int64)), pa.array(mean(losses[:, 1])), pa.array(mean(losses[:, 0])),
-                     pa.array(mean(losses[:, 1] - losses[:, 0]))],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(
-        work, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    blocks = number_texts(mark_target(docs, target_ids, id_col, text_col), block_bytes)
+    words, pairs = word_rows(blocks), pair_rows(blocks)
+    totals = totals_of(words)
+    kept_pairs = counted(pairs, "before", "word")
+    taken = [F.sum(F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))).alias(f"kept_{c}") for c in ("background", "target")]
+    kept_words = counted(words, "word").join(kept_pairs.groupBy(F.col("before").alias("word")).agg(*taken), "word", "left")
+    columns = ["block", "at", "background", "target", "kept_background", "kept_target"]
+    found = words.select("word", "block", "at").join(kept_words, "word").fillna(0.0).select(*columns).unionByName(
+        pairs.select("before", "word", "block", "at").join(kept_pairs, ["before", "word"])
+        .select("block", "at", "background", "target", F.lit(0.0).alias("kept_background"), F.lit(0.0).alias("kept_target")))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Block.of(left.to_pylist()[0])
+        each = losses(block, right, totals)[block.at]
+        n = block.sizes
+        mean = lambda x: np.bincount(block.row, x, minlength=len(n)) / np.maximum(n, 1)
+        return pa.table({
+            "doc_id": pa.array(block.doc_ids, pa.int64()), "n_tokens": n, "target_loss": mean(each[:, 1]),
+            "background_loss": mean(each[:, 0]), "score": mean(each[:, 1] - each[:, 0])})
+
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def quality_targets(labels: DataFrame, is_target: Column) -> DataFrame:
@@ -202,30 +262,28 @@ def quality_targets(labels: DataFrame, is_target: Column) -> DataFrame:
 
 def scores_sql(target: str) -> str:
     """The same scores, rounded to six digits, as DuckDB SQL over ``documents`` with distinct
-    ids; ``target`` is a query of target ids. Words hold no spaces, so ' unknown' and ' start'
-    are free names."""
+    ids; ``target`` is a query of target ids. Words hold no spaces, so ' start' is a free name."""
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
-    p = lambda m: f"coalesce(k.taken_{m}, 0) + coalesce(r.rest_{m}, 1.0) * s.single_{m}"
+    p = lambda m: f"coalesce(k.taken_{m}, 0) + coalesce(r.rest_{m}, 1.0) * coalesce(s.single_{m}, x.single_{m})"
+    single = lambda b, t: f"({b} + {UNSEEN}) / (n.b + {UNSEEN} * z.size) AS single_b, ({t} + {UNSEEN}) / (n.t + {UNSEEN} * z.size) AS single_t"
     return f"""
     WITH g AS (SELECT DISTINCT doc_id FROM ({target})),
     d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM g) AS tgt,
                  list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
           FROM documents),
-    t AS (SELECT doc_id, tgt, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+    t AS (SELECT doc_id, tgt, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
     n AS (SELECT count(*) AS b, count(*) FILTER (WHERE tgt) AS t FROM t),
-    v AS (SELECT word FROM t GROUP BY word HAVING count(*) >= greatest({LEAST_COUNT}, {VOCABULARY_SHARE} * (SELECT b FROM n))),
-    z AS (SELECT count(*) + 1 AS size FROM v),
-    u AS (SELECT t.doc_id, t.tgt, t.pos, coalesce(v.word, ' unknown') AS w FROM t LEFT JOIN v ON t.word = v.word),
-    q AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), ' start') AS prev FROM u),
-    c AS (SELECT w, count(*) AS b, count(*) FILTER (WHERE tgt) AS t FROM q GROUP BY w
-          UNION ALL SELECT ' start', count(*), count(*) FILTER (WHERE tgt) FROM d),
-    s AS (SELECT w, (c.b + {UNSEEN}) / (n.b + {UNSEEN} * size) AS single_b, (c.t + {UNSEEN}) / (n.t + {UNSEEN} * size) AS single_t
-          FROM c, n, z WHERE w <> ' start'),
+    q AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), ' start') AS prev FROM t),
+    v AS (SELECT w, count(*) AS b, count(*) FILTER (WHERE tgt) AS t FROM t GROUP BY w HAVING count(*) >= {LEAST_COUNT}),
+    z AS (SELECT count(*) + 1 AS size, coalesce(sum(b), 0) AS b, coalesce(sum(t), 0) AS t FROM v),
+    c AS (SELECT * FROM v UNION ALL SELECT ' start', count(*), count(*) FILTER (WHERE tgt) FROM d),
+    s AS (SELECT w, {single('v.b', 'v.t')} FROM v, n, z),
+    x AS (SELECT {single('n.b - z.b', 'n.t - z.t')} FROM n, z),
     k AS (SELECT p.prev, p.w, greatest(p.b - {DISCOUNT}, 0) / greatest(c.b, 1e-9) AS taken_b, greatest(p.t - {DISCOUNT}, 0) / greatest(c.t, 1e-9) AS taken_t
           FROM (SELECT prev, w, count(*) AS b, count(*) FILTER (WHERE tgt) AS t FROM q GROUP BY prev, w) p JOIN c ON c.w = p.prev
-          WHERE p.b >= greatest({LEAST_COUNT}, {BIGRAM_SHARE} * (SELECT b FROM n))),
+          WHERE p.b >= {LEAST_COUNT}),
     r AS (SELECT prev, least(1.0, greatest(1e-6, 1 - sum(taken_b))) AS rest_b, least(1.0, greatest(1e-6, 1 - sum(taken_t))) AS rest_t FROM k GROUP BY prev),
-    l AS (SELECT q.doc_id, -ln({p('b')}) AS b, -ln({p('t')}) AS t FROM q JOIN s ON s.w = q.w
+    l AS (SELECT q.doc_id, -ln({p('b')}) AS b, -ln({p('t')}) AS t FROM q CROSS JOIN x LEFT JOIN s ON s.w = q.w
           LEFT JOIN k ON k.prev = q.prev AND k.w = q.w LEFT JOIN r ON r.prev = q.prev),
     m AS (SELECT doc_id, count(*) AS n_tokens, avg(t) AS t, avg(b) AS b, avg(t - b) AS x FROM l GROUP BY doc_id)
     SELECT d.doc_id, CAST(coalesce(m.n_tokens, 0) AS BIGINT) AS n_tokens, round(coalesce(m.t, 0), 6) + 0.0::DOUBLE AS target_loss,
