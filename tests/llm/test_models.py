@@ -84,9 +84,15 @@ def test_every_target_is_counted(spark):
     frame = ids.select("doc_id", F.lit("a b").alias("text"))
     marked = lm_scoring.mark_target(frame, ids.union(ids).repartition(4))
     assert marked.count() == marked.where("target").count() == 500_000
-    counts = lm_scoring.counted(lm_scoring.pair_rows(lm_scoring.number_texts(marked)), "before", "word").collect()
-    a, b = lm_scoring.word_hash("a"), lm_scoring.word_hash("b")
-    assert sorted(map(tuple, counts)) == sorted([(lm_scoring.START, a, 500_000, 500_000), (a, b, 500_000, 500_000)])
+    assert pair_counts(lm_scoring.number_texts(marked)) == {("a", "b"): (500_000, 500_000), (None, "a"): (500_000, 500_000)}
+
+
+def pair_counts(blocks, words="abcdefgh rare word the cat sat on mat"):
+    """Kept pairs with their counts; None is the start."""
+    known = {None: lm_scoring.START, **{w: lm_scoring.word_hash(w) for w in [*words.split(), *words]}}
+    names = {lm_scoring.pair_key(np.array([x]), np.array([y]))[0]: (a, b) for a, x in known.items() for b, y in known.items()}
+    rows = lm_scoring.counted(lm_scoring.pair_rows(blocks), "pair").collect()
+    return {names[r["pair"]]: (r["background"], r["target"]) for r in rows}
 
 
 def test_rare_words_stay_known_however_large_the_corpus(spark):
@@ -95,9 +101,8 @@ def test_rare_words_stay_known_however_large_the_corpus(spark):
     rows = spark.createDataFrame([*common, (100_000, "rare word"), (100_001, "rare word")], "doc_id long, text string").repartition(7)
     blocks = lm_scoring.number_texts(lm_scoring.mark_target(rows, spark.createDataFrame([(100_000,)], "doc_id long")), 50_000)
     assert blocks.count() > 20 and max(len(r["doc_ids"]) for r in blocks.select("doc_ids").collect()) < 3_000
-    got = {tuple(r)[:2]: tuple(r)[2:] for r in lm_scoring.counted(lm_scoring.pair_rows(blocks), "before", "word").collect()}
-    assert got[lm_scoring.word_hash("rare"), lm_scoring.word_hash("word")] == (2, 1)
-    assert got[lm_scoring.word_hash("the"), lm_scoring.word_hash("cat")] == (100_000, 0)
+    got = pair_counts(blocks)
+    assert got["rare", "word"] == got[None, "rare"] == (2, 1) and got["the", "cat"] == (100_000, 0)
     assert lm_scoring.totals_of(lm_scoring.word_rows(blocks)).size == 8
 
 

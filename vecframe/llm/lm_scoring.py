@@ -66,6 +66,11 @@ def word_hash(word: str) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(word) or 1).astype(np.int64).item()
 
 
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64 bits that stand for a pair, from those of its words."""
+    return before * np.int64(0x1E3779B97F4A7C15) + word  # wraps around
+
+
 def _number(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Blocks of ``(doc_id, text, target)``: their words numbered as they come."""
     task = TaskContext.get().partitionId() << 32
@@ -124,11 +129,12 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks_of(batches):
         own = np.append(block.hashes, START)
+        before = own[block.before]
         b, t = block.counts(block.at, len(block.pairs))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(own[block.before]), pa.array(own[block.word]), pa.array(np.full(len(b), block.block)),
+            [pa.array(pair_key(before, own[block.word])), pa.array(before), pa.array(np.full(len(b), block.block)),
              pa.array(np.arange(len(b), dtype=np.int32)), pa.array(b), pa.array(t)],
-            names=["before", "word", "block", "at", "background", "target"],
+            names=["pair", "before", "block", "at", "background", "target"],
         )
 
 
@@ -156,15 +162,13 @@ def word_rows(blocks: DataFrame) -> DataFrame:
 
 
 def pair_rows(blocks: DataFrame) -> DataFrame:
-    """Distinct pairs of every block, dealt by pair: counts and lookups share this exchange."""
-    rows = blocks.mapInArrow(_pair_rows, "before long, word long, block long, at int, background long, target long")
-    return rows.repartition("before", "word")
+    return blocks.mapInArrow(_pair_rows, "pair long, before long, block long, at int, background long, target long")
 
 
-def counted(rows: DataFrame, *keys: str) -> DataFrame:
+def counted(rows: DataFrame, key: str, *more: Column) -> DataFrame:
     """Counts in all documents and in the target's, of what comes often enough."""
     sums = [F.sum(c).alias(c) for c in ("background", "target")]
-    return rows.groupBy(*keys).agg(*sums).where(F.col("background") >= LEAST_COUNT)
+    return rows.groupBy(key).agg(*sums, *more).where(F.col("background") >= LEAST_COUNT)
 
 
 @dataclass
@@ -234,12 +238,13 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     blocks = number_texts(mark_target(docs, target_ids, id_col, text_col), block_bytes)
     words, pairs = word_rows(blocks), pair_rows(blocks)
     totals = totals_of(words)
-    kept_pairs = counted(pairs, "before", "word")
+    kept_pairs = cut_lineage(counted(pairs, "pair", F.min("before").alias("before")))
     taken = [F.sum(F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))).alias(f"kept_{c}") for c in ("background", "target")]
-    kept_words = counted(words, "word").join(kept_pairs.groupBy(F.col("before").alias("word")).agg(*taken), "word", "left")
+    of_words = kept_pairs.groupBy(F.col("before").alias("word")).agg(*taken).hint("merge")
+    kept_words = counted(words, "word").join(of_words, "word", "left").fillna(0.0)
     columns = ["block", "at", "background", "target", "kept_background", "kept_target"]
-    found = words.select("word", "block", "at").join(kept_words, "word").fillna(0.0).select(*columns).unionByName(
-        pairs.select("before", "word", "block", "at").join(kept_pairs, ["before", "word"])
+    found = words.select("word", "block", "at").join(kept_words.hint("merge"), "word").select(*columns).unionByName(
+        pairs.select("pair", "block", "at").join(kept_pairs.hint("merge"), "pair")
         .select("block", "at", "background", "target", F.lit(0.0).alias("kept_background"), F.lit(0.0).alias("kept_target")))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
