@@ -1,6 +1,6 @@
 import math
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -35,21 +35,18 @@ def plain_scores(rows, targets):
             pairs[m].update(zip(["<start>", *w], w, strict=False))
     kept = {p for p, c in pairs[0].items() if c >= lm_scoring.LEAST_COUNT}
     size = len(vocab) + 1
-    mass = [defaultdict(float), defaultdict(float)]
     taken = [{}, {}]
     for p in kept:
         for m in (0, 1):
             taken[m][p] = max(pairs[m][p] - lm_scoring.DISCOUNT, 0) / max(context[m][p[0]], 1e-9)
-            mass[m][p[0]] += taken[m][p]
+    share = lm_scoring.BIGRAM_WEIGHT
 
     def chance(m, a, b):
         single = (uni[m][b if b in vocab else None] + lm_scoring.UNSEEN) / (sum(uni[m].values()) + lm_scoring.UNSEEN * size)
-        return taken[m].get((a, b), 0.0) + min(1.0, max(1e-6, 1 - mass[m][a])) * single
+        return share * taken[m].get((a, b), 0.0) + (1 - share) * single
 
-    for a in [*vocab, None, "<start>"]:  # both models are distributions
-        for m in (0, 1):
-            total = sum(chance(m, a, b) for b in [*vocab, None])
-            assert total <= 1 + 1e-6 and (m or abs(total - 1) < 1e-6)
+    for a in [*vocab, None, "<start>"]:  # no model gives out more than there is
+        assert all(1 - share - 1e-6 <= sum(chance(m, a, b) for b in [*vocab, None]) <= 1 + 1e-6 for m in (0, 1))
     for n, (i, w, _) in enumerate(texts):
         got = [sum(-math.log(chance(m, a, b)) for a, b in zip(["<start>", *w], w, strict=False)) / max(1, len(w)) for m in (1, 0)]
         out[n] = (i, len(w), *got, got[0] - got[1])
@@ -91,8 +88,8 @@ def pair_counts(blocks, words="abcdefgh rare word the cat sat on mat"):
     """Kept pairs with their counts; None is the start."""
     known = {None: lm_scoring.START, **{w: lm_scoring.word_hash(w) for w in [*words.split(), *words]}}
     names = {lm_scoring.pair_key(np.array([x]), np.array([y]))[0]: (a, b) for a, x in known.items() for b, y in known.items()}
-    rows = lm_scoring.counted(lm_scoring.pair_rows(blocks), "pair").collect()
-    return {names[r["pair"]]: (r["background"], r["target"]) for r in rows}
+    rows = lm_scoring.summed(lm_scoring.pair_rows(blocks)).select("key", "background", "target").distinct().collect()
+    return {names[r["key"]]: (r["background"], r["target"]) for r in rows}
 
 
 def test_rare_words_stay_known_however_large_the_corpus(spark):

@@ -2,11 +2,12 @@
 
 Both are bigram models over one vocabulary: the words seen at least LEAST_COUNT times in all
 documents, all others being one unknown word. They have the same kept bigrams (seen that often
-too), the same absolute discount and the same back-off, so their per-token losses can be
-compared. The background model counts all documents, the target model those marked as target.
-LEAST_COUNT is a number of occurrences and no share, so both tables grow with the corpus. They
-are Spark tables: texts are numbered in blocks once, each block's distinct words and pairs meet
-the counts in joins, and what is found returns to its block. Nothing of them is broadcast or
+too), the same absolute discount and the same interpolation with single words, so their
+per-token losses can be compared. What a context's rare bigrams would get is given to no word.
+The background model counts all documents, the target model those marked as target.
+LEAST_COUNT is a number of occurrences and no share, so what is counted grows with the corpus.
+Texts are numbered in blocks once; each block's distinct words and pairs are summed over all
+blocks by key in one exchange, and the sums return to their blocks. Nothing is broadcast or
 sent to the driver but five sums.
 """
 
@@ -23,15 +24,17 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vecframe.llm.batches import small_batches
 from vecframe.session import cut_lineage, ship_package
 
 LEAST_COUNT = 2
 DISCOUNT = 0.75
+BIGRAM_WEIGHT = 0.5      # the rest is that of the single word
 UNSEEN = 0.5             # added to the count of every word of the vocabulary
-BLOCK_BYTES = 8_000_000  # of text
-START = 0                # stands for the word before the first
+BLOCK_BYTES = 16_000_000  # of text
+START = 1                # stands for the word before the first
 
 BLOCK = "block long, doc_ids array<long>, sizes binary, targets binary, ids binary, hashes binary"
 
@@ -63,7 +66,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iter
 
 def word_hash(word: str) -> int:
     """64 bits that stand for a word; two words share them as good as never."""
-    return np.uint64(xxhash.xxh3_64_intdigest(word) or 1).astype(np.int64).item()
+    return np.uint64(xxhash.xxh3_64_intdigest(word)).astype(np.int64).item()
 
 
 def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -129,12 +132,11 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks_of(batches):
         own = np.append(block.hashes, START)
-        before = own[block.before]
         b, t = block.counts(block.at, len(block.pairs))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(pair_key(before, own[block.word])), pa.array(before), pa.array(np.full(len(b), block.block)),
+            [pa.array(pair_key(own[block.before], own[block.word])), pa.array(np.full(len(b), block.block)),
              pa.array(np.arange(len(b), dtype=np.int32)), pa.array(b), pa.array(t)],
-            names=["pair", "before", "block", "at", "background", "target"],
+            names=["key", "block", "at", "background", "target"],
         )
 
 
@@ -145,7 +147,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(block.hashes, START)), pa.array(np.full(n, block.block)), pa.array(-1 - np.arange(n, dtype=np.int32)),
              pa.array(np.append(b, len(block.sizes))), pa.array(np.append(t, int(block.targets.sum())))],
-            names=["word", "block", "at", "background", "target"],
+            names=["key", "block", "at", "background", "target"],
         )
 
 
@@ -157,18 +159,23 @@ def number_texts(marked: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return cut_lineage(marked.select("doc_id", "text", "target").mapInArrow(lambda b: _number(b, block_bytes), BLOCK))
 
 
+ROWS = "key long, block long, at int, background long, target long"
+
+
 def word_rows(blocks: DataFrame) -> DataFrame:
-    return blocks.mapInArrow(_word_rows, "word long, block long, at int, background long, target long")
+    return blocks.mapInArrow(_word_rows, ROWS)
 
 
 def pair_rows(blocks: DataFrame) -> DataFrame:
-    return blocks.mapInArrow(_pair_rows, "pair long, before long, block long, at int, background long, target long")
+    return blocks.mapInArrow(_pair_rows, ROWS)
 
 
-def counted(rows: DataFrame, key: str, *more: Column) -> DataFrame:
-    """Counts in all documents and in the target's, of what comes often enough."""
-    sums = [F.sum(c).alias(c) for c in ("background", "target")]
-    return rows.groupBy(key).agg(*sums, *more).where(F.col("background") >= LEAST_COUNT)
+def summed(rows: DataFrame) -> DataFrame:
+    """Every block's rows with their key's counts over all blocks, where that is often enough.
+    A key has at most one row in a block."""
+    over = Window.partitionBy("key")
+    sums = {c: F.sum(c).over(over) for c in ("background", "target")}
+    return rows.withColumns(sums).where(F.col("background") >= LEAST_COUNT)
 
 
 @dataclass
@@ -186,7 +193,7 @@ class Totals:
 
 
 def totals_of(words: DataFrame) -> Totals:
-    both = words.where(F.col("word") != START).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("background", "target")])
+    both = words.where(F.col("key") != START).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("background", "target")])
     often = F.col("background") >= LEAST_COUNT
     row = both.agg(
         *[F.coalesce(F.sum(c), F.lit(0)) for c in ("background", "target")],
@@ -200,17 +207,12 @@ def losses(block: Block, found: pa.Table, totals: Totals) -> np.ndarray:
     given what the corpus holds of its words and pairs."""
     at = found["at"].to_numpy()
     counts = np.column_stack([found[c].to_numpy() for c in ("background", "target")]).astype(np.float64)
-    kept = np.column_stack([found[c].to_numpy() for c in ("kept_background", "kept_target")])
-    own, of_word = at >= 0, at < 0
     word = np.zeros((block.n + 1, 2))
-    word[-1 - at[of_word]] = counts[of_word]
-    known = np.zeros(block.n + 1, bool)
-    known[-1 - at[of_word]] = True
-    context = np.maximum(word, 1e-9)
-    rest = np.ones((block.n + 1, 2))
-    rest[-1 - at[of_word]] -= kept[of_word] / context[-1 - at[of_word]]
-    p = np.clip(rest, 1e-6, 1.0)[block.before] * totals.single(word, known)[block.word]
-    p[at[own]] += np.maximum(counts[own] - DISCOUNT, 0.0) / context[block.before[at[own]]]
+    word[-1 - at[at < 0]] = counts[at < 0]
+    p = (1 - BIGRAM_WEIGHT) * totals.single(word, word[:, 0] > 0)[block.word]
+    pair = at[at >= 0]
+    context = np.maximum(word[block.before[pair]], 1e-9)
+    p[pair] += BIGRAM_WEIGHT * np.maximum(counts[at >= 0] - DISCOUNT, 0.0) / context
     return -np.log(p)
 
 
@@ -236,16 +238,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     model is that of unseen counts. Further columns are ignored; an empty table gives an
     empty table."""
     blocks = number_texts(mark_target(docs, target_ids, id_col, text_col), block_bytes)
-    words, pairs = word_rows(blocks), pair_rows(blocks)
+    words = word_rows(blocks)
     totals = totals_of(words)
-    kept_pairs = cut_lineage(counted(pairs, "pair", F.min("before").alias("before")))
-    taken = [F.sum(F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))).alias(f"kept_{c}") for c in ("background", "target")]
-    of_words = kept_pairs.groupBy(F.col("before").alias("word")).agg(*taken).hint("merge")
-    kept_words = counted(words, "word").join(of_words, "word", "left").fillna(0.0)
-    columns = ["block", "at", "background", "target", "kept_background", "kept_target"]
-    found = words.select("word", "block", "at").join(kept_words.hint("merge"), "word").select(*columns).unionByName(
-        pairs.select("pair", "block", "at").join(kept_pairs.hint("merge"), "pair")
-        .select("block", "at", "background", "target", F.lit(0.0).alias("kept_background"), F.lit(0.0).alias("kept_target")))
+    found = summed(words.unionByName(pair_rows(blocks))).select("block", "at", "background", "target")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block.of(left.to_pylist()[0])
@@ -269,7 +264,7 @@ def scores_sql(target: str) -> str:
     """The same scores, rounded to six digits, as DuckDB SQL over ``documents`` with distinct
     ids; ``target`` is a query of target ids. Words hold no spaces, so ' start' is a free name."""
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
-    p = lambda m: f"coalesce(k.taken_{m}, 0) + coalesce(r.rest_{m}, 1.0) * coalesce(s.single_{m}, x.single_{m})"
+    p = lambda m: f"{1 - BIGRAM_WEIGHT} * coalesce(s.single_{m}, x.single_{m}) + {BIGRAM_WEIGHT} * coalesce(k.taken_{m}, 0)"
     single = lambda b, t: f"({b} + {UNSEEN}) / (n.b + {UNSEEN} * z.size) AS single_b, ({t} + {UNSEEN}) / (n.t + {UNSEEN} * z.size) AS single_t"
     return f"""
     WITH g AS (SELECT DISTINCT doc_id FROM ({target})),
@@ -287,9 +282,8 @@ def scores_sql(target: str) -> str:
     k AS (SELECT p.prev, p.w, greatest(p.b - {DISCOUNT}, 0) / greatest(c.b, 1e-9) AS taken_b, greatest(p.t - {DISCOUNT}, 0) / greatest(c.t, 1e-9) AS taken_t
           FROM (SELECT prev, w, count(*) AS b, count(*) FILTER (WHERE tgt) AS t FROM q GROUP BY prev, w) p JOIN c ON c.w = p.prev
           WHERE p.b >= {LEAST_COUNT}),
-    r AS (SELECT prev, least(1.0, greatest(1e-6, 1 - sum(taken_b))) AS rest_b, least(1.0, greatest(1e-6, 1 - sum(taken_t))) AS rest_t FROM k GROUP BY prev),
     l AS (SELECT q.doc_id, -ln({p('b')}) AS b, -ln({p('t')}) AS t FROM q CROSS JOIN x LEFT JOIN s ON s.w = q.w
-          LEFT JOIN k ON k.prev = q.prev AND k.w = q.w LEFT JOIN r ON r.prev = q.prev),
+          LEFT JOIN k ON k.prev = q.prev AND k.w = q.w),
     m AS (SELECT doc_id, count(*) AS n_tokens, avg(t) AS t, avg(b) AS b, avg(t - b) AS x FROM l GROUP BY doc_id)
     SELECT d.doc_id, CAST(coalesce(m.n_tokens, 0) AS BIGINT) AS n_tokens, round(coalesce(m.t, 0), 6) + 0.0::DOUBLE AS target_loss,
            round(coalesce(m.b, 0), 6) + 0.0::DOUBLE AS background_loss, round(coalesce(m.x, 0), 6) + 0.0::DOUBLE AS score
