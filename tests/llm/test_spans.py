@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
+import textwrap
 import time
 
 import duckdb
+import numpy as np
 from fixtures import EDGE_TEXTS, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -176,4 +179,34 @@ def test_licenses_against_sql(spark):
 
 def test_license_matches_are_listed(spark):
     [row] = licenses.find_licenses(docs(spark, LICENSES[:1])).collect()
-    assert row["n_units"] == 4 and [(m["unit"], m["license"], m["dice"]) for m in row["found"]] == [(1, "MIT", 1.0)]
+    assert row["n_units"] == 4 and [(m["unit"], m["license"], m["dice"]) for m in row["found"]] == [(1, "MIT", 1.0), (-1, "MIT", 1.0)]
+
+
+def plain_window(text, template):
+    """The best coefficient of all windows as long as the template that begin with one of its bigrams."""
+    own, of = [re.sub("[^a-z0-9]+", " ", x.lower()).split() for x in (text, template)]
+    grams, size = list(zip(own, own[1:])), len(of) - 1
+    want = set(zip(of, of[1:]))
+    return max((2 * len(want & set(w)) / (len(want) + len(set(w))) for w in (grams[i : i + size] for i in range(len(grams)) if grams[i] in want)), default=0)
+
+
+def test_licenses_within_longer_texts(spark):
+    """Notices in the midst of a line or wrapped over lines, in short and in long documents."""
+    by_name = {n: t for n, t in licenses.TEMPLATES}  # the longest of a name comes last
+    wrapped = {n: "Copyright (c) 2020 A. Person\n\n" + textwrap.fill(t, 60) + "\n\nThe software is provided as is.\n" for n, t in by_name.items()}
+    rows = [(1, "This sample code is released under the MIT License."), (2, "as is, " * 3000 + wrapped["MIT"] + "more " * 3000)]
+    rows += [(10 + i, "\n".join(["/*", *[" * " + x for x in t.splitlines()], " */"])) for i, t in enumerate(wrapped.values())]
+    rows += [(3, "the software is released under the terms of the mountain"), (4, "License MIT the under Released"), (5, "of the " * 2000)]
+    rng = random.Random(4)
+    words = " ".join(t for _, t in licenses.TEMPLATES[:12]).split()
+    rows += [(100 + i, " ".join(rng.choices(words, k=5) + words[(a := rng.randrange(150)) : a + rng.randrange(4, 40)])) for i in range(60)]
+    got = {r["doc_id"]: r["found"] for r in licenses.find_licenses(docs(spark, rows)).collect()}
+    assert [m["license"] for m in got[1]] == ["MIT"] and got[3] == got[4] == got[5] == []
+    assert "MIT" in {m["license"] for m in got[2]}
+    for i, name in enumerate(wrapped):
+        assert name in {m["license"] for m in got[10 + i]}, name
+    for doc_id, text in rows:
+        if doc_id != 2:
+            want = sorted((n, d) for n, t in licenses.TEMPLATES if (d := plain_window(text, t)) >= licenses.THRESHOLD)
+            found = sorted((m["license"], m["dice"]) for m in got[doc_id] if m["unit"] == -1)
+            assert [n for n, _ in found] == [n for n, _ in want] and np.allclose([d for _, d in found], [d for _, d in want])

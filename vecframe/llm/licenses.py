@@ -44,11 +44,15 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def template_words(text: str) -> int:
+    return len(re.sub("[^a-z0-9]+", " ", text.lower()).split())
+
+
 def _bigrams(unit: Column) -> Column:
-    """Distinct word bigrams of a text: A-Z in lower case, anything but a-z and 0-9 parts words."""
+    """Word bigrams of a text in order: A-Z in lower case, anything but a-z and 0-9 parts words."""
     plain = F.trim(F.regexp_replace(F.translate(unit, string.ascii_uppercase, string.ascii_lowercase), "[^a-z0-9]+", " "))
-    return once(F.split(plain, " "), lambda w: F.array_distinct(F.zip_with(
-        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
+    return once(F.split(plain, " "), lambda w: F.zip_with(
+        F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
 def find_licenses(
@@ -57,17 +61,22 @@ def find_licenses(
 ) -> DataFrame:
     """``(doc_id, n_units, found)``, one row per row of ``docs``.
 
-    Units are the lines of a text and, if there are several, the whole text. found lists
-    (unit, license, dice) of every unit and template whose Dice coefficient reaches
-    ``threshold`` (above zero); unit 0 is the first line, the whole text comes last. A
-    template is compared only where the two numbers of bigrams allow the threshold. Null
-    and empty texts have one unit and no match; so have units of a single word. Further
-    columns are ignored; an empty table gives an empty table."""
-    known = [(name, template_bigrams(text)) for name, text in templates]
+    Units are the lines of a text and, if there are several, the whole text; beside them, for
+    every template, the window of as many words as the template has, anywhere in the text and
+    across its lines, that is most like it. found lists (unit, license, dice) of every unit and
+    template whose Dice coefficient reaches ``threshold`` (above zero); unit 0 is the first
+    line, the whole text comes after the lines, and the windows, one a template, are unit -1. A
+    template is compared only where the two numbers of bigrams allow the threshold, with
+    windows where the text has so many of its bigrams at all; a window begins at one of its
+    bigrams (moved on to the next, it would lose none of them). Null and empty texts have one unit
+    and no match; so have units of a single word. Further columns are ignored; an empty table
+    gives an empty table."""
+    known = [(name, template_bigrams(text), template_words(text) - 1) for name, text in templates]
     table = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.array(*[F.lit(x) for x in b]).alias("bigrams"), F.lit(len(b)).alias("size"))
-        for n, b in known if b
+        F.struct(F.lit(n).alias("name"), F.array(*[F.lit(x) for x in b]).alias("bigrams"), F.lit(len(b)).alias("size"), F.lit(w).alias("window"))
+        for n, b, w in known if b
     ])
+    any_of = F.array(*[F.lit(x) for x in sorted({x for _, b, _ in known for x in b})])
     least = threshold / (2 - threshold)  # a share of the other's size that both must have
 
     def of_unit(unit: Column, at: Column) -> Column:
@@ -77,14 +86,29 @@ def find_licenses(
                 at.alias("unit"), t["name"].alias("license"),
                 (F.lit(2.0) * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + t["size"])).alias("dice")))
 
-        return once(_bigrams(unit), against)
+        return once(F.array_distinct(_bigrams(unit)), against)
+
+    def windows(text: Column) -> Column:
+        def best(own: Column, t: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: F.array_contains(t["bigrams"], F.element_at(own, i)))
+            return F.array_max(F.transform(starts, lambda i: once(
+                F.array_distinct(F.slice(own, i, t["window"])),
+                lambda w: F.lit(2.0) * F.size(F.array_intersect(w, t["bigrams"])) / (F.size(w) + t["size"]))))
+
+        def of(own: Column) -> Column:
+            return once(F.array_intersect(own, any_of), lambda there: F.transform(
+                F.filter(table, lambda t: F.size(F.array_intersect(there, t["bigrams"])) >= t["size"] * least - 1e-9),
+                lambda t: F.struct(F.lit(-1).alias("unit"), t["name"].alias("license"), best(own, t).alias("dice"))))
+
+        return once(_bigrams(text), of)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     units = once(F.split(text, "\n", -1), lambda lines: F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), units.alias("units"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), units.alias("units"), text.alias("_text"))
+    every = F.concat(F.flatten(F.transform("units", of_unit)), windows(F.col("_text")))
     return rows.select(
         "doc_id", F.size("units").cast("long").alias("n_units"),
-        F.filter(F.flatten(F.transform("units", of_unit)), lambda m: m["dice"] >= threshold).alias("found"),
+        F.filter(every, lambda m: m["dice"] >= threshold).alias("found"),
     )
 
 
@@ -102,16 +126,21 @@ def license_summary(docs: DataFrame, **parameters) -> DataFrame:
 def summary_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same summary as DuckDB SQL."""
     values = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates)
-    grams = """list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"""
+    grams = """list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"""
     plain = "string_split(trim(regexp_replace(translate({}, '{}', '{}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
     of = lambda c: plain.format(c, string.ascii_uppercase, string.ascii_lowercase)
+    least = threshold / (2 - threshold)
     return f"""
-    WITH t AS (SELECT name, {grams} AS b FROM (SELECT name, {of('body')} AS w FROM (VALUES {values}) v(name, body))),
+    WITH t AS (SELECT name, row_number() OVER () AS id, len(w) - 1 AS n, list_distinct({grams}) AS b FROM (SELECT name, {of('body')} AS w FROM (VALUES {values}) v(name, body))),
     d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
     u AS (SELECT doc_id, CASE WHEN len(lines) > 1 THEN list_append(lines, text) ELSE lines END AS units FROM d),
-    g AS (SELECT doc_id, {grams} AS a FROM (SELECT doc_id, {of('unit')} AS w FROM (SELECT doc_id, unnest(units) AS unit FROM u))),
+    g AS (SELECT doc_id, list_distinct({grams}) AS a FROM (SELECT doc_id, {of('unit')} AS w FROM (SELECT doc_id, unnest(units) AS unit FROM u))),
+    e AS (SELECT doc_id, {grams} AS a FROM (SELECT doc_id, {of('text')} AS w FROM d)),
+    f AS (SELECT doc_id, a, id, name, b, n FROM (SELECT doc_id, a, list_distinct(a) AS s FROM e), t WHERE len(list_intersect(s, b)) >= len(b) * {least} - 1e-9),
+    w AS (SELECT doc_id, id, name, b, list_distinct(a[i : i + n - 1]) AS x FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM f) WHERE list_contains(b, a[i])),
     m AS (SELECT doc_id, name, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM g, t
-          WHERE len(a) >= len(b) * {threshold / (2 - threshold)} - 1e-9 AND len(b) >= len(a) * {threshold / (2 - threshold)} - 1e-9),
+          WHERE len(a) >= len(b) * {least} - 1e-9 AND len(b) >= len(a) * {least} - 1e-9
+          UNION ALL SELECT doc_id, any_value(name), max(2.0 * len(list_intersect(x, b)) / (len(x) + len(b))) FROM w GROUP BY doc_id, id),
     k AS (SELECT doc_id, count(*) AS n_matches, min(struct_pack(d := -dice, license := name)) AS best FROM m WHERE dice >= {threshold} GROUP BY doc_id)
     SELECT u.doc_id, CAST(len(units) AS BIGINT) AS n_units, CAST(coalesce(n_matches, 0) AS BIGINT) AS n_matches,
            best.license AS license, round(-best.d, 6) AS dice
