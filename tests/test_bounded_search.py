@@ -74,6 +74,20 @@ def test_blocks_are_collected_one_at_a_time(spark, monkeypatch):
     assert len(S.query_blocks(q, 20 * 8 * X.shape[1], k=X.shape[1])[0]) == 6  # room for the answers
 
 
+def test_pivot_bounds_are_found_tile_by_tile(spark, monkeypatch):
+    monkeypatch.setattr(P, "TILE", 16)
+    X = clustered(300)
+    c, _ = frames(spark, X)
+    cells, sizes = P.fit_cells(c, 4, "l2"), []
+    monkeypatch.setattr(P, "reach", lambda cells, Q, k, f=P.reach: sizes.append(len(Q)) or f(cells, Q, k))
+    found = P.PivotScorer(cells, X[:70], np.arange(70), 4)
+    for at in (0, 150):
+        found.scan(X[at:at + 150], np.arange(at, at + 150))
+    assert sizes and max(sizes) <= 16
+    got = found.frame()
+    assert {i: got[got.query_id == i]["id"].tolist() for i in range(70)} == plain(X, range(70), 4, "l2")
+
+
 def test_records_without_a_store_are_stacked(spark, monkeypatch):
     runs = spark.createDataFrame([("view", 3, 1.0), (None, 3, 2.0), ("click", 2, None)], "db string, n_dataset long, memory_mb double")
     monkeypatch.setattr(report_queries, "runs", lambda spark, sf_dir: runs)

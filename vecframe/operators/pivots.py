@@ -18,15 +18,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecframe.operators.ann import KeyedScorer
 from vecframe.operators.pq import lloyd, nearest
-from vecframe.operators.search import arrow_matrix, broadcast_topk, no_hits, query_blocks
+from vecframe.operators.search import AllPairs, arrow_matrix, broadcast_topk, no_hits, query_blocks
 from vecframe.session import BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES, conf_int, ship_package, spread
 
 MAX_PIVOTS = 1024     # and at most the square root of the rows
 SAMPLE_ROWS = 20_000  # rows that pivots are fitted on, chosen by a hash of the vector
 SLACK = 1e-7          # by which bounds are widened, relative to the distances they come from
-TILE = 256            # queries whose bounds are found at once
+TILE = 1024           # queries whose bounds are found at once
 
 
 @dataclass(frozen=True)
@@ -116,54 +115,79 @@ def cell_of(X: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Reach:
-    """What one block of queries has to look at: their distances to the pivots, the distance
-    that holds their k nearest rows, and the (cell, query) pairs that can hold one."""
+    """What some queries have to look at: their distances to the pivots, the distance that holds
+    their k nearest rows, and the cells that can hold one (queries by cells)."""
 
     to_pivot: np.ndarray
     within: np.ndarray
     cells: np.ndarray
-    owner: np.ndarray
     slack: float
 
 
 def reach(cells: Cells, Q: np.ndarray, k: int) -> Reach:
-    """Bounds for prepared queries."""
+    """Bounds for prepared queries, at most ``TILE`` of them."""
     P = cells.pivots
-    to_pivot, within, cell, owner = np.empty((len(Q), len(P))), np.empty(len(Q)), [], []
     scale = float(np.abs(P).max(initial=0.0) + np.abs(Q).max(initial=0.0)) * P.shape[1] ** 0.5
-    slack = SLACK * max(scale, 1e-300)
-    for at in range(0, len(Q), TILE):
-        some = slice(at, at + TILE)
-        d = np.sqrt(np.maximum((Q[some] ** 2).sum(axis=1)[:, None] - 2.0 * Q[some] @ P.T + (P * P).sum(axis=1)[None, :], 0.0))
-        # the k-th smallest way over a pivot; products of large norms are off by up to the slack's root
-        ways = (d[:, :, None] + cells.near[None]).reshape(len(d), -1)
-        bound = np.partition(ways, k - 1, axis=1)[:, k - 1] if ways.shape[1] > k else ways.max(axis=1)
-        bound = bound + 2 * np.sqrt(np.finfo(float).eps) * scale
-        least = np.maximum(d - cells.most[None, :], cells.least[None, :] - d)
-        q, c = np.nonzero(least <= bound[:, None] + slack + 2 * np.sqrt(np.finfo(float).eps) * scale)
-        to_pivot[some], within[some] = d, bound
-        owner.append(q + at)
-        cell.append(c)
-    return Reach(to_pivot, within, np.concatenate(cell), np.concatenate(owner), slack + 2 * np.sqrt(np.finfo(float).eps) * scale)
-
-
-class PivotScorer(KeyedScorer):
-    """Scores the rows of the cells a query reaches that lie in its ring around the pivot."""
-
-    def __init__(self, cells: Cells, looks: Reach, k: int):
-        super().__init__(self.homes, (looks.cells, looks.owner), k, cells.metric, self.in_ring)
-        self.cells, self.looks = cells, looks
-
-    def homes(self, X: np.ndarray) -> np.ndarray:
-        self.home = np.zeros(len(X), np.int64)
-        self.gap = np.zeros(len(X))
+    # products of large norms are off by up to the slack's root
+    slack = SLACK * max(scale, 1e-300) + 2 * np.sqrt(np.finfo(float).eps) * scale
+    d = np.sqrt(np.maximum((Q ** 2).sum(axis=1)[:, None] - 2.0 * Q @ P.T + (P * P).sum(axis=1)[None, :], 0.0))
+    # the k-th smallest way over a pivot, whose own rows come in order of their distance
+    ways = d + cells.near[None, :, 0]
+    n = min(k, len(P))
+    nearest = np.argpartition(ways, n - 1, axis=1)[:, :n]  # the k smallest ways lead over these
+    ways = (np.take_along_axis(d, nearest, axis=1)[:, :, None] + cells.near[nearest]).reshape(len(Q), -1)
+    bound = np.partition(ways, k - 1, axis=1)[:, k - 1] if ways.shape[1] > k else ways.max(axis=1)
+    bound = bound + 2 * np.sqrt(np.finfo(float).eps) * scale
+    least = np.maximum(d - cells.most[None, :], cells.least[None, :] - d)
+    return Reach(d, bound, least <= bound[:, None] + slack, slack)
+
+
+class InRing:
+    """Which pairs of a tile's queries and a batch's rows can be near: the query reaches the row's
+    cell, and the row lies in the query's ring around the pivot."""
+
+    def __init__(self, looks: Reach, first: int, home: np.ndarray, gap: np.ndarray):
+        self.looks, self.first, self.home, self.gap = looks, first, home, gap
+
+    def each(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        q, home = queries - self.first, self.home[rows]
+        away = np.abs(self.looks.to_pivot[q, home] - self.gap[rows])
+        return self.looks.cells[q, home] & (away <= self.looks.within[q] + self.looks.slack)
+
+    def matrix(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        q, home = queries - self.first, self.home[rows]
+        away = np.abs(self.looks.to_pivot[np.ix_(q, home)] - self.gap[rows])
+        return self.looks.cells[np.ix_(q, home)] & (away <= (self.looks.within[q] + self.looks.slack)[:, None])
+
+
+class PivotScorer(AllPairs):
+    """Scores the rows of the cells a query reaches that lie in its ring around the pivot. Queries go
+    by ``TILE``, those of one cell together; what they reach is found anew for every batch, so that
+    nothing is held that has an entry for each query and pivot."""
+
+    def __init__(self, cells: Cells, Q: np.ndarray, qids: np.ndarray, k: int):
+        home = np.concatenate([cell_of(prepare(Q[at:at + TILE], cells.metric, query=True), cells.pivots)[0] for at in range(0, len(Q), TILE)])
+        by = np.argsort(home, kind="stable")
+        super().__init__(Q[by], qids[by], k, cells.metric)
+        self.cells = cells
+
+    def scan(self, X: np.ndarray, ids: np.ndarray) -> None:
         good = np.isfinite(X).all(axis=1)
-        self.home[good], self.gap[good] = cell_of(prepare(X[good], self.metric), self.cells.pivots)
-        return self.home[:, None]
-
-    def in_ring(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        away = np.abs(self.looks.to_pivot[queries, self.home[rows]] - self.gap[rows])
-        return away <= self.looks.within[queries] + self.looks.slack
+        X, ids = X[good], ids[good]
+        if not len(X):
+            return
+        home, gap = cell_of(prepare(X, self.metric), self.cells.pivots)
+        by = np.argsort(home, kind="stable")
+        X, ids, home, gap = X[by], ids[by], home[by], gap[by]
+        here = np.unique(home)
+        for at in range(0, len(self.Q), TILE):
+            some = np.arange(at, min(len(self.Q), at + TILE))
+            looks = reach(self.cells, prepare(self.Q[some], self.metric, query=True), self.k)
+            reached = looks.cells.any(axis=0)
+            if not reached[here].any():
+                continue
+            rows = np.flatnonzero(reached[home])
+            super().scan(X[rows], ids[rows], InRing(looks, at, home[rows], gap[rows]), some)
 
 
 @dataclass(frozen=True)
@@ -173,33 +197,53 @@ class PivotJoin:
     all_pairs: int
 
 
-def pivot_join(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", *, id_col: str = "id", vec_col: str = "embedding",
-               qid_col: str = "query_id", qvec_col: str = "query_vec", pivots: int | None = None, exclude_self: bool = False) -> PivotJoin:
-    """Exact top-k with pivots, and how many pairs the bounds leave. Queries are broadcast in
-    blocks of a checked size with what they reach; the corpus is read once to measure the cells
-    and once for each block, and is never shuffled."""
+def _finite(blocks):
+    for qids, Q in blocks:
+        fine = np.isfinite(Q).all(axis=1)
+        if fine.any():
+            yield qids[fine], Q[fine]
+
+
+def _measured(corpus: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vec_col: str, qid_col: str, qvec_col: str, pivots: int | None):
+    """Query blocks, and the cells of the corpus; None where nothing can be found."""
     if metric not in ("l2", "cosine"):
         raise ValueError("pivots are for l2 and cosine")
-    if k <= 0:
-        raise ValueError("k must be positive")
     spark = corpus.sparkSession
     q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.col(qvec_col).alias("query_vec"))
-    blocks, n, _ = query_blocks(q, conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES), always=True)
-    blocks = [(i[fine], Q[fine]) for i, Q in blocks for fine in [np.isfinite(Q).all(axis=1)] if fine.any()]
-    kb = k + exclude_self
-    cells = fit_cells(corpus, kb, metric, id_col, vec_col, pivots) if n and blocks else None
-    if cells is None:
-        return PivotJoin(no_hits(spark), 0, 0)
-    looks = [reach(cells, prepare(Q, metric, query=True), kb) for _, Q in blocks]
-    scorers = [_scorer(cells, r, kb) for r in looks]
-    hits = broadcast_topk(corpus, blocks, k, metric, id_col, vec_col, exclude_self, scorers)
-    return PivotJoin(hits, sum(int(cells.rows[r.cells].sum()) for r in looks), int(cells.rows.sum()) * sum(len(b[0]) for b in blocks))
+    blocks, n, _ = query_blocks(q, conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES), always=True, k=k)
+    return blocks, fit_cells(corpus, k, metric, id_col, vec_col, pivots) if n else None
 
 
-def _scorer(cells: Cells, looks: Reach, k: int):
-    return lambda: PivotScorer(cells, looks, k)
+def _hits(corpus: DataFrame, blocks, cells: Cells | None, k: int, metric: str, id_col: str, vec_col: str, exclude_self: bool) -> DataFrame:
+    if cells is None:
+        return no_hits(corpus.sparkSession)
+    kb = k + exclude_self
+    scorer = lambda Q, qids: PivotScorer(cells, Q, qids, kb)
+    return broadcast_topk(corpus, _finite(blocks), k, metric, id_col, vec_col, exclude_self, scorer)
 
 
-def pivot_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", **options) -> DataFrame:
+def pivot_join(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", *, id_col: str = "id", vec_col: str = "embedding",
+               qid_col: str = "query_id", qvec_col: str = "query_vec", pivots: int | None = None, exclude_self: bool = False) -> PivotJoin:
+    """Exact top-k with pivots, and how many pairs the bounds leave. Queries are broadcast in
+    blocks of a checked size; the corpus is read once to measure the cells and once for each
+    block, and is never shuffled."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    kb = k + exclude_self
+    blocks, cells = _measured(corpus, queries, kb, metric, id_col, vec_col, qid_col, qvec_col, pivots)
+    hits = _hits(corpus, blocks, cells, k, metric, id_col, vec_col, exclude_self)
+    asked = pairs = 0
+    for _, Q in _finite(blocks) if cells else ():
+        asked += len(Q)
+        for at in range(0, len(Q), TILE):
+            pairs += int((reach(cells, prepare(Q[at:at + TILE], metric, query=True), kb).cells @ cells.rows).sum())
+    return PivotJoin(hits, pairs, int(cells.rows.sum()) * asked if cells else 0)
+
+
+def pivot_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = "l2", *, id_col: str = "id", vec_col: str = "embedding",
+               qid_col: str = "query_id", qvec_col: str = "query_vec", pivots: int | None = None, exclude_self: bool = False) -> DataFrame:
     """The hits of :func:`pivot_join`."""
-    return pivot_join(corpus, queries, k, metric, **options).hits
+    if k <= 0:
+        raise ValueError("k must be positive")
+    blocks, cells = _measured(corpus, queries, k + exclude_self, metric, id_col, vec_col, qid_col, qvec_col, pivots)
+    return _hits(corpus, blocks, cells, k, metric, id_col, vec_col, exclude_self)
