@@ -88,6 +88,19 @@ def test_pivot_bounds_are_found_tile_by_tile(spark, monkeypatch):
     assert {i: got[got.query_id == i]["id"].tolist() for i in range(70)} == plain(X, range(70), 4, "l2")
 
 
+def test_binary_codes_make_no_pairs_in_the_plan(spark):
+    X = clustered(120)
+    c, q = frames(spark, X)
+    plan = A.binary_topk(c, q, 4, num_candidates=15)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    radii = A.Radii(A.matrix_codes(X), 64, 15)
+    for at in range(0, 120, 50):
+        radii.scan(A.matrix_codes(X[at:at + 50]))
+    d = ((X >= 0)[:, None, :] != (X >= 0)[None, :, :]).sum(axis=2)
+    assert radii.radius.tolist() == np.sort(d, axis=1)[:, 14].tolist()
+    assert radii.count.sum(axis=1).tolist() == (d <= radii.radius[:, None]).sum(axis=1).tolist()
+
+
 def test_records_without_a_store_are_stacked(spark, monkeypatch):
     runs = spark.createDataFrame([("view", 3, 1.0), (None, 3, 2.0), ("click", 2, None)], "db string, n_dataset long, memory_mb double")
     monkeypatch.setattr(report_queries, "runs", lambda spark, sf_dir: runs)
