@@ -324,7 +324,7 @@ def pq_topk(index: PQIndex, queries: DataFrame, k: int = 5, *, nprobe: int, rera
     ship_package(spark)
     nprobe = min(nprobe, len(index.model.centres))
     q = queries.select(F.col(qid_col).cast("long").alias("query_id"), F.col(qvec_col).alias("query_vec"))
-    blocks, n, dim = query_blocks(q, conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES))
+    blocks, n, dim = query_blocks(q, conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES), k=rerank)
     if n == 0:
         return no_hits(spark)
     if dim != index.model.dim:
