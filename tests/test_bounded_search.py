@@ -101,6 +101,16 @@ def test_binary_codes_make_no_pairs_in_the_plan(spark):
     assert radii.count.sum(axis=1).tolist() == (d <= radii.radius[:, None]).sum(axis=1).tolist()
 
 
+def test_chunk_vectors_are_written_once(spark, tmp_path):
+    docs = [(i, f"word{i} of the text number {i}", "en") for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "user", "word3 text"), (1, 1, "assistant", "no"), (2, 0, "user", "number 5")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = rag_queries.contexts(spark, str(tmp_path)).drop("text")
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 2 * 5
+
+
 def test_records_without_a_store_are_stacked(spark, monkeypatch):
     runs = spark.createDataFrame([("view", 3, 1.0), (None, 3, 2.0), ("click", 2, None)], "db string, n_dataset long, memory_mb double")
     monkeypatch.setattr(report_queries, "runs", lambda spark, sf_dir: runs)
