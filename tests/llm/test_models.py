@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -113,6 +114,40 @@ def test_hot_ids(spark):
     assert len(got) == 600 and np.allclose([r[1:] for r in got], [r[1:] for r in want], atol=1e-9)
 
 
+def files_of(spark):
+    """Sizes of the session's shuffle and checkpoint files."""
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    folders = [*[d.getPath() for d in local], spark.conf.get("spark.checkpoint.dir").removeprefix("file:")]
+    found = [os.path.join(d, f) for top in folders for d, _, names in os.walk(top) for f in names]
+    return {f: os.path.getsize(f) for f in found if os.path.exists(f)}
+
+
+def test_scoring_takes_less_disk_than_its_texts(spark):
+    """Texts aren't moved, blocks are exchanged once, and keys and sums travel packed."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"word{i:05d}" for i in range(30_000)])
+    texts = [" ".join(words[np.minimum(rng.zipf(1.4, 200), len(words)) - 1]) for _ in range(5_000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = frame.where("doc_id % 3 = 0").select("doc_id")
+    before = files_of(spark)
+    lm_scoring.cross_entropy_difference(frame, ids, block_bytes=1_500_000).write.format("noop").mode("overwrite").save()
+    made = sum(size for f, size in files_of(spark).items() if f not in before)
+    assert made < 0.7 * sum(map(len, texts)), made / sum(map(len, texts))
+
+
+def test_packed_numbers_and_ranges_of_keys(spark):
+    for kind in (np.int32, np.int64, np.uint64):
+        values = np.array([0, 1, np.iinfo(kind).max, 7, np.iinfo(kind).min], kind)
+        for some in (values, values[:1], values[:0]):
+            assert np.array_equal(lm_scoring.unpack(lm_scoring.pack(some), kind), some)
+    rows = spark.createDataFrame([(i, f"a w{i % 7} b w{i % 5}") for i in range(50)], "doc_id long, text string").repartition(4)
+    blocks = lm_scoring.number_texts(rows, 60)
+    marked = lm_scoring.mark_blocks(blocks, spark.createDataFrame([(i,) for i in range(0, 50, 2)] * 2 + [(None,)], "doc_id long"))
+    one, many = ({tuple(r) for r in lm_scoring.summed(lm_scoring.pair_rows(marked, n)).collect()} for n in (1, 40))
+    assert one == many and {(b, t) for _, b, t in one} >= {(50, 25)}
+    assert lm_scoring.word_rows(marked, 40).count() == 40 * blocks.count()
+
+
 def test_held_out_quality(spark):
     """Models of labels outside one fold rank that fold's junk above its good texts."""
     documents, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")

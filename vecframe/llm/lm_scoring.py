@@ -6,9 +6,11 @@ too), the same absolute discount and the same interpolation with single words, s
 per-token losses can be compared. What a context's rare bigrams would get is given to no word.
 The background model counts all documents, the target model those marked as target.
 LEAST_COUNT is a number of occurrences and no share, so what is counted grows with the corpus.
-Texts are numbered in blocks once; each block's distinct words and pairs are summed over all
-blocks by key in one exchange, and the sums return to their blocks. Nothing is broadcast or
-sent to the driver but five sums.
+Texts are numbered in blocks once, where they are read; only ids meet the target's ids. Each
+block's distinct words and pairs are summed over all blocks by key in one exchange, and the sums
+return to their blocks. What is written or exchanged goes as packed columns, in sorted order, so
+that a key takes the bits that tell it from its neighbour and a sum no key at all. Nothing is
+broadcast or sent to the driver but the number of blocks.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from vecframe.llm.batches import small_batches
-from vecframe.session import cut_lineage, ship_package
+from vecframe.llm.batches import light_batches
+from vecframe.session import cut_lineage, ship_package, spread
 
 LEAST_COUNT = 2
 DISCOUNT = 0.75
@@ -36,7 +38,23 @@ UNSEEN = 0.5             # added to the count of every word of the vocabulary
 BLOCK_BYTES = 16_000_000  # of text
 START = 1                # stands for the word before the first
 
-BLOCK = "block long, doc_ids array<long>, sizes binary, targets binary, ids binary, hashes binary"
+BLOCK = "block long, doc_ids array<long>, sizes binary, ids binary, hashes binary, targets array<int>"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers as compressed bytes: first the lowest byte of each, then the next."""
+    if not len(values):
+        return b""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.empty(0, kind)
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd")
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -82,100 +100,166 @@ def _number(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         numbered = words.dictionary_encode()
         hashes = np.array([word_hash(w) for w in numbered.dictionary.to_pylist()], np.int64)
         sizes = np.bincount(row, minlength=part.num_rows).astype(np.int64)
-        targets = part.column(2).to_numpy(zero_copy_only=False).astype(np.int8)
-        packed = [sizes, targets, numbered.indices.to_numpy().astype(np.int32), hashes]
+        targets = np.flatnonzero(part.column(2).to_numpy(zero_copy_only=False)).astype(np.int32)
+        packed = [sizes, numbered.indices.to_numpy().astype(np.int32), hashes]
         yield pa.RecordBatch.from_arrays(
             [pa.array([task + n]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
-             *[pa.array([a.tobytes()], pa.binary()) for a in packed]],
-            names=["block", "doc_ids", "sizes", "targets", "ids", "hashes"],
+             *[pa.array([pack(a)], pa.binary()) for a in packed], pa.array([targets], pa.list_(pa.int32()))],
+            names=["block", "doc_ids", "sizes", "ids", "hashes", "targets"],
         )
 
 
 @dataclass
 class Block:
-    """A block's texts; ``pairs`` are its distinct (word before, word) keys, ``at`` each
-    token's place among them. The number after the last word's stands for the start."""
+    """A block's texts; ``targets`` are the places of the target's among them, ``pairs`` the
+    distinct (word before, word) keys, ``at`` each token's place among those. The number after
+    the last word's stands for the start."""
 
     block: int
-    doc_ids: list
     sizes: np.ndarray
-    targets: np.ndarray
     ids: np.ndarray
     hashes: np.ndarray
+    targets: list
 
     @classmethod
     def of(cls, row: dict) -> Block:
-        kinds = {"sizes": np.int64, "targets": np.int8, "ids": np.int32, "hashes": np.int64}
-        return cls(row["block"], row["doc_ids"], *[np.frombuffer(row[c], t) for c, t in kinds.items()])
+        kinds = {"sizes": np.int64, "ids": np.int32, "hashes": np.int64}
+        return cls(row["block"], *[unpack(row[c], t) for c, t in kinds.items()], row.get("targets") or [])
 
     def __post_init__(self):
         self.n = len(self.hashes)
         self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
         before = np.empty(len(self.ids), np.int64)
         before[1:] = self.ids[:-1]
         before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = self.n
-        self.pairs, self.at = np.unique(before * (self.n + 1) + self.ids, return_inverse=True)
-        self.before, self.word = np.divmod(self.pairs, self.n + 1)
+        return np.unique(before * (self.n + 1) + self.ids, return_inverse=True)
+
+    @property
+    def at(self) -> np.ndarray:
+        return self._pairs[1]
+
+    @cached_property
+    def before_and_word(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.divmod(self._pairs[0], self.n + 1)
+
+    @property
+    def word_keys(self) -> np.ndarray:
+        return np.append(self.hashes, START)
 
-    def counts(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def pair_keys(self) -> np.ndarray:
+        before, word = self.before_and_word
+        return pair_key(self.word_keys[before], self.word_keys[word])
+
+    def counts(self, at: np.ndarray, size: int) -> list[np.ndarray]:
         """How often each number comes, in all texts and in the target's."""
-        target = self.targets[self.row].astype(bool)
-        return np.bincount(at, minlength=size), np.bincount(at[target], minlength=size)
+        target = np.zeros(len(self.sizes), bool)
+        target[self.targets] = True
+        return [np.bincount(at, minlength=size), np.bincount(at[target[self.row]], minlength=size)]
 
+    def word_counts(self) -> list[np.ndarray]:
+        """The start comes once in every text."""
+        return [np.append(c, s) for c, s in zip(self.counts(self.ids, self.n), (len(self.sizes), len(self.targets)), strict=True)]
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield Block.of(row)
+    def pair_counts(self) -> list[np.ndarray]:
+        return self.counts(self.at, len(self._pairs[0]))
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks_of(batches):
-        own = np.append(block.hashes, START)
-        b, t = block.counts(block.at, len(block.pairs))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(pair_key(own[block.before], own[block.word])), pa.array(np.full(len(b), block.block)),
-             pa.array(np.arange(len(b), dtype=np.int32)), pa.array(b), pa.array(t)],
-            names=["key", "block", "at", "background", "target"],
-        )
+def sorted_keys(keys: np.ndarray) -> np.ndarray:
+    """The order in which a block's keys are sent, and their sums come back."""
+    return np.argsort(keys.view(np.uint64), kind="stable")
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks_of(batches):
-        b, t = block.counts(block.ids, block.n)
-        n = block.n + 1  # the start comes once in every text
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(block.hashes, START)), pa.array(np.full(n, block.block)), pa.array(-1 - np.arange(n, dtype=np.int32)),
-             pa.array(np.append(b, len(block.sizes))), pa.array(np.append(t, int(block.targets.sum())))],
-            names=["key", "block", "at", "background", "target"],
-        )
+PARTS = "bucket int, block long, words boolean, keys binary, background binary, target binary"
+
+
+def _parts(batches: Iterator[pa.RecordBatch], words: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket, which is a range of keys, also where a block has none of them."""
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    for batch in batches:
+        for row in batch.to_pylist():
+            block = Block.of(row)
+            keys, counts = (block.word_keys, block.word_counts()) if words else (block.pair_keys, block.pair_counts())
+            order = sorted_keys(keys)
+            keys = keys[order].view(np.uint64)
+            steps = np.diff(keys, prepend=np.uint64(0))
+            cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+            steps[[c for c in cuts[:-1] if c < len(keys)]] = keys[[c for c in cuts[:-1] if c < len(keys)]]
+            packed = [[pack(a[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)] for a in (steps, *[c[order] for c in counts])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, block.block)), pa.array(np.full(buckets, words)),
+                 *[pa.array(p, pa.binary()) for p in packed]],
+                names=["bucket", "block", "words", "keys", "background", "target"],
+            )
 
 
 def number_texts(marked: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of the texts of ``(doc_id, text, target)``, written once: numbers of words instead
-    of words, and the words' hashes."""
+    """Blocks of the texts of ``(doc_id, text)``, written once: numbers of words instead of
+    words, and the words' hashes. A boolean column ``target`` marks the target's texts."""
     ship_package(marked.sparkSession)
-    small_batches(marked.sparkSession)
-    return cut_lineage(marked.select("doc_id", "text", "target").mapInArrow(lambda b: _number(b, block_bytes), BLOCK))
+    light_batches(marked.sparkSession)
+    target = F.col("target") if "target" in marked.columns else F.lit(False)
+    rows = marked.select("doc_id", "text", target.alias("target"))
+    return cut_lineage(rows.mapInArrow(lambda b: _number(b, block_bytes), BLOCK))
 
 
-ROWS = "key long, block long, at int, background long, target long"
+def word_rows(blocks: DataFrame, buckets: int = 1) -> DataFrame:
+    return blocks.mapInArrow(lambda b: _parts(b, True, buckets), PARTS)
 
 
-def word_rows(blocks: DataFrame) -> DataFrame:
-    return blocks.mapInArrow(_word_rows, ROWS)
+def pair_rows(blocks: DataFrame, buckets: int = 1) -> DataFrame:
+    return blocks.mapInArrow(lambda b: _parts(b, False, buckets), PARTS)
 
 
-def pair_rows(blocks: DataFrame) -> DataFrame:
-    return blocks.mapInArrow(_pair_rows, ROWS)
+def _sums(parts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of one bucket's parts, their counts in both models over all blocks (zero
+    where they are too rare), and the place among them of every part's every key."""
+    keys, places = np.unique(np.concatenate([np.cumsum(unpack(p, np.uint64)) for p in parts["keys"].to_pylist()]), return_inverse=True)
+    counts = [np.concatenate([unpack(p, np.int64) for p in parts[c].to_pylist()]) for c in ("background", "target")]
+    sums = np.array([np.bincount(places, c, len(keys)) for c in counts]).astype(np.int64)  # exact below 2 ** 53
+    return keys.view(np.int64), sums, places
 
 
 def summed(rows: DataFrame) -> DataFrame:
-    """Every block's rows with their key's counts over all blocks, where that is often enough.
-    A key has at most one row in a block."""
-    over = Window.partitionBy("key")
-    sums = {c: F.sum(c).over(over) for c in ("background", "target")}
-    return rows.withColumns(sums).where(F.col("background") >= LEAST_COUNT)
+    """``(key, background, target)``: the keys seen often enough over all blocks."""
+    def flat(parts: pa.Table) -> pa.Table:
+        keys, sums, _ = _sums(parts)
+        often = sums[0] >= LEAST_COUNT
+        return pa.table({"key": keys[often], "background": sums[0, often], "target": sums[1, often]})
+
+    return rows.groupBy("bucket", "words").applyInArrow(flat, "key long, background long, target long")
+
+
+def _answers(parts: pa.Table) -> Iterator[pa.RecordBatch]:
+    """To each part of a bucket the sums of its keys, in their order, and the bucket's totals."""
+    for words in (True, False):
+        own = parts.filter(pc.equal(parts["words"], words))
+        if not own.num_rows:
+            continue
+        keys, sums, places = _sums(own)
+        often = sums[0] >= LEAST_COUNT
+        known = keys != START
+        totals = [*sums[:, known].sum(1), *sums[:, known & often].sum(1), np.count_nonzero(known & often)] if words else []
+        sums[:, ~often] = 0
+        at = 0
+        for row in own.select(["bucket", "block", "keys"]).to_pylist():
+            n = len(unpack(row["keys"], np.uint64))
+            b, t = (pack(s[places[at:at + n]]) for s in sums)
+            at += n
+            yield pa.RecordBatch.from_pylist(
+                [{"block": row["block"], "bucket": row["bucket"], "words": words, "background": b, "target": t, "totals": totals}],
+                pa.schema({"block": pa.int64(), "bucket": pa.int32(), "words": pa.bool_(), "background": pa.binary(), "target": pa.binary(),
+                           "totals": pa.list_(pa.int64())}))
+
+
+def answers(rows: DataFrame) -> DataFrame:
+    """What ``_answers`` says, a row for each of ``rows``; a bucket at a time."""
+    return rows.groupBy("bucket").applyInArrow(
+        lambda parts: pa.Table.from_batches(list(_answers(parts))),
+        "block long, bucket int, words boolean, background binary, target binary, totals array<long>")
 
 
 @dataclass
@@ -192,39 +276,60 @@ class Totals:
         return (own + UNSEEN) / (self.tokens + UNSEEN * self.size)
 
 
+    @classmethod
+    def of(cls, buckets: list[list[int]]) -> Totals:
+        """From the totals of every bucket."""
+        row = np.sum([b for b in buckets if b] or [[0] * 5], axis=0)
+        return cls(row[:2].astype(np.float64), row[2:4].astype(np.float64), int(row[4]) + 1)
+
+
 def totals_of(words: DataFrame) -> Totals:
-    both = words.where(F.col("key") != START).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("background", "target")])
-    often = F.col("background") >= LEAST_COUNT
-    row = both.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("background", "target")],
-        *[F.coalesce(F.sum(F.when(often, F.col(c))), F.lit(0)) for c in ("background", "target")], F.count_if(often),
-    ).first()
-    return Totals(np.array(row[:2], np.float64), np.array(row[2:4], np.float64), row[4] + 1)
+    return Totals.of([r["totals"] for r in answers(words).select("bucket", "totals").distinct().collect()])
 
 
-def losses(block: Block, found: pa.Table, totals: Totals) -> np.ndarray:
+def losses(block: Block, word: np.ndarray, pair: np.ndarray, totals: Totals) -> np.ndarray:
     """Negative log probabilities of the block's distinct pairs, by model (background, target),
-    given what the corpus holds of its words and pairs."""
-    at = found["at"].to_numpy()
-    counts = np.column_stack([found[c].to_numpy() for c in ("background", "target")]).astype(np.float64)
-    word = np.zeros((block.n + 1, 2))
-    word[-1 - at[at < 0]] = counts[at < 0]
-    p = (1 - BIGRAM_WEIGHT) * totals.single(word, word[:, 0] > 0)[block.word]
-    pair = at[at >= 0]
-    context = np.maximum(word[block.before[pair]], 1e-9)
-    p[pair] += BIGRAM_WEIGHT * np.maximum(counts[at >= 0] - DISCOUNT, 0.0) / context
+    given the corpus' counts of its words and pairs, zero for those too rare."""
+    before, after = block.before_and_word
+    p = (1 - BIGRAM_WEIGHT) * totals.single(word, word[:, 0] > 0)[after]
+    kept = pair[:, 0] > 0
+    p[kept] += BIGRAM_WEIGHT * np.maximum(pair[kept] - DISCOUNT, 0.0) / np.maximum(word[before[kept]], 1e-9)
     return -np.log(p)
 
 
-def mark_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, target)``: whether a row's id is among ``target_ids(doc_id)``, all of
-    which count. Never a broadcast: the plan, and so its cost a row, is the same at every size.
-    Rows without an id are dealt by their texts."""
+def returned(found: pa.Table, words: bool, keys: np.ndarray) -> np.ndarray:
+    """A block's sums, in the order of its keys, from the answers of all buckets."""
+    own = found.filter(pc.equal(found["words"], words)).sort_by("bucket")
+    sums = np.empty((len(keys), 2))
+    sums[sorted_keys(keys)] = np.column_stack([np.concatenate([unpack(p, np.int64) for p in own[c].to_pylist()]) for c in ("background", "target")])
+    return sums
+
+
+def with_target(rows: DataFrame, target_ids: DataFrame, deal: str) -> DataFrame:
+    """``rows`` with a column ``target``: whether a row's ``doc_id`` is among
+    ``target_ids(doc_id)``, all of which count. Never a broadcast: the plan, and so its cost a
+    row, is the same at every size. Rows without an id are dealt by the column ``deal``."""
     ids = target_ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.lit(0).cast("long").alias("_deal")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
-    marked = rows.join(ids.hint("merge"), (rows["doc_id"] == ids["_id"]) & (rows["deal"] == ids["_deal"]), "left")
-    return marked.select("doc_id", "text", F.col("_id").isNotNull().alias("target"))
+    dealt = rows.withColumn("deal", F.when(F.col("doc_id").isNull(), F.xxhash64(deal)).otherwise(F.lit(0)))
+    marked = dealt.join(ids.hint("merge"), (dealt["doc_id"] == ids["_id"]) & (dealt["deal"] == ids["_deal"]), "left")
+    return marked.select(*rows.columns, F.col("_id").isNotNull().alias("target"))
+
+
+def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def mark_target(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, text, target)``: the texts marked row by row, for which they are moved."""
+    return with_target(ids_and_texts(docs, id_col, text_col), target_ids, "text")
+
+
+def mark_blocks(blocks: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """``blocks`` with the places of the target's texts; the ids are moved and no texts."""
+    places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    marked = with_target(places, target_ids, "place").where("target")
+    found = marked.groupBy("block").agg(F.collect_list("place").alias("targets"))
+    return blocks.drop("targets").join(found.hint("merge"), "block", "left")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -237,21 +342,24 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     are counted and scored each; a null id is never a target. Without target rows the target
     model is that of unseen counts. Further columns are ignored; an empty table gives an
     empty table."""
-    blocks = number_texts(mark_target(docs, target_ids, id_col, text_col), block_bytes)
-    words = word_rows(blocks)
-    totals = totals_of(words)
-    found = summed(words.unionByName(pair_rows(blocks))).select("block", "at", "background", "target")
+    blocks = number_texts(spread(ids_and_texts(docs, id_col, text_col)), block_bytes)
+    marked = mark_blocks(blocks, target_ids)
+    buckets = max(1, blocks.count())  # each holds about as many keys as a block
+    # words, pairs and scores all read the marked blocks, so that one exchange of blocks serves them
+    found = answers(word_rows(marked, buckets).unionByName(pair_rows(marked, buckets)))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block.of(left.to_pylist()[0])
-        each = losses(block, right, totals)[block.at]
+        row = left.to_pylist()[0]
+        block = Block.of(row)
+        totals = Totals.of(right["totals"].to_pylist())
+        each = losses(block, returned(right, True, block.word_keys), returned(right, False, block.pair_keys), totals)[block.at]
         n = block.sizes
         mean = lambda x: np.bincount(block.row, x, minlength=len(n)) / np.maximum(n, 1)
         return pa.table({
-            "doc_id": pa.array(block.doc_ids, pa.int64()), "n_tokens": n, "target_loss": mean(each[:, 1]),
+            "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": n, "target_loss": mean(each[:, 1]),
             "background_loss": mean(each[:, 0]), "score": mean(each[:, 1] - each[:, 0])})
 
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+    return marked.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
