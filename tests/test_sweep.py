@@ -4,8 +4,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_ann_index import by_query, clustered, frames, plain
 
+from vecframe.operators import ann as A
+from vecframe.operators import metrics as M
 from vecframe.operators import search as S
 from vecframe.session import BROADCAST_BYTES_KEY
 
@@ -67,3 +70,50 @@ def test_waiting_rows_are_sorted_in_at_once(monkeypatch, k):
     first = dict(zip(ids.tolist(), scores.tolist(), strict=True))
     assert got.tolist() == sorted(first, key=lambda i: (-first[i], i))[:k] and not q.any()
     assert sum(sorts) <= 4
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_all_sizes_in_one_pass(spark, monkeypatch, blocks):
+    X = clustered(200)
+    X[180], X[77, 0] = X[3], np.nan
+    c, q = frames(spark, X)
+    q = q.where("query_id <> 77")
+    cents = spark.createDataFrame([(i, X[i].tolist()) for i in range(0, 30, 6)], "cell int, centroid array<double>")
+    searches = {
+        "exact": lambda c, **b: S.exact_topk(c, q, 5, "cosine", **b),
+        "lsh": lambda c, **b: A.lsh_topk(c, q, 5, "cosine", bands=4, bits=3, **b),
+        "ivf": lambda c, **b: A.ivf_topk(c, q, cents, 5, "cosine", nprobe=2, **b),
+        "two": lambda c, **b: A.twostage_topk(c, q, 5, "cosine", num_candidates=12, prefix_dims=4, dim=X.shape[1], **b),
+    }
+    wanted = {k: {n: by_query(f(c.where(F.col("id") < n))) for n in SIZES} for k, f in searches.items()}
+    apart = answers(searches["two"](c, sizes=SIZES))
+    many(monkeypatch)
+    spark.conf.set(BROADCAST_BYTES_KEY, str(-(-200 // blocks) * 8 * X.shape[1]))
+    try:
+        sweep = S.sweep_of(c.select("id", F.col("embedding").alias("vec")), q, 199, 5, X.shape[1], SIZES)
+        for name, f in searches.items():
+            for sizes in (SIZES, sweep):
+                hits = f(c, sizes=sizes)
+                assert plan_of(hits).count("MapInArrow") == 1 and "Window" not in plan_of(hits)
+                for n in SIZES:
+                    assert by_query(hits.where(F.col("n") == n)) == wanted[name][n], (name, n)
+        assert answers(searches["two"](c, sizes=sweep)) == apart
+        assert answers(S.size_sweep_topk(c, q, sweep, 5)) == answers(searches["exact"](c, sizes=sweep))
+    finally:
+        spark.conf.unset(BROADCAST_BYTES_KEY)
+
+
+def test_shared_keys_of_one_column():
+    rng = np.random.default_rng(0)
+    rows, queries = rng.integers(0, 9, (40, 1)), np.array([rng.permutation(9)[:4] for _ in range(20)])
+    keys = A.SharedKeys(rows, queries)
+    at, which = np.arange(5, 40), np.arange(3, 20)
+    assert (keys.matrix(which, at) == (queries[which][:, None, :] == rows[at][None, :, :]).any(axis=2)).all()
+
+
+def test_recall_of_several_key_columns_and_nulls(spark):
+    schema = "n long, query_id long, rank int, id long"
+    truth = spark.createDataFrame([(1, 1, 1, 5), (1, 1, 2, 6), (2, 1, 1, 5), (1, 3, 1, None), (1, None, 1, 5)], schema)
+    pred = spark.createDataFrame([(1, 1, 1, 6), (1, 1, 2, 6), (1, 1, 3, 5), (1, 2, 1, 9), (1, 3, 1, None), (1, None, 1, 5)], schema)
+    got = sorted(((r["n"], r.query_id or 0), r.recall) for r in M.recall_per_query(pred, truth, 2, ["n", "query_id"]).collect())
+    assert got == [((1, 0), 0.0), ((1, 0), 0.0), ((1, 1), 0.5), ((1, 2), 0.0), ((1, 3), 0.0), ((2, 1), 0.0)]
