@@ -9,6 +9,7 @@ from test_ann_index import by_query, clustered, frames, plain
 
 from vecframe.operators import ann as A
 from vecframe.operators import metrics as M
+from vecframe.operators import pq as PQ
 from vecframe.operators import search as S
 from vecframe.session import BROADCAST_BYTES_KEY
 
@@ -103,6 +104,20 @@ def test_all_sizes_in_one_pass(spark, monkeypatch, blocks):
         spark.conf.unset(BROADCAST_BYTES_KEY)
 
 
+def test_coded_candidates_do_not_leave_their_task(spark, monkeypatch, tmp_path):
+    X = clustered(400)
+    c, q = frames(spark, X)
+    index = PQ.build_pq(c, PQ.fit_pq(c, cells=6, subspaces=4), str(tmp_path))
+    wanted = {n: by_query(PQ.pq_topk(index, q, 5, nprobe=n, rerank=30)) for n in (2, 6)}
+    many(monkeypatch)
+    for n in (2, 6):
+        hits = PQ.pq_topk(index, q, 5, nprobe=n, rerank=30)
+        assert not re.search("Window|Exchange hashpartitioning", plan_of(hits))
+        got = by_query(hits)
+        same = sum(len(set(got[i]) & set(wanted[n][i])) for i in wanted[n])
+        assert set(got) == set(wanted[n]) and same >= 0.995 * sum(map(len, wanted[n].values()))  # 30th places may be equally far
+
+
 def test_shared_keys_of_one_column():
     rng = np.random.default_rng(0)
     rows, queries = rng.integers(0, 9, (40, 1)), np.array([rng.permutation(9)[:4] for _ in range(20)])

@@ -7,7 +7,9 @@ cell: a search reads the ids and codes of probed cells only, and then the vector
 candidates alone.
 
 A search sums, per row, the entries of its query's distance tables (subspace by code); the
-``rerank`` nearest rows of every query by that sum are scored exactly. How many cells to probe and
+``rerank`` nearest rows of every query by that sum are scored exactly. Where there are many
+answers and the vectors fit into a few blocks, these and the codes are broadcast and a task finds
+whole answers for the queries it reads: candidates do not leave it. How many cells to probe and
 how many rows to score again can be calibrated on the index's own vectors.
 
 Codebooks are fitted on a bounded sample (``TRAIN_ROWS``); every row is indexed.
@@ -21,16 +23,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecframe.operators.ann import rescored
+from vecframe.operators.ann import KeyedScorer, rescored
 from vecframe.operators.search import (
     MAX_BROADCAST_HITS,
+    VISIT_ROWS,
     Block,
     arrow_matrix,
     exact_topk,
     no_hits,
     packed,
     query_blocks,
+    rescored_answers,
     salted_sides,
+    swept,
+    sweep_of,
 )
 from vecframe.session import BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES, conf_int, ship_package
 
@@ -96,6 +102,9 @@ class PQModel:
         parts = [nearest(rest[:, a:b], book)[0] for a, b, book in zip(cuts, cuts[1:], self.books, strict=False)]
         return cell, np.stack(parts, axis=1).astype(np.uint8)
 
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1) + self.centres[cell]
+
     def probes(self, Q: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` cells nearest to each prepared query."""
         d = (self.centres * self.centres).sum(axis=1)[None, :] - 2.0 * Q @ self.centres.T
@@ -106,7 +115,7 @@ class PQModel:
         entries, or, where the cell has fewer rows than tables have entries, of decoded rows."""
         cuts = self.cuts
         if len(codes) < CODES:
-            rows = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1) + self.centres[cell]
+            rows = self.decode(cell, codes)
             return (Q * Q).sum(axis=1)[:, None] - 2.0 * Q @ rows.T + (rows * rows).sum(axis=1)[None, :]
         rest = Q - self.centres[cell]
         total = np.zeros((len(Q), len(codes)), np.float32)  # the answer is scored again, exactly
@@ -269,6 +278,51 @@ def _broadcast_gaps(index: PQIndex, block: Block, nprobe: int, rerank: int) -> D
     return index.probed(np.unique(probes)).select("cell", "id", "code").mapInArrow(score, GAPS)
 
 
+class CodeScorer(KeyedScorer):
+    """The ``rerank`` coded rows nearest to each query of a block among those of its ``probes``. The
+    distance to a decoded row is the sum of the table entries of its codes; as the query's own length
+    orders nothing, it is a product of vectors with one more element, -|row|^2 / 2."""
+
+    def __init__(self, model: PQModel, Q: np.ndarray, qids: np.ndarray, nprobe: int, rerank: int):
+        P = model.prepare(Q)
+        self.model = model
+        super().__init__(None, model.probes(P, nprobe).astype(np.int32), rerank, "ip", (qids, np.column_stack([P, np.ones(len(P))])))
+
+    def take(self, cells: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> None:
+        rows = self.model.decode(cells, codes)
+        self.row_keys = lambda X: cells[:, None]
+        self.scan(np.column_stack([rows, -0.5 * (rows * rows).sum(axis=1)]), ids)
+
+
+def _swept_hits(index: PQIndex, queries: DataFrame, n: int, k: int, nprobe: int, rerank: int) -> DataFrame | None:
+    """Whole answers, found in the tasks that read the queries; none where there are few of them or
+    the vectors take too many blocks (see :func:`search.sweep_of`)."""
+    spark, model = queries.sparkSession, index.model
+    sweep = sweep_of(index.rows.select("id", "vec"), queries, n, rerank, model.dim)
+    if sweep is None:
+        return None
+    side = index.rows.select("cell", "id", "code")
+    count = -(-index.rows.count() * (16 + len(model.books)) // conf_int(spark, BROADCAST_BYTES_KEY, DEFAULT_BROADCAST_BYTES))
+    shared, blocks = spark.sparkContext.broadcast(model), []
+    for i in range(max(1, count)):
+        table = side.where(F.pmod(F.xxhash64("id"), F.lit(max(1, count))) == i).toArrow()
+        if table.num_rows:
+            cells, ids = table["cell"].to_numpy().astype(np.int32), table["id"].to_numpy().astype(np.int64)
+            blocks.append(spark.sparkContext.broadcast((cells, ids, _codes(table["code"]))))
+
+    def answer(Q, qids):
+        found = CodeScorer(shared.value, Q, qids, nprobe, rerank)
+        for block in blocks:
+            cells, ids, codes = block.value
+            for at in range(0, len(ids), VISIT_ROWS):
+                some = slice(at, at + VISIT_ROWS)
+                found.take(cells[some], ids[some], codes[some])
+        q, ids, _ = found.best.rows()
+        yield from rescored_answers(Q, qids, [(found.asked[q], ids)], sweep, k, model.metric)
+
+    return swept(queries, sweep, 2 * rerank, answer)
+
+
 def _grid_gaps(index: PQIndex, queries: DataFrame, nprobe: int, rerank: int) -> DataFrame:
     """Candidates where the queries are too many to broadcast: both sides meet by cell, cells
     with many rows or queries in parts of a bounded size."""
@@ -329,6 +383,9 @@ def pq_topk(index: PQIndex, queries: DataFrame, k: int = 5, *, nprobe: int, rera
         return no_hits(spark)
     if dim != index.model.dim:
         raise ValueError(f"queries of dimension {dim}, index of {index.model.dim}")
+    hits = _swept_hits(index, q, n, k, nprobe, rerank)
+    if hits is not None:
+        return hits
     if blocks is None:
         gaps = _grid_gaps(index, q, nprobe, rerank)
     else:
