@@ -1,5 +1,6 @@
 """Searches with many answers: the corpus is broadcast, answers are whole where they are found."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_ann_index import by_query, clustered, frames, plain
 
+from vecframe.functions import embed as E
 from vecframe.operators import ann as A
 from vecframe.operators import metrics as M
 from vecframe.operators import pq as PQ
@@ -126,6 +128,22 @@ def test_shared_keys_of_one_column():
     assert (keys.matrix(which, at) == (queries[which][:, None, :] == rows[at][None, :, :]).any(axis=2)).all()
 
 
+def test_texts_are_counted_together(spark, monkeypatch):
+    """Tokens are not exploded into rows; rows of one id are one text, and a NULL is a text without words."""
+    monkeypatch.setattr(E, "TOKENS_AT_ONCE", 3)
+    texts = [(1, "One two, TWO; three"), (1, "two"), (2, None), (3, ""), (4, "..."), (None, "ünï 7"), (None, "7"), (5, "a " * 9)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    out = E.hash_embed(df, "text", 16, ["id"], normalize=False)
+    assert "Generate" not in plan_of(out) and "explode" not in plan_of(out)
+    wanted = {}
+    for i, text in texts:
+        v = wanted.setdefault(i, [0.0] * 16)
+        for token in re.findall(r"\w+", (text or "").lower()):
+            h = hashlib.md5(token.encode()).hexdigest()
+            v[int(h[:8], 16) % 16] += 1.0 if h[8] < "8" else -1.0
+    assert {r.id: r.embedding for r in out.collect()} == wanted
+
+
 def test_recall_of_several_key_columns_and_nulls(spark):
     schema = "n long, query_id long, rank int, id long"
     truth = spark.createDataFrame([(1, 1, 1, 5), (1, 1, 2, 6), (2, 1, 1, 5), (1, 3, 1, None), (1, None, 1, 5)], schema)
